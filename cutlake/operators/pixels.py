@@ -201,7 +201,9 @@ def waveform(
     return out.select(key, "bucket", F.coalesce(scaled, F.lit(0.0)).alias("peak"))
 
 
-def classify_elements(envelopes: DataFrame, files: DataFrame, window: float = 1024 / 22050, key: str = "file") -> DataFrame:
+def classify_elements(
+    envelopes: DataFrame, files: DataFrame, window: float = 1024 / 22050, key: str = "file", digits: int | None = 4,
+) -> DataFrame:
     """Impact, braam, riser, whoosh or other from level envelopes (key, k, rms).
 
     ``files`` has (key, duration, low_ratio). Features are rounded to four decimals before they are judged.
@@ -221,7 +223,7 @@ def classify_elements(envelopes: DataFrame, files: DataFrame, window: float = 10
         F.avg(F.when((F.col("k") >= F.col("peak_k")) & F.col("nxt").isNotNull(), falls)).alias("falls"),
         F.max(F.when((F.col("k") == 0) | (F.col("k") == F.col("n") - 1), F.col("rms"))).alias("rim"),
     ).join(files, key)
-    four = lambda c: F.bround(c, 4)
+    four = lambda c: F.bround(F.round(c, 10), 4)
     f = f.select(
         key, "duration", "peak", F.col("low_ratio"),
         four(F.least(F.lit(1.0), (F.col("peak_k") + 0.5) * window / F.col("duration"))).alias("peak_pos"),
@@ -246,4 +248,6 @@ def classify_elements(envelopes: DataFrame, files: DataFrame, window: float = 10
         .when(k == "whoosh", ramp(F.abs(p - 0.5), 0.3, 0.0) + ramp(edge, EDGE_MAX, 0.1))
     )
     confidence = F.when(k == "other", 0.0).otherwise(F.greatest(F.lit(CONFIDENCE_FLOOR), sure / 2))
-    return f.withColumn("kind", kind).withColumn("confidence", F.bround(confidence, 4))
+    return f.withColumn("kind", kind).withColumn(
+        "confidence", confidence if digits is None else F.bround(F.round(confidence, 10), digits)
+    )

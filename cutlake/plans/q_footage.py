@@ -344,10 +344,10 @@ def waveform(t):
 ELEMENTS = """
 w as (select l_orderkey as file, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) - 1 as k, count(*) over (partition by l_orderkey) as n, l_discount as rms, l_quantity / 50 as low from lineitem),
 pk as (select file, n, max(rms) as peak, min_by(k, {'a': -rms, 'k': k}) as pi, round(avg(low), 4) as low_ratio, n * 75e-2 as duration from w group by file, n),
-f as (select w.file, any_value(pk.n) as n, any_value(duration) as duration, any_value(peak) as peak, any_value(low_ratio) as low_ratio, round_even(least(1, (any_value(pi) + 5e-1) * 75e-2 / any_value(duration)), 4) as peak_pos,
-  round_even(least(99, avg(rms) filter (where k >= w.n - greatest(1, w.n // 3)) / (avg(rms) filter (where k < greatest(1, w.n // 3)) + 1e-6)), 4) as rise_ratio,
-  round_even(case when any_value(pk.n) - any_value(pi) >= 3 then avg(case when nx <= rms * 105e-2 + 1e-6 then 1e0 else 0e0 end) filter (where k >= pi and nx is not null) else 1e0 end, 4) as decay,
-  round_even(max(rms) filter (where k = 0 or k = w.n - 1) / any_value(nullif(peak, 0)), 4) as edge
+f as (select w.file, any_value(pk.n) as n, any_value(duration) as duration, any_value(peak) as peak, any_value(low_ratio) as low_ratio, round_even(round(least(1, (any_value(pi) + 5e-1) * 75e-2 / any_value(duration)), 10), 4) as peak_pos,
+  round_even(round(least(99, avg(rms) filter (where k >= w.n - greatest(1, w.n // 3)) / (avg(rms) filter (where k < greatest(1, w.n // 3)) + 1e-6)), 10), 4) as rise_ratio,
+  round_even(round(case when any_value(pk.n) - any_value(pi) >= 3 then avg(case when nx <= rms * 105e-2 + 1e-6 then 1e0 else 0e0 end) filter (where k >= pi and nx is not null) else 1e0 end, 10), 4) as decay,
+  round_even(round(max(rms) filter (where k = 0 or k = w.n - 1) / any_value(nullif(peak, 0)), 10), 4) as edge
   from (select *, lead(rms) over (partition by file order by k) as nx from w) w join pk on pk.file = w.file group by w.file)
 """
 KIND = """
@@ -357,7 +357,7 @@ r as (select *, case kind when 'impact' then (greatest(0, least(1, (peak_pos - 1
   when 'braam' then (greatest(0, least(1, (low_ratio - 5e-1) / 4e-1)) + greatest(0, least(1, (peak_pos - 35e-2) / -35e-2))) / 2
   when 'riser' then (greatest(0, least(1, (peak_pos - 8e-1) / 2e-1)) + greatest(0, least(1, (least(rise_ratio, 6) - 15e-1) / 25e-1))) / 2
   when 'whoosh' then (greatest(0, least(1, (abs(peak_pos - 5e-1) - 3e-1) / -3e-1)) + greatest(0, least(1, (edge - 6e-1) / -5e-1))) / 2 end as raw from c)
-select file, kind, round(case when kind = 'other' then 0 else greatest(1e-1, raw) end, 4) as confidence from r
+select file, kind, round(case when kind = 'other' then 0 else greatest(1e-1, raw) end, 6) as confidence from r
 """
 
 
@@ -373,9 +373,9 @@ def envelopes(t):
 def classified(t):
     env = envelopes(t)
     files = env.groupBy("file").agg((F.count("*") * 0.75).alias("duration"), F.round(F.avg("low"), 4).alias("low_ratio"))
-    return pixels.classify_elements(env.drop("low"), files, window=0.75)
+    return pixels.classify_elements(env.drop("low"), files, window=0.75, digits=None)
 
 
 @query("sound_elements", oracle("", ELEMENTS + "," + KIND))
 def sound_elements(t):
-    return classified(t).select("file", "kind", F.round("confidence", 4).alias("confidence"))
+    return rounded(classified(t).select("file", "kind", "confidence"))

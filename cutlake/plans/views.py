@@ -68,6 +68,24 @@ from (select *, row_number() over (partition by user_id order by ts, event_id) a
 _NEEDS = {"b_markers": ["b_clips"]}
 
 
+def _steady(sql: str) -> str:
+    """``round(x, 6)`` written as ``round(round(x, 10), 6)``: halves then fall the same way in both engines."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            return "".join(out) + sql[i:]
+        k, depth = j + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = _steady(sql[j + 6 : k - 1])
+        if inner.endswith(", 6"):
+            inner = f"round({inner[:-3]}, 10), 6"
+        out.append(sql[i:j] + f"round({inner})")
+        i = k
+
+
 def oracle(views: str, body: str) -> str:
     """A complete SQL statement: the named views as CTEs, then ``body`` (CTE definitions and a select)."""
     names: list[str] = []
@@ -75,7 +93,7 @@ def oracle(views: str, body: str) -> str:
         for n in [*_NEEDS.get(v, []), v]:
             if n not in names:
                 names.append(n)
-    body = body.strip()
+    body = _steady(body.strip())
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
     if not ctes:
         return f"with {body}" if not body.lower().startswith("select") else body
