@@ -29,10 +29,10 @@ def range_join(
     a0, a1 = (col(c) for c in left_span)
     b0, b1 = (col(c) for c in right_span)
     w = F.lit(width)
-    lhs = left.withColumn("__a0", F.floor(a0 / w)).withColumn("__bin", F.explode(_bins(a0, a1, width)))
-    rhs = right.withColumn("__b0", F.floor(b0 / w)).withColumn("__bin", F.explode(_bins(b0, b1, width)))
-    first_shared = F.col("__bin") == F.greatest("__a0", "__b0")
-    return lhs.join(rhs, [*keys, "__bin"]).where(first_shared & (a0 <= b1) & (b0 <= a1)).drop("__bin", "__a0", "__b0")
+    lhs = left.withColumn("__left_bin", F.floor(a0 / w)).withColumn("__bin", F.explode(_bins(a0, a1, width)))
+    rhs = right.withColumn("__right_bin", F.floor(b0 / w)).withColumn("__bin", F.explode(_bins(b0, b1, width)))
+    first_shared = F.col("__bin") == F.greatest("__left_bin", "__right_bin")
+    return lhs.join(rhs, [*keys, "__bin"]).where(first_shared & (a0 <= b1) & (b0 <= a1)).drop("__bin", "__left_bin", "__right_bin")
 
 
 def union_intervals(

@@ -257,7 +257,7 @@ def version_matches(t):
     return sc.match_versions(old, new)
 
 
-@query("version_changes", oracle("b_entries", DIFF + "select pair_id, row_number() over (partition by pair_id order by case when kind in ('length', 'tempo') then 1 else 0 end, at, least(rk, 2), slot, rk) as line_no, kind, round(at, 6) as at, clip from ch"))
+@query("version_changes", oracle("b_entries", DIFF + "select pair_id, row_number() over (partition by pair_id order by case when kind in ('length', 'tempo') then 1 else 0 end, \"at\", least(rk, 2), slot, rk) as line_no, kind, round(\"at\", 6) as \"at\", clip from ch"))
 def version_changes(t):
     return rounded(sc.change_lines(sc.diff_plans(*versions(t))).drop("summary"))
 
@@ -385,8 +385,8 @@ def sound_cues(t):
 lib as (select concat('file_', cast(file as varchar)) as path, duration + file % 7 / 8e0 as d, kind, round(case when kind = 'other' then 0 else greatest(1e-1, raw) end, 6) as conf from r),
 best as (select kind, d, min_by(path, {'c': -conf, 'p': path}) as path, max(conf) as conf from lib where kind <> 'other' group by kind, d),
 cue as (select plan_id * 100 + row_number() over (partition by plan_id order by time, kind, length) as cue_id, case kind when 'sub-drop' then 'braam' else kind end as kind, case when kind = 'riser' then length end as target from sfx),
-pk as (select cue_id, b.kind as element, b.path, b.d, row_number() over (partition by cue_id order by case when target is null then 0 else round(abs(b.d - target), 9) end, -conf, path) as k from cue join best b on b.kind = cue.kind)
-select cue_id, element, path, round(d, 6) as duration from pk where k = 1
+picks as (select cue_id, b.kind as element, b.path, b.d, row_number() over (partition by cue_id order by case when target is null then 0 else round(abs(b.d - target), 9) end, -conf, path) as k from cue join best b on b.kind = cue.kind)
+select cue_id, element, path, round(d, 6) as duration from picks where k = 1
 """))
 def cue_files(t):
     from cutlake.functions.ordered import row_index, scan

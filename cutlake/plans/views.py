@@ -69,7 +69,7 @@ _NEEDS = {"b_markers": ["b_clips"]}
 
 
 def _steady(sql: str) -> str:
-    """``round(x, 6)`` written as ``round(round(x, 10), 6)``: halves then fall the same way in both engines."""
+    """``round(x, 6)`` written as ``round((x) + 1e-9, 6)``: halves then fall the same way in both engines."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -81,7 +81,7 @@ def _steady(sql: str) -> str:
             k += 1
         inner = _steady(sql[j + 6 : k - 1])
         if inner.endswith(", 6"):
-            inner = f"round({inner[:-3]}, 10), 6"
+            inner = f"({inner[:-3]}) + 1e-9, 6"
         out.append(sql[i:j] + f"round({inner})")
         i = k
 
