@@ -173,7 +173,7 @@ po as (select w.track_id, w.t, w.weight from wt w join bd on bd.track_id = w.tra
 f1 as (select track_id, min_by(t, {'w': -round(weight, 9), 't': t}) as t, max(weight) as weight from po group by track_id),
 p2 as (select po.* from po join f1 on f1.track_id = po.track_id where abs(po.t - f1.t) >= 4 - 1e-6),
 f2 as (select track_id, min_by(t, {'w': -round(weight, 9), 't': t}) as t, max(weight) as weight from p2 group by track_id)
-select track_id, round(t, 6) as t, round(weight, 6) as weight, 1 as rank from f1 union all select track_id, round(t, 6), round(weight, 6), 2 from f2
+select track_id, round(t, 6) as t, round(weight, 6) as weight, cast(1 as bigint) as rank from f1 union all select track_id, round(t, 6), round(weight, 6), 2 from f2
 """))
 def secondary_drops(t):
     s = Song(t)
@@ -225,7 +225,7 @@ def section_lookup(t):
 @query("best_window", oracle("b_beats", SONG + """,
 ok as (select track_id, duration, duration - 10 as mx from tracks where 10 < duration - 1e-6),
 ld as (select o.track_id, least(greatest(t - 15e-1, 0), mx) as start_s from ok o join bd on bd.track_id = o.track_id),
-cn as (select o.track_id, mx, c from ok o join (select track_id, start_s as c from sections union all select track_id, end_s - 10 from sections union all select track_id, 0 from ok union all select track_id, mx from ok) z on z.track_id = o.track_id where o.track_id not in (select track_id from bd) and c >= -1e-6 and c <= mx + 1e-6),
+cn as (select distinct o.track_id, mx, c from ok o join (select track_id, start_s as c from sections union all select track_id, end_s - 10 from sections union all select track_id, 0 from ok union all select track_id, mx from ok) z on z.track_id = o.track_id where o.track_id not in (select track_id from bd) and c >= -1e-6 and c <= mx + 1e-6),
 ws as (select cn.track_id, least(greatest(c, 0), mx) as c, sum(greatest(0, least(c + 10, end_s) - greatest(c, start_s)) * energy) / 10 as e from cn join sections s on s.track_id = cn.track_id group by cn.track_id, least(greatest(c, 0), mx), c, mx),
 be as (select track_id, min_by(c, {'e': -round(e, 6), 'c': c}) as start_s from ws group by track_id)
 select t.track_id, round(coalesce(ld.start_s, be.start_s, 0), 6) as start_s from tracks t left join ld on ld.track_id = t.track_id left join be on be.track_id = t.track_id
