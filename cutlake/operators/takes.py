@@ -9,7 +9,7 @@ from cutlake.functions.columns import col, hash_distance
 from cutlake.functions.greedy import greedy
 from cutlake.functions.ordered import following, islands, scan
 from cutlake.functions.staging import settle
-from cutlake.functions.text import length_bound, levenshtein_similarity, normalize, prefix_matches, similarity, words
+from cutlake.functions.text import length_bound, normalize, prefix_matches, similarity, words
 
 # Thresholds, weights, word lists and keyword tables.
 HERO_FLOOR, HERO_BONUS = 0.5, 0.2
@@ -145,6 +145,10 @@ def line_windows(
     asked = routes.join(windows, "take_id").join(said, "scene_id")
     least = F.when(F.col("width") == 1, F.lit(min(single, threshold))).otherwise(F.lit(threshold))
     near = asked.where(length_bound("line", "norm", mode) >= least - 1e-12)
+    # Comparing is the costly part and its input small, so it is spread over the cores instead of coalesced.
+    spark = lines.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = near.repartition(parts, "scene_id", "take_id", "line_no", "i", "width")
     scored = near.withColumn("similarity", similarity("line", "norm", mode))
     return scored.where(F.col("similarity") >= least).select(
         "scene_id", "take_id", "line_no", "i", "width", "similarity", "start_s", "end_s", "text"
