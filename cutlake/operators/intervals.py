@@ -577,25 +577,38 @@ def phase_spans(plans: DataFrame, drops: DataFrame, grid: DataFrame, plan: str =
     )
 
 
+def _bind(value: Column, use) -> Column:
+    """Name an intermediate value inside an expression, so that it is written and computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _floored(bounds: Column, ci: Column, length: Column) -> Column:
     """Raise squeezed phases on each side of the pinned border to the floor, taken from the longer ones."""
-    floor = ARC_FLOOR * length
 
     def side(b: Column, lo: Column, hi: Column) -> Column:
-        n, span = hi - lo, F.get(b, hi) - F.get(b, lo)
-        lens = F.transform(F.sequence(lo, hi - 1), lambda i: F.get(b, i + 1) - F.get(b, i))
-        tight = F.exists(lens, lambda x: x < floor - EPS)
-        raised = F.transform(lens, lambda x: F.greatest(x, floor))
-        surplus = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x - floor)
-        scale = F.when(surplus > EPS, (span - n * floor) / F.when(surplus > EPS, surplus)).otherwise(0.0)
-        sizes = F.transform(raised, lambda x: floor + (x - floor) * scale)
-        fresh = F.transform(
-            b,
-            lambda v, i: F.when(
-                (i > lo) & (i < hi), F.get(b, lo) + F.aggregate(F.slice(sizes, 1, F.greatest(i - lo, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
-            ).otherwise(v),
-        )
-        return F.when((n >= 2) & (span >= n * floor - EPS) & tight, fresh).otherwise(b)
+        given = F.struct(b.alias("b"), lo.alias("lo"), hi.alias("hi"), (ARC_FLOOR * length).alias("floor"))
+
+        def measured(g: Column) -> Column:
+            lens = F.transform(F.sequence(g["lo"], g["hi"] - 1), lambda i: F.get(g["b"], i + 1) - F.get(g["b"], i))
+            return _bind(F.struct(g.alias("g"), lens.alias("lens")), raised)
+
+        def raised(m: Column) -> Column:
+            up = F.transform(m["lens"], lambda x: F.greatest(x, m["g"]["floor"]))
+            spare = F.aggregate(up, F.lit(0.0), lambda a, x: a + x - m["g"]["floor"])
+            return _bind(F.struct(m["g"].alias("g"), m["lens"].alias("lens"), up.alias("up"), spare.alias("spare")), placed)
+
+        def placed(r: Column) -> Column:
+            g, n = r["g"], r["g"]["hi"] - r["g"]["lo"]
+            span = F.get(g["b"], g["hi"]) - F.get(g["b"], g["lo"])
+            scale = F.when(r["spare"] > EPS, (span - n * g["floor"]) / F.when(r["spare"] > EPS, r["spare"])).otherwise(0.0)
+            upto = lambda i: F.aggregate(
+                F.slice(r["up"], 1, F.greatest(i - g["lo"], F.lit(0))), F.lit(0.0), lambda a, x: a + g["floor"] + (x - g["floor"]) * scale
+            )
+            fresh = F.transform(g["b"], lambda v, i: F.when((i > g["lo"]) & (i < g["hi"]), F.get(g["b"], g["lo"]) + upto(i)).otherwise(v))
+            tight = F.exists(r["lens"], lambda x: x < g["floor"] - EPS)
+            return F.when((n >= 2) & (span >= n * g["floor"] - EPS) & tight, fresh).otherwise(g["b"])
+
+        return _bind(given, measured)
 
     return side(side(bounds, F.lit(0), ci), ci, F.size(bounds) - 1)
 

@@ -192,23 +192,34 @@ def parse_fcpxml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "file", F.col("a._id").alias("ref"), F.col("a._name").alias("asset_name"), rational(F.col("a._start")).alias("asset_start"),
         (F.col("a._hasVideo") == "1").alias("has_video"), (F.col("a._hasAudio") == "1").alias("has_audio"), F.col("a._src").alias("source_file"),
     )
-    clips = None
-    for kind in KINDS:
-        outer = good.select("file", "frame", F.explode(F.col("s.spine")[kind]).alias("e"))
-        outer = outer.withColumn("record", rational(F.col("e._offset"))).withColumn("start", rational(F.col("e._start")))
-        found = [outer.select("file", "frame", F.lit(kind).alias("tag"), F.col("e._ref").alias("ref"), F.col("e._name").alias("el_name"), rational(F.col("e._duration")).alias("duration"), "start", "record", F.col("e._lane").alias("lane"))]
-        for inner in KINDS[:-1]:
-            child = outer.select("file", "frame", "record", F.col("start").alias("p_start"), F.explode(F.col("e")[inner]).alias("c")).where(F.col("c._lane").isNotNull())
-            at = _plus(F.col("record"), _plus(rational(F.col("c._offset")), F.col("p_start"), -1))
-            found.append(child.select(
-                "file", "frame", F.lit(inner).alias("tag"), F.col("c._ref").alias("ref"), F.col("c._name").alias("el_name"), rational(F.col("c._duration")).alias("duration"),
-                rational(F.col("c._start")).alias("start"), at.alias("record"), F.col("c._lane").alias("lane"),
-            ))
-        for f in found if kind != "gap" else found[1:]:
-            clips = f if clips is None else clips.unionByName(f)
+    def element(e: Column, tag: str, inner: list[str]) -> Column:
+        fields = [F.lit(tag).alias("tag"), *[e[f"_{n}"].alias(n) for n in ("ref", "name", "offset", "duration", "start", "lane")]]
+        if inner:
+            fields.append(gathered(lambda k: e[k], inner, []).alias("children"))
+        return F.struct(*fields)
+
+    def gathered(read, kinds: list[str], inner: list[str]) -> Column:
+        def listed(k: str) -> Column:
+            return F.transform(read(k), lambda e: element(e, k, inner))
+
+        lists = [listed(k) for k in kinds]
+        kind = "struct<tag:string,ref:string,name:string,offset:string,duration:string,start:string,lane:string"
+        kind = f"array<{kind}>>" if not inner else f"array<{kind},children:array<{kind}>>>>"
+        return F.concat(*[F.coalesce(a, F.array().cast(kind)) for a in lists])
+
+    outer = good.select("file", "frame", F.explode(gathered(lambda k: F.col("s.spine")[k], KINDS, KINDS[:-1])).alias("e")).select("file", "frame", "e.*")
+    outer = outer.withColumns({"record": rational(F.col("offset")), "start": rational(F.col("start")), "duration": rational(F.col("duration"))})
+    child = outer.select("file", "frame", "record", F.col("start").alias("p_start"), F.explode("children").alias("c")).where(F.col("c.lane").isNotNull())
+    child = child.select("file", "frame", "record", "p_start", "c.*").withColumns(
+        {"offset": rational(F.col("offset")), "start": rational(F.col("start")), "duration": rational(F.col("duration"))}
+    )
+    at = _plus(F.col("record"), _plus(F.col("offset"), F.col("p_start"), -1))
+    cols = ["file", "frame", "tag", "ref", F.col("name").alias("el_name"), "duration", "start", "record", "lane"]
+    clips = outer.where("tag <> 'gap'").select(*cols).unionByName(child.withColumn("record", at).select(*cols))
     c = clips.join(assets, ["file", "ref"], "left").withColumn("lane", F.coalesce(F.col("lane").try_cast("int"), F.lit(0)))
     zero = F.struct(F.lit(0).cast("bigint").alias("num"), F.lit(1).cast("bigint").alias("den"))
-    shift = F.coalesce("asset_start", zero)
+    c = c.withColumn("shift", F.coalesce("asset_start", zero))
+    c = c.withColumns({"until": _plus(F.col("record"), F.col("duration")), "inside": _plus(F.col("start"), F.col("shift"), -1)})
     unknown = F.col("asset_name").isNull() & F.col("has_video").isNull()
     video = F.coalesce("has_video", unknown) | ~F.coalesce("has_audio", F.lit(False)) & ~F.coalesce("has_video", F.lit(False))
     sound = F.coalesce("has_audio", F.lit(False))
@@ -217,8 +228,8 @@ def parse_fcpxml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("lane") < 0, F.array(F.lit("audio"))
     ).otherwise(both)
     c = c.withColumns({
-        "record_in": _frames(F.col("record"), F.col("frame")), "record_out": _frames(_plus(F.col("record"), F.col("duration")), F.col("frame")),
-        "source_in": _frames(_plus(F.col("start"), shift, -1), F.col("frame")), "kind": F.explode(kinds),
+        "record_in": _frames(F.col("record"), F.col("frame")), "record_out": _frames(F.col("until"), F.col("frame")),
+        "source_in": _frames(F.col("inside"), F.col("frame")), "kind": F.explode(kinds),
     })
     lane = F.col("lane")
     track = F.when(
