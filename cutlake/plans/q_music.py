@@ -20,7 +20,7 @@ SONG = """
 tracks as (select track_id, count(*) * 5e-1 as duration from b_beats group by track_id),
 sections as (select b.track_id, i // 16 as k, i // 16 * 8e0 as start_s, least(min(duration), (i // 16 + 1) * 8e0) as end_s, avg(energy) as energy, case when avg(energy) < 65e-2 then 'low' when avg(energy) < 75e-2 then 'mid' else 'high' end as label
   from b_beats b join tracks t on t.track_id = b.track_id group by b.track_id, i // 16),
-dr as (select track_id, t from b_beats where energy >= 1 and i % 16 = 0),
+dr as (select track_id, t from b_beats where energy >= 1),
 en as (select d.track_id, d.t, sum(greatest(0, least(d.t, end_s) - greatest(d.t - 4, start_s)) * energy) / nullif(sum(greatest(0, least(d.t, end_s) - greatest(d.t - 4, start_s))), 0) as b,
     sum(greatest(0, least(d.t + 4, end_s) - greatest(d.t, start_s)) * energy) / nullif(sum(greatest(0, least(d.t + 4, end_s) - greatest(d.t, start_s))), 0) as a from dr d join sections s on s.track_id = d.track_id group by d.track_id, d.t),
 wt as (select track_id, t, greatest(coalesce(a, 0) - coalesce(b, 0), 0) + coalesce(a, 0) as weight from en),
@@ -41,7 +41,7 @@ class Song:
         self.sections = settle(means.select(
             "track_id", (F.col("k") * 8.0).alias("start_s"), F.least(F.col("duration"), (F.col("k") + 1) * 8.0).alias("end_s"), "energy", label.alias("label")
         ))
-        self.drops = b.where((F.col("energy") >= 1) & (F.col("i") % 16 == 0)).select("track_id", "t")
+        self.drops = b.where("energy >= 1").select("track_id", "t")
 
 
 def curve(t):

@@ -57,7 +57,7 @@ select conv_id as take_id, turn as seg, role as speaker, text, (e - length(text)
 from (select *, sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and current row) as e from conversations) a
 """,
     "b_annotations": """
-select doc_id as mid, lang as grp, source as tag, substring(text, 1, 80) as label, (doc_id % 11) / 1e1 as hero, (n_chars % 100) * 1e0 as start_s from documents
+select doc_id as mid, lang as grp, source as tag, text as label, (doc_id % 11) / 1e1 as hero, (n_chars % 100) * 1e0 as start_s from documents
 """,
     "b_beats": """
 select user_id as track_id, rn - 1 as i, (rn - 1) * 5e-1 + (event_id % 3) / 1e2 as t, least(1e0, value / 1e2) as energy
@@ -255,7 +255,7 @@ class Tables:
             F.col("doc_id").alias("mid"),
             F.col("lang").alias("grp"),
             F.col("source").alias("tag"),
-            F.substring("text", 1, 80).alias("label"),
+            F.col("text").alias("label"),
             ((F.col("doc_id") % 11) / 10.0).alias("hero"),
             (F.col("n_chars") % 100).cast("double").alias("start_s"),
         )
