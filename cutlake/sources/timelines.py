@@ -71,6 +71,13 @@ def read_edl_corpus(spark: SparkSession, path: str, fps: float) -> tuple[DataFra
     return parse_edl(to_lines(corpus(spark, path)), fps)
 
 
+def as_clips(rows: DataFrame, fps: float | None = None) -> DataFrame:
+    """Reader rows as the clip table the timeline operators take: one timeline per file, an id per clip."""
+    out = rows.withColumnRenamed("file", "timeline_id")
+    out = out.withColumn("clip_id", F.xxhash64("timeline_id", "kind", "track", "record_in", "record_out", "source_in", "name"))
+    return out if fps is None else out.withColumn("fps", F.lit(float(fps)))
+
+
 def edl_titles(lines: DataFrame) -> DataFrame:
     title = F.nullif(F.regexp_extract("line", r"(?i)^\s*TITLE:\s*(.*?)\s*$", 1), F.lit(""))
     return lines.where(title.isNotNull()).groupBy("file").agg(F.min_by(title, "pos").alias("title"))

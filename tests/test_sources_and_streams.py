@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from cutlake.operators import pacing, timeline
 from cutlake.sources import stores, timelines, transcripts
 from cutlake.streaming import jobs
 
@@ -31,6 +32,10 @@ def test_edl_folder(spark, tmp_path):
         (3, "video", "V1", "Third", 75, 175, "D"),
     ]
     assert sorted(r.pos for r in wrong.collect()) == [11, 12]
+    cuts = timelines.as_clips(clips, 25.0)
+    made = timeline.with_seconds(timeline.select_shots(cuts))
+    row = pacing.pacing_stats(made, pacing.extents_in_seconds(cuts)).first()
+    assert (row.shot_count, row.cut_count, row.duration_seconds) == (3, 2, 7.0)
 
 
 def test_edl_sink_writes_one_file_per_timeline(spark, tmp_path):
