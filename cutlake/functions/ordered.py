@@ -126,8 +126,11 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **runn
 
     carried = base.groupBy(*keys, CHUNK).agg(*summary).select(*keys, CHUNK, *carry)
     kept = [c for c in df.columns if c not in result]
+    # Spelled out, because rows that come from a join on the keys alone would count as clustered already and
+    # leave a hot key in one task.
+    spread = base.repartition(*keys, CHUNK) if local_cols else base
     return (
-        base.withColumns(local_cols)
+        spread.withColumns(local_cols)
         .join(carried, [*keys, CHUNK])
         .select(*kept, *[c.alias(n) for n, c in result.items()])
     )
@@ -151,7 +154,7 @@ def islands(
     """
     st = F.struct(*state)
     local = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    base = df.withColumn(CHUNK, chunk).withColumn("__prev", F.lag(st).over(local))
+    base = df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK).withColumn("__prev", F.lag(st).over(local))
     opens = F.col("__prev").isNull() | breaks(F.col("__prev"), st)
     numbered = base.withColumn("__run", F.sum(opens.cast("int")).over(local))
     pos = [F.col(c) for c in order]
