@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder the cluster names in ``spark.checkpoint.dir``, else a folder of the warehouse, which is shared as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="run-")
-    return _local[app]
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -28,6 +20,15 @@ def settle(df: DataFrame) -> DataFrame:
     of a recomputation of everything upstream.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stage-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove every stage this application has written; call it when no result that reads them is needed any more."""
+    jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/stage-{spark.sparkContext.applicationId}-*")) or []:
+        fs.delete(found.getPath(), True)
