@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import host_rules, mixing, near_takes, pieces, pii
+from cutlake.llm import host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, windows
 
 #: Tokenizer files are a parameter of the cluster; this is where the test box has them.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -90,6 +90,17 @@ from b join h on b.source is not distinct from h.source cross join k
 """
 
 
+@query("op2_repeated_passages")
+def op2(spark, path):
+    found = windows.repeated_passages(takes_of(spark, path))
+    return found.withColumnsRenamed({"take_id": "doc_id", "with_take_id": "with_doc_id"})
+
+
+@query("op3_licence_statements")
+def op3(spark, path):
+    return licences.licence_statements(takes_of(spark, path).select("take_id", "text")).withColumnRenamed("take_id", "doc_id")
+
+
 @query("op4_judged_takes", QUALITY_SQL)
 def op4(spark, path):
     judged = host_rules.judge_takes(takes_of(spark, path))
@@ -100,6 +111,11 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@query("op5_page_texts")
+def op5(spark, path):
+    return html_text.page_texts(table(spark, path, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op6_personal_spans")
 def op6(spark, path):
     found = pii.personal_spans(takes_of(spark, path))
@@ -112,6 +128,26 @@ def op6(spark, path):
     )
 
 
+@query("op7_packed_tokens")
+def op7(spark, path):
+    coded = pieces.plain_ids(takes_of(spark, path).select("take_id", "text"), PIECE_MODEL)
+    return packing.pack_takes(coded.select("take_id", F.col("piece_ids").alias("token_ids"))).withColumnRenamed("take_ids", "doc_ids")
+
+
+SEARCH_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s) t where rank <= 5
+"""
+
+
+@query("op8_top_vectors", SEARCH_SQL)
+def op8(spark, path):
+    vectors = table(spark, path, "embeddings").select("vec_id", search.scaled("embedding").alias("values"))
+    return search.top_vectors(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 @query("op9_near_takes")
 def op9(spark, path):
     near = near_takes.near_takes(takes_of(spark, path))
