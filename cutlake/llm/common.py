@@ -12,6 +12,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SMALL_ROWS = 200_000
 
 
+#: Rows of an Arrow batch: texts are of any length, and a Python worker holds a batch or two at a time.
+BATCH_ROWS = 400
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends whole texts to Python in batches of :data:`BATCH_ROWS` at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def others(df: DataFrame, needed: list[str], made: list[str]) -> list[str]:
     """Columns of ``df`` that pass through: neither needed nor named like a result (results win over clashing extra columns)."""
     taken = {c.lower() for c in [*needed, *made]}

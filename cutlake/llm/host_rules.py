@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cutlake.functions.staging import settle
-from cutlake.llm.common import attach, others
+from cutlake.llm.common import attach, others, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -57,6 +57,7 @@ def take_measures(takes: DataFrame) -> DataFrame:
     repeats. Null and empty texts have zero words and fail. Extra columns named like a result are replaced.
     """
     made = [*MEASURES, "base_failed"]
+    takes = small_batches(takes)
     out = takes.select("text", *others(takes, ["text"], made), _measures("text").alias("__m"))
     out = out.select("text", *others(out, ["text"], made), *[F.col(f"__m.{m}").alias(m) for m in MEASURES])
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
@@ -71,7 +72,7 @@ def rule_failures(noise: float) -> dict[str, Column]:
     }
 
 
-def host_verdicts(measured: DataFrame, noise: float = 1.0, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, noise: float = 1.0, max_rate: float = 0.75) -> DataFrame:
     """One row per ``source_name``: takes, failures of each rule, of any rule, shrunk rate ``host_rate``, ``host_failed``.
 
     The beta prior comes from the hosts' own rates by the method of moments: mean m, and variance v less the sampling
@@ -99,7 +100,7 @@ def host_verdicts(measured: DataFrame, noise: float = 1.0, max_rate: float = 0.5
     return counts.withColumn("host_rate", F.round(shrunk, 6)).withColumn("host_failed", F.col("host_rate") > max_rate)
 
 
-def judge_takes(takes: DataFrame, noise: float = 1.0, max_rate: float = 0.5) -> DataFrame:
+def judge_takes(takes: DataFrame, noise: float = 1.0, max_rate: float = 0.75) -> DataFrame:
     """Every take with its measures, ``base_failed``, its host's ``host_rate`` and the verdict ``kept``.
 
     ``takes``: source_name (the host), text, and any further columns, which pass through (unless named like a result).
@@ -108,6 +109,6 @@ def judge_takes(takes: DataFrame, noise: float = 1.0, max_rate: float = 0.5) ->
     made = [*MEASURES, "base_failed", "host_rate", "kept"]
     measured = take_measures(takes.select("source_name", "text", *others(takes, ["source_name", "text"], made)))
     light = settle(measured.select("source_name", *MEASURES))
-    verdicts = host_verdicts(light, noise, max_rate).select("source_name", "host_rate", "host_failed")
+    verdicts = host_verdicts(light, noise, max_rate).select("source_name", "host_rate", F.col("host_failed").alias("__failed"))
     out = attach(measured, verdicts, ["source_name"], F.struct(*[F.col(m) for m in MEASURES], F.length("text")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host_failed")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("__failed")).drop("__failed")

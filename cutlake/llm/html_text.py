@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from cutlake.functions.staging import settle
-from cutlake.llm.common import attach, others
+from cutlake.llm.common import attach, others, small_batches
 
 #: A subtree is a site's template if it is on at least so many different pages of the host, and on that share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -292,7 +292,7 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     template from ``min_pages`` texts and ``min_share`` of the host's texts on. A host's list is bounded by that share:
     at most 1/``min_share`` times the subtrees of an average page.
     """
-    hashed = settle(pages.select(host_of("url").alias("host"), _hashed("html").alias("h")).select("host", "h.hashes", "h.own"))
+    hashed = settle(small_batches(pages).select(host_of("url").alias("host"), _hashed("html").alias("h")).select("host", "h.hashes", "h.own"))
     texts = hashed.select("host", "own").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     seen = hashed.select("host", "own", F.explode("hashes").alias("hash")).distinct()
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -310,7 +310,7 @@ def page_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     """
     rest = others(pages, ["url", "html"], ["text", "n_chars"])
     templates = host_templates(pages, min_pages, min_share)
-    rows = pages.select("url", "html", *rest)
+    rows = small_batches(pages).select("url", "html", *rest)
     if templates.isEmpty():
         rows = rows.withColumn("__t", F.lit(None).cast("array<bigint>"))
     else:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from cutlake.llm.common import others
+from cutlake.llm.common import others, small_batches
 
 # Wordings of public licences, (licence, text).
 TEMPLATES: list[tuple[str, str]] = [
@@ -212,4 +212,4 @@ def licence_statements(takes: DataFrame, templates: list[tuple[str, str]] | None
             yield pd.Series(rows, dtype=object)
 
     rest = others(takes, ["text"], made)
-    return takes.select(*rest, F.explode(scan("text")).alias("__f")).select(*rest, "__f.*")
+    return small_batches(takes).select(*rest, F.explode(scan("text")).alias("__f")).select(*rest, "__f.*")

@@ -94,14 +94,14 @@ def mix_takes(takes: DataFrame, weights: DataFrame | None = None, budget: float
     is put where the source's words come nearest to its target. Equal hashes (rows that repeat id and text) go
     together. The result depends on the rows alone, so reruns agree. Null and empty texts have size 0. No takes: no rows.
     """
-    made = ["size", "source_size", "target", "taken", "hash", "rounds", "last"]
+    made = ["size", "source_size", "target", "taken"]
     rest = others(takes, ["take_id", "source_name", "text"], made)
-    rows = takes.select("take_id", "source_name", "text", *rest, n_words("text").alias("size"), place().alias("hash"))
-    sized = settle(rows.select("source_name", "size", "hash"))
-    cuts = _thresholds(sized, source_targets(sized, weights, budget, most))
-    out = attach(rows, cuts, ["source_name"], F.col("hash"))
-    taken = F.col("size") * (F.col("rounds") + (F.col("hash") <= F.col("last")).cast("bigint"))
-    return out.withColumn("taken", taken).drop("rounds", "last", "hash")
+    rows = takes.select("take_id", "source_name", "text", *rest, n_words("text").alias("size"), place().alias("__hash"))
+    sized = settle(rows.select("source_name", "size", F.col("__hash").alias("hash")))
+    cuts = _thresholds(sized, source_targets(sized, weights, budget, most)).withColumnsRenamed({"rounds": "__rounds", "last": "__last"})
+    out = attach(rows, cuts, ["source_name"], F.col("__hash"))
+    taken = F.col("size") * (F.col("__rounds") + (F.col("__hash") <= F.col("__last")).cast("bigint"))
+    return out.withColumn("taken", taken).drop("__rounds", "__last", "__hash")
 
 
 def repeated_takes(takes: DataFrame, weights: DataFrame | None = None, budget: float = 1.0, most: int = 3) -> DataFrame:

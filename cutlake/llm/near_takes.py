@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlake.functions.staging import settle
-from cutlake.llm.common import others
+from cutlake.llm.common import others, small_batches
 
 #: Bits of the topmost block that a node pair must share; the tries start at these bits.
 TOP, STARTS = 21, (0, 22, 43)
@@ -257,7 +257,7 @@ def near_takes(takes: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     """
     made = ["fingerprint", "component_id"]
     rest = others(takes, ["take_id", "text"], made)
-    rows = settle(takes.select("take_id", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
+    rows = settle(small_batches(takes).select("take_id", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
     grouped = _grouped(rows, max_bits)
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_value = grouped.join(firsts, "root").select(F.col("value").alias("fingerprint"), "component_id")
@@ -271,11 +271,11 @@ def first_takes(takes: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFr
     stays. Further columns pass through.
     """
     rest = others(takes, ["take_id", "text"], ["fingerprint"])
-    rows = settle(takes.select("take_id", "text", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
+    rows = settle(small_batches(takes).select("take_id", "text", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
     first = F.struct(F.col("first_id"), F.col("value"))
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("value"))
-    kept = _grouped(rows, max_bits).groupBy("root").agg(F.min_by(first, order).alias("f")).select("f.*")
-    same = F.col("take_id").eqNullSafe(F.col("first_id")) & (F.col("fingerprint") == F.col("value"))
+    kept = _grouped(rows, max_bits).groupBy("root").agg(F.min_by(first, order).alias("f")).select(F.col("f.first_id").alias("__id"), F.col("f.value").alias("__print"))
+    same = F.col("take_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__print"))
     row = F.struct("text", *rest)
     one = rows.join(kept, same, "left_semi").groupBy("take_id", "fingerprint").agg(F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"))).alias("r"))
     return one.select("take_id", "r.*")

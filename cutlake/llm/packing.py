@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutlake.llm.common import small_batches
+
 #: Tokens packed together in one go; bounds a task's memory whatever its partition holds.
 SHARD_TOKENS = 4_000_000
 
@@ -127,7 +129,7 @@ def pack_takes(tokens: DataFrame, length: int = 2048) -> DataFrame:
                 })
             yield pd.DataFrame(out)
 
-    return tokens.select(F.col("take_id").cast("bigint").alias("take_id"), "token_ids").mapInPandas(pack, PACKED)
+    return small_batches(tokens).select(F.col("take_id").cast("bigint").alias("take_id"), "token_ids").mapInPandas(pack, PACKED)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

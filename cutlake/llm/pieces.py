@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutlake.llm.common import others
+from cutlake.llm.common import others, small_batches
 
 SPACE = "▁"
 #: Distinct words whose paths a worker remembers; the memory is emptied when full.
@@ -177,7 +177,7 @@ def encode_takes(takes: DataFrame, model: str) -> DataFrame:
         for texts in batches:
             yield pd.Series([pieces.encode(t) for t in texts], dtype=object)
 
-    out = takes.select("text", *others(takes, ["text"], made), encoded("text").alias("piece_ids"))
+    out = small_batches(takes).select("text", *others(takes, ["text"], made), encoded("text").alias("piece_ids"))
     return out.withColumn("n_pieces", F.size("piece_ids").cast("bigint"))
 
 
@@ -191,7 +191,7 @@ def plain_ids(takes: DataFrame, model: str) -> DataFrame:
         for texts in batches:
             yield pd.Series(pieces.encode([t or "" for t in texts], num_threads=1), dtype=object)
 
-    return takes.select("text", *rest, encoded("text").alias("piece_ids"))
+    return small_batches(takes).select("text", *rest, encoded("text").alias("piece_ids"))
 
 
 def decode_takes(encoded: DataFrame, model: str) -> DataFrame:
@@ -206,4 +206,4 @@ def decode_takes(encoded: DataFrame, model: str) -> DataFrame:
         for rows in batches:
             yield pd.Series([pieces.decode([] if r is None else list(r)) for r in rows], dtype=object)
 
-    return encoded.select("piece_ids", *others(encoded, ["piece_ids"], ["decoded"]), decoded("piece_ids").alias("decoded"))
+    return small_batches(encoded).select("piece_ids", *others(encoded, ["piece_ids"], ["decoded"]), decoded("piece_ids").alias("decoded"))

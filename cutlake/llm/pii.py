@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from cutlake.llm.common import others
+from cutlake.llm.common import others, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -98,8 +98,10 @@ LETTERS = re.compile(r"[^\W\d_]{2}")
 #: Bracketed or encoded "at" and "dot"; the blanks around them belong to the disguise.
 AT = re.compile(r"[\x20\t]{0,3}(?:[\[({<][\x20\t]{0,3}(?:at|@|arroba)[\x20\t]{0,3}[\])}>]|&#64;|&#x40;|&commat;|%40)[\x20\t]{0,3}", re.I)
 DOT = re.compile(r"[\x20\t]{0,3}(?:[\[({<][\x20\t]{0,3}(?:dot|\.|point|punkt|punto)[\x20\t]{0,3}[\])}>]|&#46;|&#x2e;|&period;)[\x20\t]{0,3}", re.I)
+# Endings of addresses that are told apart from words of a sentence.
+ENDINGS = "com|org|net|edu|gov|info|biz|io|co|eu|uk|us|de|at|ch|fr|es|it|nl|be|pt|pl|se|dk|fi|ie|ca|au|nz|br|mx|ar|in|jp|cn|tv|me|dev|app"
 #: Plain words, only in the whole shape of an address: name at host dot ending.
-WORDS = re.compile(rf"(?<=[A-Za-z0-9])[\x20\t]{{1,3}}at[\x20\t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}[A-Za-z0-9-]{{1,63}})+)", re.I)
+WORDS = re.compile(rf"(?<=[A-Za-z0-9])[\x20\t]{{1,3}}at[\x20\t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}[A-Za-z0-9-]{{1,63}})*[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}(?:{ENDINGS})(?![A-Za-z0-9-]))", re.I)
 WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]{1,3}dot[\x20\t]{1,3}(?=[A-Za-z0-9])", re.I)
 #: A text without any of these is its own rewriting: a look-alike, a bracketed or encoded sign, "dot" as a word, or
 #: three spelled digits in a row.
@@ -268,7 +270,7 @@ def personal_spans(takes: DataFrame) -> DataFrame:
     ``takes``: text and any further columns, which pass through (unless named like the result). Spans come by kind
     (email, ip, card, phone), then start. Null and empty texts have none; repeated rows get theirs each.
     """
-    return takes.select("text", *others(takes, ["text"], ["spans"]), _spans("text").alias("spans"))
+    return small_batches(takes).select("text", *others(takes, ["text"], ["spans"]), _spans("text").alias("spans"))
 
 
 def masked_text(text: str | Column = "text") -> Column:

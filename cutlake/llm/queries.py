@@ -85,7 +85,7 @@ h as (select source, count(*) as n, sum(cast(failed as bigint)) as f from b grou
 p as (select avg(f / n) as m, avg((f / n) * (f / n)) as m2, avg(1 / n) as inv from h),
 k as (select m, case when m2 - m * m - m * (1 - m) * inv > 1e-12 then least(1e4, greatest(1e0, m * (1 - m) / (m2 - m * m - m * (1 - m) * inv) - 1)) else 1e4 end as k from p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and (h.f + k.m * k.k) / (h.n + k.k) <= 5e-1 as kept
+  not base_failed and (h.f + k.m * k.k) / (h.n + k.k) <= 75e-2 as kept
 from b join h on b.source is not distinct from h.source cross join k
 """
 
