@@ -1,52 +1,31 @@
-"""Greedy selection per key: take rows in order, skip what clashes with a row taken before, stop at k."""
+"""Greedy selection along clashes: a row is taken unless an earlier row that it clashes with is."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutlake.functions.staging import settle
 
 
-def greedy(
-    pool: DataFrame, keys: list[str], order: list[Column], k: int, clash: Callable[[Column, Column], Column], cols: list[str],
-    start: DataFrame | None = None, batch: int = 256,
-) -> DataFrame:
-    """Rows of ``pool`` chosen greedily, with their place in ``pick`` (rows of ``start`` come first).
+def first_free(rows: DataFrame, clashes: DataFrame, taken: DataFrame, keys: list[str], row_id: str = "mid") -> DataFrame:
+    """The rows (keys, ``row_id``) a walk in order would take.
 
-    ``clash(taken, row)`` compares structs of ``cols``. Only the first ``batch`` candidates of a key are gathered
-    at a time; a key that is not full after them goes on with its next candidates in another round, so the
-    choice is the same as one walk over everything while no group is ever collected whole.
+    ``clashes`` (keys, a, b) are pairs whose row ``a`` comes before ``b``; rows of ``taken`` are in already and come before
+    all others. Rows without an open clash are in, rows that clash with one that is in are out, and so on:
+    a round for every link of the longest chain of clashes. Nothing but clashing rows is looked at.
     """
-    ranked = pool.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    head = ranked.where(F.col("__rank") <= batch)
-    row = F.struct(F.col("__rank").cast("bigint").alias("__rank"), *cols)
-    rows = head.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__l"))
-    kind = dict(rows.dtypes)["__l"]
-    if start is not None:
-        # Rows chosen earlier, at most k per key.
-        before = start.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("pick").cast("bigint").alias("__rank"), *cols))).alias("__s")
-        )
-        rows = rows.join(before, keys, "full")
-        rows = rows.withColumn("__s", F.coalesce(F.col("__s").cast(kind), F.array().cast(kind))).withColumn("__l", F.coalesce("__l", F.array().cast(kind)))
-    else:
-        rows = rows.withColumn("__s", F.array().cast(kind))
-
-    def step(taken: Column, x: Column) -> Column:
-        free = ~F.exists(taken, lambda o: clash(o, x))
-        return F.when((F.size(taken) < k) & free, F.concat(taken, F.array(x))).otherwise(taken)
-
-    chosen = settle(rows.select(*keys, F.aggregate("__l", F.col("__s"), step).alias("__t")))
-    out = chosen.select(*keys, F.posexplode("__t").alias("__p", "__x")).select(
-        *keys, (F.col("__p") + 1).cast("bigint").alias("pick"), *[F.col(f"__x.{c}").alias(c) for c in cols]
-    )
-    hungry = chosen.where(F.size("__t") < k).select(*keys)
-    rest = ranked.where(F.col("__rank") > batch).join(hungry, keys, "left_semi")
-    if rest.isEmpty():
-        return out
-    full = out.join(hungry, keys, "left_anti")
-    more = greedy(rest.drop("__rank"), keys, order, k, clash, cols, out.join(hungry, keys, "left_semi"), batch * 4)
-    return full.unionByName(more)
+    edges = settle(clashes.select(*keys, "a", "b"))
+    later = edges.select(*keys, F.col("b").alias(row_id)).distinct()
+    inside = rows.select(*keys, row_id).join(later, [*keys, row_id], "left_anti")
+    fresh = taken.select(*keys, row_id).unionByName(inside)
+    out = inside
+    while not edges.isEmpty():
+        gone = settle(edges.join(fresh.withColumnRenamed(row_id, "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias(row_id)).distinct())
+        rest = edges.join(gone.withColumnRenamed(row_id, "b"), [*keys, "b"], "left_anti").join(gone.withColumnRenamed(row_id, "a"), [*keys, "a"], "left_anti")
+        rest = settle(rest)
+        waiting = edges.select(*keys, F.col("b").alias(row_id)).distinct().join(gone, [*keys, row_id], "left_anti")
+        fresh = settle(waiting.join(rest.select(*keys, F.col("b").alias(row_id)).distinct(), [*keys, row_id], "left_anti"))
+        out = out.unionByName(fresh)
+        edges = rest
+    return out

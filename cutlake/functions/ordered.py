@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlake.functions.columns import col
+from cutlake.functions.staging import settle
 
 CHUNK = "__chunk"
 
@@ -177,24 +178,20 @@ def islands(
     def finish(name: str, kind: str) -> Column:
         return (F.col(name)["v"] if kind in ("first", "last") else F.col(name)).alias(name)
 
-    done = [finish(n, k) for n, (k, _) in aggs.items()]
-    inner = runs.where(~edge).select(*keys, *done)
-    across = Window.partitionBy(*keys).orderBy(CHUNK, "__run")
-    last = F.lag(F.struct("__tail", CHUNK)).over(across)
-    joined = runs.where(edge).withColumn("__last", last)
+    # The edge runs of a key meet in one place, two of a chunk at most; inner runs stay with their chunk and are whole.
+    placed = runs.withColumn("__edge", edge).withColumn("__part", F.when(~edge, F.col(CHUNK)))
+    across = Window.partitionBy(*keys, "__part").orderBy(CHUNK, "__run")
+    joined = placed.withColumn("__last", F.lag(F.struct("__tail", CHUNK)).over(across))
     fresh = (
-        F.col("__last").isNull()
+        ~F.col("__edge")
+        | F.col("__last").isNull()
         | (F.col(f"__last.{CHUNK}") == F.col(CHUNK))
         | breaks(F.col("__last.__tail.v"), F.col("__head.v"))
     )
     joined = joined.withColumn("__group", F.sum(fresh.cast("int")).over(across))
     merge = {"sum": F.sum, "min": F.min, "max": F.max, "first": F.min, "last": F.max}
-    outer = (
-        joined.groupBy(*keys, "__group")
-        .agg(*[merge[k](n).alias(n) for n, (k, _) in aggs.items()])
-        .select(*keys, *done)
-    )
-    return inner.select(*keys, *names).unionByName(outer.select(*keys, *names))
+    out = joined.groupBy(*keys, "__part", "__group").agg(*[merge[k](n).alias(n) for n, (k, _) in aggs.items()])
+    return out.select(*keys, *[finish(n, k) for n, (k, _) in aggs.items()]).select(*keys, *names)
 
 
 def halo(df: DataFrame, position: str | Column, width: float, before: float, after: float) -> DataFrame:
@@ -226,22 +223,30 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], chunk: Column) -> D
     return base.join(per_chunk, [*keys, CHUNK]).drop(CHUNK)
 
 
+CELLS = 256
+
+
+def _celled(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts`` (keys, value, __c) with the key's number of rows ``__n`` and a ``__cell`` that grows with the value.
+
+    Cell edges are approximate quantiles of the key's different values, so cells are about equally deep.
+    """
+    steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    stats = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.percentile_approx(F.col(value).cast("double"), steps, F.lit(4 * CELLS)).alias("__edges"))
+    out = attach(counts, stats, keys, F.pmod(F.xxhash64(value), F.lit(64)))
+    at = F.size(F.filter(F.array_distinct("__edges"), lambda e: e < F.col(value).cast("double"))).cast("bigint")
+    return out.withColumn("__cell", at).drop("__edges")
+
+
 def pick_ranks(df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
     """Exact order statistics: the values at given 0-based ranks of each key's sorted list.
 
-    ``ranks(n)`` returns name → rank expressions. Values are counted per (key, value) first, then a
-    1024-cell histogram per key finds the cell of every rank, and only those cells are sorted. No task
-    ever holds a whole key.
+    ``ranks(n)`` returns name → rank expressions. Values are counted per (key, value) first, then cells of about equally
+    many different values per key find where every rank lies, and only those cells are sorted. However the values are
+    spread, no task holds a whole key.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    span = counts.groupBy(*keys).agg(
-        F.sum("__c").alias("__n"), F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi")
-    )
-    cell = F.when(
-        F.col("__hi") > F.col("__lo"),
-        F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1023),
-    ).otherwise(F.lit(0).cast("bigint"))
-    celled = counts.join(span, keys).withColumn("__cell", cell)
+    celled = _celled(counts, keys, value)
     cells = celled.groupBy(*keys, "__n", "__cell").agg(F.sum("__c").alias("__w"))
     upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumn("__end", F.sum("__w").over(upto))
@@ -304,18 +309,22 @@ def linear_percentiles(df: DataFrame, keys: list[str], value: str, **quantiles:
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Average rank of ties scaled to 0..1; a key with a single row gets 0.5.
 
-    The ranking runs over the distinct values of a key, in 1024 value cells; the result joins back on
+    The ranking runs over the distinct values of a key, in cells of about equally many; the result joins back on
     (key, value).
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    span = counts.groupBy(*keys).agg(
-        F.sum("__c").alias("__n"), F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi")
-    )
-    cell = F.when(
-        F.col("__hi") > F.col("__lo"),
-        F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 1023),
-    ).otherwise(F.lit(0).cast("bigint"))
-    ranked = scan(counts.join(span, keys), keys, [value], cell, __upto=running_sum("__c"))
+    ranked = scan(_celled(counts, keys, value), keys, [value], F.col("__cell"), __upto=running_sum("__c"))
     scaled = (F.col("__upto") - F.col("__c") + F.col("__upto") - 1) / 2 / (F.col("__n") - 1)
     table = ranked.select(*keys, value, F.when(F.col("__n") > 1, scaled).otherwise(0.5).alias(name))
     return df.join(table, [*keys, value])
+
+
+def global_ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Position of every row in one order of the whole table, from 1: sorted ranges are numbered by themselves, and the
+    sizes of the ranges before are added. Rows with equal order columns may change places between runs."""
+    ranged = settle(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__rows")).withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.join(sizes, "__range").withColumn(name, F.col("__before") + inside).drop("__range", "__rows", "__before")

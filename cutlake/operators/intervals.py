@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cutlake.functions.columns import basename, overlap
 from cutlake.functions.intervals import range_join, union_intervals
 from cutlake.functions.ordered import (
-    carry_backward, carry_forward, following, islands, max_before, previous, row_index, running_sum, scan, total,
+    carry_backward, carry_forward, following, global_ranks, islands, max_before, previous, row_index, running_sum, scan,
 )
 from cutlake.functions.staging import settle
 
@@ -143,56 +143,19 @@ def _pool_order() -> list[Column]:
     return [F.desc("score"), F.desc("hero"), F.asc("clip_path"), F.asc("start_s"), F.asc("mid")]
 
 
-def bench(
-    plans: DataFrame, entries: DataFrame, moments: DataFrame, k: int = 20, plan: str = "plan_id", head: int = 512,
-) -> DataFrame:
+def bench(plans: DataFrame, entries: DataFrame, moments: DataFrame, k: int = 20, plan: str = "plan_id") -> DataFrame:
     """The ``k`` strongest moments no entry of a plan draws from, for every plan.
 
-    The order of the pool is the same for all plans, so each plan needs only the start of it: the first
-    ``head`` moments, a bounded table, are matched with the entries and the used ones left out. Plans that
-    use up more of the head than that allows take the full way over used ranks and the gaps between them.
+    The order of the pool is the same for all plans: the ranks a plan uses are sorted, the first ``k`` ranks between
+    them are free.
     """
-    top = settle(moments.orderBy(*_pool_order()).limit(head))
-    ranked = top.withColumn("pool_rank", F.row_number().over(Window.orderBy(*_pool_order())))
-    short = ranked.agg(F.count("*").alias("__size"), F.max("pool_rank").alias("__last"))
-    ranges = entries.select("clip_path", "source_start", "source_end").distinct()
-    hits = range_join(
-        ranges, ranked.select("clip_path", "start_s", "end_s", "pool_rank"), ["clip_path"], ("source_start", "source_end"), ("start_s", "end_s"), BIN
-    ).where(overlap(F.col("start_s"), F.col("end_s"), F.col("source_start"), F.col("source_end")) > EPS)
-    hits = hits.groupBy("clip_path", "source_start", "source_end").agg(F.collect_set("pool_rank").alias("__used"))
-    used = (
-        entries.join(hits, ["clip_path", "source_start", "source_end"])
-        .select(plan, F.explode("__used").alias("__u")).distinct()
-        .groupBy(plan).agg(F.collect_set("__u").alias("__used"))
-    )
-    free = plans.select(plan).join(used, plan, "left").join(F.broadcast(short)).withColumn(
-        "__free",
-        F.when(F.col("__size") > 0, F.array_except(F.sequence(F.lit(1), F.col("__last")), F.coalesce("__used", F.array().cast("array<int>")))).otherwise(
-            F.array().cast("array<int>")
-        ),
-    )
-    enough = (F.size("__free") >= k) | (F.col("__size") < head)
-    done = free.where(enough).select(plan, F.posexplode(F.slice("__free", 1, k)).alias("rank", "pool_rank"))
-    done = done.join(F.broadcast(ranked), "pool_rank").withColumn("rank", (F.col("rank") + 1).cast("bigint"))
-    rest = free.where(~enough).select(plan)
-    full = _bench_by_gaps(rest, entries, moments, k, plan)
-    cols = [plan, "rank", *moments.columns]
-    return done.select(*cols).unionByName(full.select(*cols))
-
-
-def _bench_by_gaps(plans: DataFrame, entries: DataFrame, moments: DataFrame, k: int, plan: str) -> DataFrame:
-    """Bench over the whole pool: ranks a plan uses are sorted, the first ``k`` ranks between them are free."""
-    pool = moments.withColumn("__one", F.lit(1)).withColumn("__down", -F.col("score")).withColumn("__hdown", -F.col("hero"))
-    ranked = scan(
-        pool, ["__one"], ["__down", "__hdown", "clip_path", "start_s", "mid"], F.floor(F.col("__down") * 1000),
-        pool_rank=row_index(), __all=total(F.lit(1).cast("bigint")),
-    ).drop("__one", "__down", "__hdown")
+    ranked = settle(global_ranks(moments, _pool_order(), "pool_rank"))
     mine = entries.join(plans, plan, "left_semi").select(plan, "clip_path", "source_start", "source_end")
     hits = range_join(
         mine, ranked.select("clip_path", "start_s", "end_s", "pool_rank"), ["clip_path"], ("source_start", "source_end"), ("start_s", "end_s"), BIN
     ).where(overlap(F.col("start_s"), F.col("end_s"), F.col("source_start"), F.col("source_end")) > EPS)
     used = hits.select(plan, "pool_rank").distinct()
-    size = ranked.agg(F.max("__all").alias("__all"))
+    size = ranked.agg(F.count("*").alias("__all"))
     stops = used.unionByName(plans.join(F.broadcast(size)).select(plan, (F.col("__all") + 1).alias("pool_rank")))
     stops = scan(stops, [plan], ["pool_rank"], F.floor(F.col("pool_rank") / 4096), __i=row_index(), __back=previous("pool_rank"))
     start = F.coalesce("__back", F.lit(0)) + 1
@@ -201,7 +164,7 @@ def _bench_by_gaps(plans: DataFrame, entries: DataFrame, moments: DataFrame, k:
     gaps = stops.where((F.col("pool_rank") > start) & (before < k)).select(
         plan, (before - start + 1).alias("__shift"), F.explode(F.sequence(start, want)).alias("pool_rank")
     )
-    return gaps.withColumn("rank", F.col("pool_rank") + F.col("__shift")).join(ranked, "pool_rank").drop("pool_rank", "__shift", "__all")
+    return gaps.withColumn("rank", F.col("pool_rank") + F.col("__shift")).join(ranked, "pool_rank").select(plan, "rank", *moments.columns)
 
 
 def alternatives(benches: DataFrame, slots: DataFrame, k: int = 6, plan: str = "plan_id") -> DataFrame:

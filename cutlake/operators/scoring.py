@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cutlake.functions.columns import basename, clamp, col, first_by
 from cutlake.functions.intervals import range_join, union_intervals
 from cutlake.functions.ordered import (
-    attach, carry_backward, carry_forward, following, max_before, pick_ranks, previous, row_index, scan,
+    attach, carry_backward, carry_forward, following, global_ranks, max_before, pick_ranks, previous, row_index, scan,
 )
 from cutlake.functions.staging import settle
 from cutlake.operators.intervals import BIN, CARRIERS, by_slot, label_at
@@ -78,9 +78,7 @@ def inventory(moments: DataFrame) -> DataFrame:
 
 def pool_ranks(moments: DataFrame) -> DataFrame:
     """Position of every moment in the pool order (score desc, path, start), without one sorting task."""
-    one = moments.withColumn("__one", F.lit(1)).withColumn("__down", -F.col("score"))
-    order = ["__down", "clip_path", "start_s", "mid"]
-    return scan(one, ["__one"], order, F.floor(F.col("__down") * 1000), pool_rank=row_index()).drop("__one", "__down")
+    return global_ranks(moments, [F.desc("score"), F.asc("clip_path"), F.asc("start_s"), F.asc("mid")], "pool_rank")
 
 
 def daylight_targets(slots: DataFrame, moments: DataFrame) -> DataFrame:
@@ -384,14 +382,14 @@ def mmss(seconds: Column) -> Column:
 
 
 def diff_plans(old: DataFrame, new: DataFrame, plans: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """Change list from old to new entries; ``plans`` has (pair, old_duration, new_duration, old_tempo, new_tempo)."""
+    """Change list from old to new entries with the value that changed before (``was``) and after (``now``); ``plans`` has (pair, old_duration, new_duration, old_tempo, new_tempo)."""
     pairs = settle(match_versions(old, new, pair))
     name = basename(F.regexp_replace("clip_path", r"\\", "/"))
     at = F.col("record_start")
 
-    def row(kind: str | Column, rank: int, text: Column, df: DataFrame, clip: Column = name, when: Column = at, slot: Column = F.col("slot")) -> DataFrame:
-        k = F.lit(kind) if isinstance(kind, str) else kind
-        return df.select(pair, k.alias("kind"), when.alias("at"), clip.alias("clip"), text.alias("summary"), F.lit(rank).alias("__rank"), slot.alias("__slot"))
+    def row(kind: str, rank: int, df: DataFrame, was: Column | None = None, now: Column | None = None, clip: Column = name, when: Column = at, slot: Column = F.col("slot")) -> DataFrame:
+        value = lambda c: (F.lit(None) if c is None else c).cast("double")
+        return df.select(pair, F.lit(kind).alias("kind"), when.alias("at"), clip.alias("clip"), value(was).alias("was"), value(now).alias("now"), F.lit(rank).alias("__rank"), slot.alias("__slot"))
 
     added = new.join(pairs.select(pair, F.col("new_slot").alias("slot")), [pair, "slot"], "left_anti")
     removed = old.join(pairs.select(pair, F.col("old_slot").alias("slot")), [pair, "slot"], "left_anti")
@@ -401,21 +399,16 @@ def diff_plans(old: DataFrame, new: DataFrame, plans: DataFrame, pair: str = "pa
     trimmed = (F.abs(F.col("source_start") - F.col("o_source_start")) > CHANGE_EPS) | (F.abs(F.col("source_end") - F.col("o_source_end")) > CHANGE_EPS)
     longer = (F.col("record_end") - F.col("record_start")) - (F.col("o_record_end") - F.col("o_record_start"))
     dissolve, was_dissolve = F.col("transition") > CHANGE_EPS, F.col("o_transition") > CHANGE_EPS
-    verb = lambda d: F.when(d > 0, "longer").otherwise("shorter")
-    tenth = lambda d: F.format_string("%.1f", F.round(F.abs(d), 6))
-    now = F.when(dissolve, "a dissolve").otherwise("a hard cut")
+    length, was_length = F.col("record_end") - F.col("record_start"), F.col("o_record_end") - F.col("o_record_start")
     whole = plans.withColumn("__d", F.col("new_duration") - F.col("old_duration")).withColumn("__t", F.col("new_tempo") - F.col("old_tempo"))
-    none, zero, last = F.lit(""), F.lit(0.0), F.lit(0).cast("bigint")
+    plan_row = {"clip": F.lit(""), "when": F.lit(0.0), "slot": F.lit(0).cast("bigint")}
     parts = [
-        row("added", 0, F.concat(F.lit("Added "), name, F.lit(" at "), mmss(at)), added),
-        row("removed", 1, F.concat(F.lit("Removed "), name, F.lit(" (was at "), mmss(at), F.lit(")")), removed),
-        row("trimmed", 2, F.concat(F.lit("Re-trimmed "), name, F.lit(" at "), mmss(at)), kept.where(trimmed)),
-        row("retimed", 2, F.concat(name, F.lit(" is "), tenth(longer), F.lit("s "), verb(longer), F.lit(" at "), mmss(at)), kept.where(~trimmed & (F.abs(longer) > CHANGE_EPS))),
-        row("transition", 3, F.concat(name, F.lit(" is now "), now, F.lit(" at "), mmss(at)), kept.where(dissolve != was_dissolve)),
-        row("length", 4, F.concat(F.lit("Cut is "), tenth(F.col("__d")), F.lit("s "), verb(F.col("__d")), F.lit(" ("), mmss(F.col("old_duration")), F.lit(" -> "), mmss(F.col("new_duration")), F.lit(")")),
-            whole.where(F.abs("__d") > LENGTH_CHANGE), none, zero, last),
-        row("tempo", 5, F.concat(F.lit("Tempo "), F.bround("old_tempo").cast("bigint"), F.lit(" -> "), F.bround("new_tempo").cast("bigint"), F.lit(" BPM")),
-            whole.where((F.col("old_tempo") != 0) & (F.col("new_tempo") != 0) & (F.abs("__t") > TEMPO_CHANGE)), none, zero, last),
+        row("added", 0, added), row("removed", 1, removed),
+        row("trimmed", 2, kept.where(trimmed), F.col("o_source_start"), F.col("source_start")),
+        row("retimed", 2, kept.where(~trimmed & (F.abs(longer) > CHANGE_EPS)), was_length, length),
+        row("transition", 3, kept.where(dissolve != was_dissolve), F.col("o_transition"), F.col("transition")),
+        row("length", 4, whole.where(F.abs("__d") > LENGTH_CHANGE), F.col("old_duration"), F.col("new_duration"), **plan_row),
+        row("tempo", 5, whole.where((F.col("old_tempo") != 0) & (F.col("new_tempo") != 0) & (F.abs("__t") > TEMPO_CHANGE)), F.col("old_tempo"), F.col("new_tempo"), **plan_row),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -431,16 +424,15 @@ def change_lines(changes: DataFrame, pair: str = "pair_id") -> DataFrame:
     rows = changes.withColumns({"__last": plan_level, "__k": rank})
     chunk = F.col("__last") * 1_000_000 + F.floor(F.col("at") / 600)
     out = scan(rows, [pair], ["__last", "at", "__k", "__slot", "__rank"], chunk, line_no=row_index())
-    return out.select(pair, "line_no", "kind", "at", "clip", "summary")
+    return out.select(pair, "line_no", "kind", "at", "clip", "was", "now")
 
 
 def change_summary(changes: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """Added, removed and other counts per pair, with the headline of a hand-over note."""
-    out = changes.groupBy(pair).agg(
+    """Added, removed and other changes per pair."""
+    return changes.groupBy(pair).agg(
         F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"),
         F.count_if(~F.col("kind").isin("added", "removed")).alias("other"),
     )
-    return out.withColumn("headline", F.concat(F.col("added"), F.lit(" added, "), F.col("removed"), F.lit(" removed, "), F.col("other"), F.lit(" other")))
 
 
 def snapshots(saves: DataFrame, project: str = "project", order: str = "saved_no", chunk: Column | None = None, keep: int = SNAPSHOTS) -> DataFrame:
@@ -492,16 +484,10 @@ def coverage(moments: DataFrame, clips: DataFrame, target: float | None = None,
     share = F.when(F.col("__d") > EPS, clamp(1 - F.col("__u") / F.when(F.col("__d") > EPS, F.col("__d")), 0.0, 1.0)).otherwise(0.0)
     out = out.withColumn("unusable_share", share)
     risk = F.lit(target) > F.col("usable_seconds") + EPS if target else F.lit(None).cast("boolean")
-    whole = lambda c: F.bround(c).cast("bigint").cast("string")
-    unseen = [
-        ("opener", "no opener — nothing establishes place or subject"), ("closer", "no closer — nothing to end the cut on"),
-        ("heroes", "no hero shot — nothing strong enough for the drop"),
-    ]
     notes = [
-        F.when(risk, F.concat(F.lit("only "), whole(F.col("usable_seconds")), F.lit(f"s of unique material for a {target or 0:.0f}s target — the cut shortens to the material (or repeats footage if repeats are allowed)"))),
-        F.when((F.col("__d") > EPS) & (F.col("unusable_share") >= 0.5), F.concat(whole(F.col("unusable_share") * 100), F.lit("% of the footage is unusable (too dark, blurry or shaky)"))),
-        *[F.when(F.col("vision") & (F.col(c) == 0), F.lit(text)) for c, text in unseen],
-        F.when(F.col("vision") & (F.col("groups") == 1) & (F.col("moments") >= 2), F.lit("everything is one scene group — the cut will feel repetitive")),
+        F.when(risk, F.lit("short_of_target")), F.when((F.col("__d") > EPS) & (F.col("unusable_share") >= 0.5), F.lit("mostly_unusable")),
+        *[F.when(F.col("vision") & (F.col(c) == 0), F.lit(f"no_{c}")) for c in ("opener", "closer", "heroes")],
+        F.when(F.col("vision") & (F.col("groups") == 1) & (F.col("moments") >= 2), F.lit("one_group")),
     ]
     return out.withColumn("repetition_risk", risk).withColumn("findings", F.array_compact(F.array(*notes))).drop("__d", "__u")
 

@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutlake.functions.columns import col, hash_distance
-from cutlake.functions.greedy import greedy
-from cutlake.functions.ordered import following, islands, scan
+from cutlake.functions.greedy import first_free
+from cutlake.functions.ordered import following, scan
 from cutlake.functions.staging import settle
 from cutlake.functions.text import length_bound, normalize, prefix_matches, similarity, words
 
 # Thresholds, weights, word lists and keyword tables.
 HERO_FLOOR, HERO_BONUS = 0.5, 0.2
+BROADCAST_ROWS = 200_000
 HERO_QUERIES = ("hero", "held")
 MATCH, FLUFF, RESTART, MAX_WINDOW, MERGE_GAP = 0.55, 0.3, 0.8, 6, 1.5
 SLUG_WORDS = ("int", "ext", "day", "night", "i", "e")
 OUTDOOR = (
-    "forest wald woods road straße strasse street mountain berg sky himmel field feld meadow wiese "
-    "beach strand river fluss lake tree baum outdoor outside landscape landschaft trail path garden garten"
-).split()
+    "forest", "wald", "woods", "road", "straße", "strasse", "street", "mountain", "berg", "sky", "himmel", "field", "feld", "meadow",
+    "wiese", "beach", "strand", "river", "fluss", "lake", "tree", "baum", "outdoor", "outside", "landscape", "landschaft", "trail",
+    "path", "garden", "garten",
+)
 INDOOR = (
-    "room zimmer kitchen küche kueche interior indoor inside office büro buero wall wand table tisch "
-    "sofa couch bed bett corridor flur hallway stairs treppe ceiling basement keller desk lamp lampe"
-).split()
+    "room", "zimmer", "kitchen", "küche", "kueche", "interior", "indoor", "inside", "office", "büro", "buero", "wall", "wand", "table",
+    "tisch", "sofa", "couch", "bed", "bett", "corridor", "flur", "hallway", "stairs", "treppe", "ceiling", "basement", "keller", "desk",
+    "lamp", "lampe",
+)
 NIGHT = (
-    "night nacht dark dunkel dusk dämmerung daemmerung evening abend moon mond headlight scheinwerfer"
-).split()
+    "night", "nacht", "dark", "dunkel", "dusk", "dämmerung", "daemmerung", "evening", "abend", "moon", "mond", "headlight",
+    "scheinwerfer",
+)
 DAY = (
-    "day tag sunny sonnig daylight tageslicht sun sonne bright hell morning morgen noon mittag afternoon nachmittag"
-).split()
+    "day", "tag", "sunny", "sonnig", "daylight", "tageslicht", "sun", "sonne", "bright", "hell", "morning", "morgen", "noon", "mittag",
+    "afternoon", "nachmittag",
+)
 WEAK_USABLE, OK_SCORE = 0.4, 0.75
 SCENE_BASE, SCENE_PER_LINE, SCENE_ACTION_MAX, SCENE_WORDS, SCENE_MIN, SCENE_MAX = 6.0, 2.5, 10.0, 4.0, 4.0, 45.0
 CALM_WORDS, FAST_WORDS = ("ruhig", "calm", "langsam", "slow"), ("schnell", "fast", "hektisch", "snappy")
@@ -48,15 +52,17 @@ EPS = 1e-6
 
 
 def spoken_shots(segments: DataFrame) -> DataFrame:
-    """Non-empty transcript lines as searchable shots."""
+    """Non-empty transcript lines as searchable shots; the id is the take's and the line's number."""
     text = F.trim("text")
     return segments.where(text != "").select(
+        F.concat_ws(":", F.lit("line"), F.col("take_id").cast("string"), F.col("seg").cast("string")).alias("shot_id"),
         F.col("take_id").cast("string").alias("clip_path"), "start_s", "end_s", text.alias("label"), F.array().cast("array<string>").alias("tags"),
         F.lit("").alias("role"), F.lit(0.0).alias("hero"), F.lit("").alias("grp"), F.lit(True).alias("spoken"),
     )
 
 
 def searchable(annotations: DataFrame, spoken: DataFrame | None = None) -> DataFrame:
+    """Annotated and spoken shots in one table; every shot has its own ``shot_id``."""
     seen = annotations if "spoken" in annotations.columns else annotations.withColumn("spoken", F.lit(False))
     return seen if spoken is None else seen.unionByName(spoken, allowMissingColumns=True)
 
@@ -70,24 +76,29 @@ def shot_words(shots: DataFrame, row: list[str]) -> DataFrame:
 def search(shots: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Best shots for a table of queries (query_id, query): share of query words found plus a hero bonus.
 
-    Query words meet the distinct vocabulary first; only matching words go to the postings. The special
-    queries "hero" and "held" list hero shots instead.
+    Query words meet the distinct vocabulary first. Shots are dealt out once, by their id, so that hits are counted where a
+    shot lies and only the best ``limit`` of every query leave a partition. The table of matching words is broadcast while
+    it is small. The special queries "hero" and "held" list hero shots instead.
     """
     special = F.lower(F.trim("query")).isin(*HERO_QUERIES)
-    asked = queries.where(~special).select("query_id", F.posexplode(words("query")).alias("pos", "token"))
-    asked = settle(asked)
+    asked = settle(queries.where(~special).select("query_id", F.posexplode(words("query")).alias("pos", "token")))
     size = asked.groupBy("query_id").agg(F.count("*").alias("__n"))
-    row = ["clip_path", "start_s", "hero"]
-    postings = settle(shot_words(shots, row))
-    pairs = prefix_matches(asked, postings)
-    hits = asked.join(pairs, "token").join(postings, "word").groupBy("query_id", *row).agg(F.count_distinct("pos").alias("__hits"))
+    row = ["shot_id", "clip_path", "start_s", "end_s", "hero"]
+    dealt = shots.select(*row, "label", "tags", "grp", "role").repartition("shot_id")
+    pairs = prefix_matches(asked, shot_words(shots, []))
+    wanted = settle(asked.join(pairs, "token").select("query_id", "pos", "word").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    met = shot_words(dealt, row).join(F.broadcast(wanted) if few else wanted, "word")
+    hits = met.groupBy("shot_id", "query_id").agg(*[F.first(c).alias(c) for c in row[1:]], F.count_distinct("pos").alias("__hits"))
     rel = F.least(F.lit(1.0), F.col("__hits") / F.col("__n") + HERO_BONUS * F.col("hero"))
-    found = hits.join(size, "query_id").select("query_id", *row, rel.alias("relevance"))
-    heroes = shots.where(F.col("hero") >= HERO_FLOOR).select(*row)
-    held = queries.where(special).select("query_id").join(top_heroes(heroes, limit)).select("query_id", *row, F.col("hero").alias("relevance"))
-    order = Window.partitionBy("query_id").orderBy(F.round("relevance", 9).desc(), F.desc("hero"), "clip_path", "start_s")
+    found = hits.join(F.broadcast(size) if few else size, "query_id").select("query_id", *row, rel.alias("relevance"))
+    heroes = top_heroes(shots.select(*row), limit).withColumn("__k", F.lit(1))
+    held = queries.where(special).select("query_id", F.lit(1).alias("__k")).join(heroes, "__k").select("query_id", *row, F.col("hero").alias("relevance"))
+    order = Window.partitionBy("query_id").orderBy(F.round("relevance", 9).desc(), F.desc("hero"), "clip_path", "start_s", "shot_id")
     ranked = found.unionByName(held).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
+    # The texts of the shots that were chosen, and nothing else, are fetched at the end.
+    texts = shots.select("shot_id", "label", "spoken") if "spoken" in shots.columns else shots.select("shot_id", "label", F.lit(False).alias("spoken"))
+    return ranked.withColumn("rank", F.col("rank").cast("bigint")).join(texts, "shot_id")
 
 
 def top_heroes(shots: DataFrame, limit: int = 20) -> DataFrame:
@@ -141,10 +152,14 @@ def line_windows(
     ``lines`` has (scene_id, line_no, text), ``routes`` (scene_id, take_id). Windows of one segment are kept from
     ``single`` on, longer ones from ``threshold`` on; the length bound drops only pairs that cannot get there.
     """
-    said = lines.select("scene_id", "line_no", normalize("text").alias("line")).where(F.col("line") != "")
-    asked = routes.join(windows, "take_id").join(said, "scene_id")
+    said = settle(lines.select("scene_id", "line_no", normalize("text").alias("line")).where(F.col("line") != ""))
+    held = settle(windows)
     least = F.when(F.col("width") == 1, F.lit(min(single, threshold))).otherwise(F.lit(threshold))
-    near = asked.where(length_bound("line", "norm", mode) >= least - 1e-12)
+    # Numbers and lengths meet first; texts are fetched for the pairs that can still reach the threshold.
+    short = held.select("take_id", "i", "width", F.length("norm").alias("b"))
+    asked = routes.join(short, "take_id").join(said.select("scene_id", "line_no", F.length("line").alias("a")), "scene_id")
+    near = asked.where(length_bound(F.col("a"), F.col("b"), mode) >= least - 1e-12).drop("a", "b")
+    near = near.join(held, ["take_id", "i", "width"]).join(said, ["scene_id", "line_no"])
     # Comparing is the costly part and its input small, so it is spread over the cores instead of coalesced.
     spark = lines.sparkSession
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -321,24 +336,15 @@ def scene_check(scenes: DataFrame, moments: DataFrame, clips: DataFrame, key: st
     checked = F.col("content_checked")
     out = out.withColumns({"place": F.when(checked, place), "time": F.when(checked, time), "overlap": F.when(checked, seen)})
     score = 0.5 + F.when(F.col("overlap"), 0.25).otherwise(0.0) + F.when(F.col("place") == "match", 0.15).otherwise(0.0) + F.when(F.col("time") == "match", 0.1).otherwise(0.0)
-    outdoor = F.when(lean == "ext", "outdoor").otherwise("indoor")
-    night = F.when(tod == "night", "nighttime").otherwise("daytime")
-    notes = F.array_compact(F.array(
-        F.when(F.col("clips") > 0, F.concat(
-            F.col("clips").cast("string"), F.when(F.col("clips") != 1, F.lit(" clips")).otherwise(" clip"), F.lit(" in the folder, on average "),
-            F.bround(F.col("avg_usable") * 100).cast("bigint").cast("string"), F.lit("% usable."),
-        )).otherwise("No clips to judge — the folder sift found nothing."),
-        F.when(~checked, F.lit("Content checks need labels — annotate the footage and check again.")),
-        F.when(F.col("overlap"), F.concat(F.lit("Looks related — the footage mentions: "), F.array_join("matched", ", "), F.lit("."))),
-        F.when(~F.col("overlap"), F.lit("No overlap between the scene description and the footage — worth a look before the edit.")),
-        F.when(F.col("place") == "match", F.concat(F.lit("The labels lean "), outdoor, F.lit(" — that matches the heading."))),
-        F.when(F.col("place") == "mismatch", F.concat(F.lit("The labels lean "), outdoor, F.lit(" against the heading — double-check that this is the right folder."))),
-        F.when(F.col("time") == "match", F.concat(F.lit("The labels sound like "), night, F.lit(" — that matches the heading."))),
-        F.when(F.col("time") == "mismatch", F.concat(F.lit("The labels sound like "), night, F.lit(" against the heading — double-check that this is the right folder."))),
+    codes = F.array_compact(F.array(
+        F.when(F.col("clips") == 0, F.lit("no_clips")), F.when(~checked, F.lit("no_labels")),
+        F.when(F.col("overlap"), F.lit("words_shared")).when(~F.col("overlap"), F.lit("no_words_shared")),
+        F.when(F.col("place").isNotNull(), F.concat(F.lit("place_"), lean, F.lit("_"), F.col("place"))),
+        F.when(F.col("time").isNotNull(), F.concat(F.lit("time_"), tod, F.lit("_"), F.col("time"))),
     ))
     return out.select(
         "scene_no", key, score.alias("score"), "content_checked", "clips", "avg_usable", "overlap", "place", "time",
-        F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), notes.alias("findings"),
+        F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), codes.alias("findings"),
     )
 
 
@@ -351,14 +357,13 @@ def shoot_plan(scenes: DataFrame, checks: DataFrame, takes: DataFrame) -> DataFr
     c = checks.select("scene_no", "folder", F.lit(True).alias("__c"), "clips", "avg_usable", "content_checked", "score", "place", "time")
     out = scenes.join(c, ["scene_no", "folder"], "left").join(takes, ["scene_no", "folder"], "left")
     judged = F.coalesce("__c", F.lit(False))
-    usable = F.bround(F.col("avg_usable") * 100).cast("bigint").cast("string")
     some = F.col("clips") > 0
     why = F.array_compact(F.array(
-        F.when(judged & ~some, F.lit("no usable clips")),
-        F.when(judged & some & (F.col("avg_usable") < WEAK_USABLE), F.concat(F.lit("only "), usable, F.lit("% of the footage is usable"))),
-        F.when(judged & some & F.col("content_checked") & (F.col("score") < OK_SCORE), F.lit("no overlap with the scene description")),
-        F.when(judged & some & (F.col("place") == "mismatch"), F.lit("interior or exterior does not fit")),
-        F.when(judged & some & (F.col("time") == "mismatch"), F.lit("time of day does not fit")),
+        F.when(judged & ~some, F.lit("no_clips")),
+        F.when(judged & some & (F.col("avg_usable") < WEAK_USABLE), F.lit("little_usable")),
+        F.when(judged & some & F.col("content_checked") & (F.col("score") < OK_SCORE), F.lit("low_score")),
+        F.when(judged & some & (F.col("place") == "mismatch"), F.lit("place")),
+        F.when(judged & some & (F.col("time") == "mismatch"), F.lit("time")),
     ))
     shot = F.trim(F.coalesce("folder", F.lit(""))) != ""
     status = F.when(~shot, "unshot").when(~judged, "assigned").when(F.size(why) > 0, "checked-weak").otherwise("checked-ok")
@@ -394,7 +399,8 @@ def scene_targets(scenes: DataFrame) -> DataFrame:
 def select_moments(moments: DataFrame, k: int, project: str = "project", bits: int = DEDUP_BITS) -> DataFrame:
     """Best moment of every clip first, then by score without near duplicates of a chosen picture; at most ``k``.
 
-    Exact copies of a picture stand behind the first of them, so they are dropped before the walk.
+    Exact copies of a picture stand behind the first of them, so they are dropped before the walk. A later moment is out
+    when a near duplicate before it is in, which is settled along near duplicates only.
     """
     pos = F.struct((-F.col("score")).alias("a"), F.col("start_s").alias("b"), F.col("mid").alias("c"))
     per_clip = moments.groupBy(project, "clip_path").agg(F.min(pos).alias("p")).select(project, F.col("p.c").alias("mid"))
@@ -408,8 +414,25 @@ def select_moments(moments: DataFrame, k: int, project: str = "project", bits: i
     heads = rest.where(F.col("phash") != 0).groupBy(project, "phash").agg(F.min(place).alias("p")).select(project, F.col("p.d").alias("mid"))
     pool = rest.where(F.col("phash") == 0).select(project, "mid").unionByName(heads)
     pool = settle(rest.join(pool, [project, "mid"], "left_semi"))
-    hash_ = lambda o, x: (x["phash"] != 0) & (o["phash"] != 0) & (F.bit_count(o["phash"].bitwiseXOR(x["phash"])) <= bits)
-    return greedy(pool, [project], order, k, hash_, ["mid", "phash"], start=first)
+    # Pictures meet on bands of their hash: within ``bits`` differences at least one of ``bits + 1`` bands is equal.
+    rows = pool.select(project, "mid", "phash", F.struct(F.lit(1).alias("t"), *[place.getField(n).alias(n) for n in "abcd"]).alias("place"))
+    begun = first.select(project, "mid", "phash", F.struct(F.lit(0).alias("t"), F.col("pick").cast("double").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("c"), F.col("mid").alias("d")).alias("place"))
+    seen = settle(rows.unionByName(begun).where(F.col("phash") != 0))
+    cut = [round(64 * n / (bits + 1)) for n in range(bits + 2)]
+    bands = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.shiftrightunsigned(F.col("phash"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for n, (lo, hi) in enumerate(zip(cut, cut[1:]))
+    ])
+    banded = seen.select("*", F.explode(bands).alias("band"))
+    left = banded.select(project, "band", F.col("mid").alias("a"), F.col("place").alias("pa"), F.col("phash").alias("ha"))
+    right = banded.select(project, "band", F.col("mid").alias("b"), F.col("place").alias("pb"), F.col("phash").alias("hb"))
+    near = left.join(right, [project, "band"]).where((F.col("pa") < F.col("pb")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits))
+    taken = first_free(pool.select(project, "mid"), near.where("pb.t = 1").select(project, "a", "b").distinct(), first.select(project, "mid"), [project])
+    have = first.groupBy(project).agg(F.count("*").alias("__have"))
+    nth = F.row_number().over(Window.partitionBy(project).orderBy(*order))
+    more = pool.join(taken, [project, "mid"], "left_semi").join(have, project).withColumn("pick", nth).where(F.col("pick") <= k)
+    more = more.withColumn("pick", (F.col("pick") + F.col("__have")).cast("bigint")).where(F.col("pick") <= k)
+    cols = [project, "pick", "mid", "phash"]
+    return first.select(*cols).unionByName(more.select(*cols))
 
 
 def strength() -> Column:
@@ -430,9 +453,23 @@ def series_seeds(moments: DataFrame, n: int, project: str = "project") -> DataFr
     ).where(F.col("__n") < n)
     rest = moments.join(short, project).join(firsts.select(project, "mid"), [project, "mid"], "left_anti")
     novelty = F.array_contains("__day", F.col("daylight")).cast("int") + F.array_contains("__size", F.col("shot_size")).cast("int")
-    rest = rest.withColumn("__seen", novelty)
-    near = lambda o, x: (o["clip_path"] == x["clip_path"]) & (F.abs(o["start_s"] - x["start_s"]) < SEED_GAP - EPS)
-    return greedy(settle(rest), [project], [F.asc("__seen"), *order], n, near, cols, start=firsts)
+    rest = rest.withColumn("__seen", novelty.cast("bigint"))
+    # Only moments of one clip stand in each other's way, so every clip is walked by itself, its seed first.
+    look = F.struct(F.col("__seen").alias("n"), (-s).alias("a"), F.col("start_s").alias("b"), F.col("end_s").alias("c"), F.col("mid").alias("d"))
+    walk = rest.groupBy(project, "clip_path").agg(F.array_sort(F.collect_list(look)).alias("__l"))
+    lead_at = firsts.select(project, "clip_path", F.array("start_s").alias("__t"))
+    walk = walk.join(lead_at, [project, "clip_path"], "left").withColumn("__t", F.coalesce("__t", F.array().cast("array<double>")))
+    state = F.struct(F.col("__t").alias("at"), F.array().cast(dict(moments.select("mid").dtypes)["mid"].join(("array<", ">"))).alias("ids"))
+
+    def step(taken: Column, x: Column) -> Column:
+        free = ~F.exists(taken["at"], lambda t: F.abs(t - x["b"]) < SEED_GAP - EPS)
+        return F.when(free, F.struct(F.concat(taken["at"], F.array(x["b"])).alias("at"), F.concat(taken["ids"], F.array(x["d"])).alias("ids"))).otherwise(taken)
+
+    apart = walk.select(project, F.explode(F.aggregate("__l", state, step, lambda t: t["ids"])).alias("mid"))
+    nth = F.row_number().over(Window.partitionBy(project).orderBy(F.asc("__seen"), *order))
+    more = rest.join(apart, [project, "mid"], "left_semi").withColumn("pick", nth).where(F.col("pick") <= n)
+    more = more.withColumn("pick", (F.col("pick") + F.col("__n")).cast("bigint")).where(F.col("pick") <= n)
+    return firsts.select(project, "pick", *cols).unionByName(more.select(project, "pick", *cols))
 
 
 def partition_moments(moments: DataFrame, seeds: DataFrame, project: str = "project") -> DataFrame:

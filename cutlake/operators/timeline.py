@@ -55,12 +55,10 @@ def transcript_extent(segments: DataFrame, key: str = "take_id") -> DataFrame:
     return segments.groupBy(key).agg(F.max("end_s").alias("duration_s"), F.count("*").alias("segments"))
 
 
-def transcript_text(segments: DataFrame, key: str = "take_id", block: int = 1000) -> DataFrame:
-    """Lines joined in order, in blocks of ``block`` segments so that no take has to fit one row."""
-    lines = segments.groupBy(key, F.floor(F.col("seg") / block).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("seg", "text"))).alias("lines")
-    )
-    return lines.select(key, "block", F.array_join(F.col("lines.text"), "\n").alias("text"))
+def transcript_text(segments: DataFrame, key: str = "take_id") -> DataFrame:
+    """One text per take: its lines joined in order, empty ones kept. A take's text is one value, so it is built in one task."""
+    lines = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", F.coalesce("text", F.lit("")).alias("text")))).alias("lines"))
+    return lines.select(key, F.array_join(F.col("lines.text"), "\n").alias("text"))
 
 
 def overlaps(

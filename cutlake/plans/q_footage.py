@@ -38,7 +38,7 @@ seg as (select clip_id, case when row_number() over (partition by clip_id order
 WINDOWS = LABELS + """,
 cut as (select b.clip_id, round_even(t, 3) as cut_s from base b join q on q.clip_id = b.clip_id where pm is not null and nm is not null and q.n >= 3 and median_motion > 0
     and motion >= 35e-1 * median_motion and motion >= 22e-1 * greatest(pm, nm, 1e-9) and abs(brightness - pb) >= 12),
-win0 as (select clip_id, start_s + k * 5e-1 as a from seg cross join range(200) r(k) where label = 'usable' and start_s + k * 5e-1 + 1 <= end_s + 1e-9),
+win0 as (select clip_id, start_s + k * 5e-1 as a from (select *, unnest(range(cast(ceil((end_s - start_s) * 2) as bigint) + 1)) as k from seg where label = 'usable') z where start_s + k * 5e-1 + 1 <= end_s + 1e-9),
 win as (select clip_id, a, a + 1 as b from win0 w where not exists (select 1 from cut c where c.clip_id = w.clip_id and cut_s > a + 1e-9 and cut_s < a + 1 - 1e-9)),
 scored as (select w.clip_id, a, b, least(1e0, 75e-2 * avg(sharp_rank) + 25e-2 * avg(case when median_residual > 0 and residual >= 5e-1 * median_residual and residual <= 25e-1 * median_residual then 1e0 else 0e0 end))
     * greatest(0e0, 1 - 15e-1 * avg(clipped + crushed)) as score from win w join sm on sm.clip_id = w.clip_id and t >= a - 1e-9 and t < b - 1e-9 group by w.clip_id, a, b)
@@ -163,8 +163,8 @@ bu as (select a.*, peak, windows, case when not bad and rms > 18e-1 * mr and rms
 
 
 @query("audio_flags", oracle("b_audio", AUDIO + """
-select clip_id, windows, round(mr, 6) as median_rms, round(ml, 6) as median_low, bad as unreliable, case when bad then 'audio: constant camera-mic audio (wind, engine or hiss) — audio signals ignored' else concat_ws('; ',
-  case when cl > 0 then concat('audio: clipping in ', cast(cl as varchar), ' windows') end, case when ml > 6e-1 and mr >= 1e-2 then 'audio: likely wind noise' end, case when mr < 1e-2 then 'audio: mostly silent' end) end as notes from af
+select clip_id, windows, round(mr, 6) as median_rms, round(ml, 6) as median_low, bad as unreliable, case when bad then 'constant_tone' else concat_ws('; ',
+  case when cl > 0 then 'clipping' end, case when ml > 6e-1 and mr >= 1e-2 then 'wind' end, case when mr < 1e-2 then 'silent' end) end as notes from af
 """))
 def audio_flags(t):
     return rounded(footage.audio_profile(t.audio).select(
@@ -192,15 +192,12 @@ def audio_highlights(t):
 REPORT = KEPT + "," + AUDIO + """,
 bl as (select clip_id, label, sum(end_s - start_s) as sec, min(start_s) as f from seg group by clip_id, label),
 sp as (select clip_id, coalesce(sum(sec) filter (where label = 'usable'), 0) as usable_s, max_by(label, {'a': round(sec, 9), 'b': -f}) filter (where label <> 'usable') as worst from bl group by clip_id),
-fw as (select q.clip_id, k * 5e-1 as a, k * 5e-1 + 1 as b from q cross join range(400) r(k) where has_detail and clip_id not in (select clip_id from kept) and k * 5e-1 + 1 <= n * 5e-1 + 1e-9),
+fw as (select q.clip_id, k * 5e-1 as a, k * 5e-1 + 1 as b from (select *, unnest(range(n + 1)) as k from q) q where has_detail and clip_id not in (select clip_id from kept) and k * 5e-1 + 1 <= n * 5e-1 + 1e-9),
 fx as (select clip_id, count(*) as c from (select distinct w.clip_id, w.a from fw w where not exists (select 1 from cut c where c.clip_id = w.clip_id and cut_s > a + 1e-9 and cut_s < b - 1e-9)) z group by clip_id),
 mo as (select q.clip_id, q.n * 5e-1 as duration, q.is_flat, (select count(*) from kept k where k.clip_id = q.clip_id) as m, (select count(*) from cut c where c.clip_id = q.clip_id) as c, coalesce(fx.c, 0) as fc from q left join fx on fx.clip_id = q.clip_id),
-rep as (select mo.clip_id, duration, usable_s / duration as usable_ratio, worst, m as moments, c as hard_cuts, fc, concat_ws('; ', case when c > 0 then concat(cast(c as varchar), ' hard cut(s) inside the clip — moments kept within single shots') end,
-  case when is_flat then 'flat / low-contrast (log?) footage — exposure check relaxed' end,
-  case when af.bad then 'audio: constant camera-mic audio (wind, engine or hiss) — audio signals ignored' else nullif(concat_ws('; ', case when cl > 0 then concat('audio: clipping in ', cast(cl as varchar), ' windows') end,
-    case when ml > 6e-1 and mr >= 1e-2 then 'audio: likely wind noise' end, case when mr < 1e-2 then 'audio: mostly silent' end), '') end,
-  case when duration - usable_s > 1e-6 then concat(cast(cast(round_even(100 * (duration - usable_s) / duration, 0) as bigint) as varchar), '% unusable: mostly ', case worst when 'dark' then 'too dark' else worst end) end,
-  case when m = 0 and fc = 0 then 'no usable stretch ≥ 1s — clip skipped' end) as notes
+rep as (select mo.clip_id, duration, usable_s / duration as usable_ratio, worst, m as moments, c as hard_cuts, fc, concat_ws('; ', case when c > 0 then 'hard_cuts' end, case when is_flat then 'flat' end,
+  case when af.bad then 'constant_tone' else nullif(concat_ws('; ', case when cl > 0 then 'clipping' end, case when ml > 6e-1 and mr >= 1e-2 then 'wind' end, case when mr < 1e-2 then 'silent' end), '') end,
+  case when duration - usable_s > 1e-6 then concat('mostly_', worst) end, case when m = 0 and fc = 0 then 'no_moments' end) as notes
   from mo join sp on sp.clip_id = mo.clip_id left join af on af.clip_id = mo.clip_id)
 """
 

@@ -53,19 +53,41 @@ def energy_curve(t):
     return rounded(curve(t).drop("t"))
 
 
-@query("energy_runs", oracle("b_audio", CURVE + """,
+RUNS = CURVE + """,
 q as (select track_id, quantile_cont(energy, 4e-1) as p40, quantile_cont(energy, 1e-1) as p10, max(energy) as hi from curve group by track_id),
 l as (select c.*, case when x < 35e-2 then 'low' when x < 7e-1 then 'mid' else 'high' end as label from (select c.*, case when p40 >= 7e-1 and hi - p10 > 1e-9 then least(1e0, greatest(0e0, (energy - p10) / nullif(hi - p10, 0))) else energy end as x from curve c join q on q.track_id = c.track_id) c),
-r as (select *, i - row_number() over (partition by track_id, label order by i) as g from l)
-select track_id, label, min(i) * 5e-1 as start_s, (max(i) + 1) * 5e-1 as end_s, round(avg(energy), 6) as energy from r group by track_id, label, g
-"""))
+r as (select *, i - row_number() over (partition by track_id, label order by i) as g from l),
+rn as (select track_id, label, min(i) * 5e-1 as start_s, (max(i) + 1) * 5e-1 as end_s, avg(energy) as energy from r group by track_id, label, g)
+"""
+# One section goes at a time: the shortest, the earliest of equal ones, to the side nearer in energy.
+JOINED = "{{'s': least({a}.s, {b}.s), 'e': greatest({a}.e, {b}.e), 'g': round(({a}.g * ({a}.e - {a}.s) + {b}.g * ({b}.e - {b}.s)) / ({a}.e - {a}.s + {b}.e - {b}.s), 12), 'lab': {a}.lab}}"
+SECTIONS = RUNS + f""",
+st as (
+  select track_id, list({{'s': start_s, 'e': end_s, 'g': round(energy, 12), 'lab': label}} order by start_s) as l, false as done from rn group by track_id
+  union all
+  select track_id, case when x is null then l else list_concat(list_concat(l[1:lo - 1], [x]), l[hi + 1:]) end, x is null from (
+    select track_id, l, case when a is null then null when r is not null then {JOINED.format(a="a2", b="r")} else a2 end as x, lo, hi + case when r is not null then 1 else 0 end as hi from (
+      select *, case when a is not null and hi < len(l) and l[hi + 1].lab = a.lab then l[hi + 1] end as r from (
+        select track_id, l, a, case when p then lo - 1 else lo end as lo, hi, case when p then {JOINED.format(a="l[lo - 1]", b="a")} else a end as a2 from (
+          select *, a is not null and lo > 1 and l[lo - 1].lab = a.lab as p from (
+            select track_id, l, least(ix, tx) as lo, greatest(ix, tx) as hi, case when go then {JOINED.format(a="l[tx]", b="l[ix]")} end as a from (
+              select *, case when ix = len(l) then ix - 1 when ix = 1 then 2 when abs(l[ix - 1].g - l[ix].g) <= abs(l[ix + 1].g - l[ix].g) then ix - 1 else ix + 1 end as tx from (
+                select track_id, l, ix, len(l) > 1 and l[ix].e - l[ix].s < 4 as go from (
+                  select track_id, l, list_position(list_transform(l, lambda z: z.e - z.s), list_min(list_transform(l, lambda z: z.e - z.s))) as ix from st where not done) a1) a2) a3) a4) a5) a6) a7) a8
+),
+fin as (select track_id, l from st where done),
+ex as (select track_id, l, unnest(range(1, len(l) + 1)) as k from fin)
+"""
+
+
+@query("energy_runs", oracle("b_audio", RUNS + "select track_id, label, start_s, end_s, round(energy, 6) as energy from rn"))
 def energy_runs(t):
     c = settle(curve(t))
     d = c.groupBy("track_id").agg((F.count("*") * 0.5).alias("duration"))
     return rounded(mu.labelled_runs(c, d).drop("duration"))
 
 
-@query("music_sections")
+@query("music_sections", oracle("b_audio", SECTIONS + "select track_id, case when k = 1 then 0e0 else l[k - 1].e end as start_s, l[k].e as end_s, round(l[k].g, 6) as energy, l[k].lab as label from ex").replace("with ", "with recursive ", 1))
 def music_sections(t):
     c = settle(curve(t))
     return rounded(mu.music_sections(c, c.groupBy("track_id").agg((F.count("*") * 0.5).alias("duration"))))
@@ -185,7 +207,7 @@ def secondary_drops(t):
 PROFILE = SONG + """,
 lw as (select track_id, i, energy / 2 as low, max(i) over (partition by track_id) as mi from b_beats),
 wn as (select track_id, duration, {lo} as lo, {hi} as hi from tracks),
-sm as (select w.track_id, 'w' as part, lo + i * 5e-1 as t from wn w cross join range(30) r(i) where i < greatest(1, floor(greatest(hi - lo, 1e-6) / 5e-1)) union all select w.track_id, 'b', {bf} + i * 5e-1 from wn w cross join range(200) r(i) where i < {bn}),
+sm as (select w.track_id, 'w' as part, lo + i * 5e-1 as t from (select *, unnest(range(cast(greatest(1, floor(greatest(hi - lo, 1e-6) / 5e-1)) as bigint))) as i from wn) w union all select w.track_id, 'b', {bf} + i * 5e-1 from (select *, unnest(range(cast({bn} as bigint))) as i from wn) w),
 se as (select sm.*, coalesce((select max(energy) from sections s where s.track_id = sm.track_id and start_s - 1e-6 <= sm.t and sm.t < end_s - 1e-6), case when sm.t >= (select max(end_s) from sections s where s.track_id = sm.track_id) - 1e-6 then (select max_by(energy, end_s) from sections s where s.track_id = sm.track_id) end, 0) as e from sm),
 ag as (select track_id, avg(e) filter (where part = 'w') as ie, median(e) filter (where part = 'b') as be from se group by track_id),
 ft as (select w.track_id, lo, hi, case when ie > 1e-6 then least(4, ie / greatest(coalesce(be, ie), 1e-6)) else 0 end as rel_energy, (select count(*) from b_beats b where b.track_id = w.track_id and b.t >= lo and b.t < hi) / greatest(hi - lo, 1e-6) as onset_density,
@@ -253,7 +275,7 @@ def cropped_sections(t):
 
 
 @query("energy_lane", oracle("b_beats", SONG + """,
-g as (select track_id, i, i / 2e0 as t from tracks cross join range(400) r(i) where i <= floor(duration * 2)),
+g as (select track_id, i, i / 2e0 as t from (select *, unnest(range(cast(floor(duration * 2) as bigint) + 1)) as i from tracks) z),
 e as (select g.track_id, i, coalesce((select max(energy) from sections s where s.track_id = g.track_id and start_s - 1e-6 <= g.t and g.t < end_s - 1e-6), (select max_by(energy, end_s) from sections s where s.track_id = g.track_id)) as e from g)
 select track_id, i, round_even(round(avg(e) over (partition by track_id order by i rows between 1 preceding and 1 following), 10), 3) as lane from e
 """))
@@ -263,18 +285,23 @@ def energy_lane(t):
 
 
 @query("song_ranking", oracle("b_beats b_moments", SONG + """,
-pl as (select 40e0 as unique_s, least(avg(mid % 17 / 2e0) / 8, 1) as motion from b_moments),
+pl as (select mid % 3 as project, 3e1 + mid % 3 * 1e1 as unique_s, least(avg(mid % 17 / 2e0) / 8 * (1 + mid % 3), 1) as motion from b_moments group by mid % 3),
 gp as (select track_id, t - lag(t) over (partition by track_id order by t) as gap from b_beats),
 gs as (select track_id, count(*) as beats, avg(gap) as gm, stddev_pop(gap) as gd, case when count(*) >= 4 then 60 / median(gap) else 0 end as bpm from gp group by track_id),
 lb as (select track_id, count(distinct label) as nl, bool_or(label = 'low') and bool_or(label = 'high') as story from sections group by track_id),
 fd as (select track_id, min(t) as fd from dr group by track_id),
-x as (select k.track_id, duration, bpm, beats, gm, gd, nl, story, fd, unique_s, motion, 90 + 60 * motion as want from tracks k join gs on gs.track_id = k.track_id join lb on lb.track_id = k.track_id left join fd on fd.track_id = k.track_id cross join pl),
+x as (select k.track_id, k.track_id % 3 as project, duration, bpm, beats, gm, gd, nl, story, fd, unique_s, motion, 90 + 60 * motion as want from tracks k join gs on gs.track_id = k.track_id join lb on lb.track_id = k.track_id left join fd on fd.track_id = k.track_id join pl on pl.project = k.track_id % 3),
 y as (select *, bpm * pow(2, greatest(0, ceil(log2(want / 15e-1 / bpm))) - greatest(0, ceil(log2(bpm / (want * 15e-1))))) as fold from x),
-z as (select track_id, case when bpm > 0 and beats >= 8 and gm > 1e-6 then greatest(0, 1 - gd / gm / 1e-1) else 0 end as clarity_part, case when duration <= unique_s + 1e-6 then 1 else greatest(0, 1 - 5e-1 * (duration / unique_s - 1)) end as length_part,
+z as (select track_id, project, want, concat_ws(' ', case when bpm <= 0 or beats < 8 then 'no_beat' when gm <= 1e-6 then 'no_grid' when greatest(0, 1 - gd / gm / 1e-1) >= 8e-1 then 'steady' when greatest(0, 1 - gd / gm / 1e-1) > 3e-1 then 'loose' else 'irregular' end,
+  case when duration <= unique_s + 1e-6 then 'fits_pool' else 'longer_than_pool' end, case when bpm <= 0 then 'no_tempo' when motion > 6e-1 then 'fast_pool' when motion < 3e-1 then 'calm_pool' else 'medium_pool' end,
+  case when fd is not null then 'drop' else 'no_drop' end, case when story then 'quiet_and_loud' when nl > 1 then 'some_change' else 'flat' end) as reasons, case when bpm > 0 and beats >= 8 and gm > 1e-6 then greatest(0, 1 - gd / gm / 1e-1) else 0 end as clarity_part, case when duration <= unique_s + 1e-6 then 1 else greatest(0, 1 - 5e-1 * (duration / unique_s - 1)) end as length_part,
   case when bpm > 0 then exp(-5e-1 * pow((fold - want) / 25, 2)) else 0 end as tempo_part, case when fd is not null then 1e0 else 0e0 end as drop_part, case when story then 1e0 when nl > 1 then 6e-1 else 2e-1 end as arc_part from y)
-select track_id, round(clarity_part, 6) as clarity_part, round(length_part, 6) as length_part, round(tempo_part, 6) as tempo_part, drop_part, cast(arc_part as double) as arc_part, round(3e-1 * clarity_part + 3e-1 * length_part + 2e-1 * tempo_part + 1e-1 * drop_part + 1e-1 * arc_part, 6) as score from z
+select project, track_id, round(want, 6) as ideal_bpm, reasons, round(clarity_part, 6) as clarity_part, round(length_part, 6) as length_part, round(tempo_part, 6) as tempo_part, drop_part, cast(arc_part as double) as arc_part, round(3e-1 * clarity_part + 3e-1 * length_part + 2e-1 * tempo_part + 1e-1 * drop_part + 1e-1 * arc_part, 6) as score from z
 """))
 def song_ranking(t):
     s = Song(t)
-    pool = t.moments.agg(F.lit(40.0).alias("unique_s"), F.least(F.avg(F.col("mid") % 17 / 2.0) / 8, F.lit(1.0)).alias("motion"))
-    return rounded(mu.rank_songs(mu.song_facts(s.tracks, s.beats, s.sections, s.drops), pool).drop("reasons"))
+    project = F.col("mid") % 3
+    pool = t.moments.groupBy(project.alias("project")).agg(F.avg(F.col("mid") % 17 / 2.0).alias("m"))
+    pool = pool.select("project", (30.0 + F.col("project") * 10).alias("unique_s"), F.least(F.col("m") / 8 * (1 + F.col("project")), F.lit(1.0)).alias("motion"))
+    songs = mu.song_facts(s.tracks, s.beats, s.sections, s.drops).withColumn("project", F.col("track_id") % 3)
+    return rounded(mu.rank_songs(songs, pool).withColumn("reasons", F.array_join("reasons", " ")))

@@ -225,13 +225,13 @@ wk as (select ol.pair_id, ol.clip_path, list_reduce(list_transform(n, lambda x:
 pr as (select pair_id, p.n as new_slot, p.o as old_slot from (select pair_id, unnest(w.pairs) as p from wk) z where p.o is not null),
 kp as (select n.*, o.slot as old_slot, o.source_start as o_s, o.source_end as o_e, o.record_start as o_r0, o.record_end as o_r1, o.transition as o_t from pr join new n on n.pair_id = pr.pair_id and n.slot = new_slot join old o on o.pair_id = pr.pair_id and o.slot = pr.old_slot),
 pl as (select o.pair_id, od, nd, 120e0 as old_tempo, 120 + o.pair_id % 3 * 4e-1 as new_tempo from (select pair_id, max(record_end) as od from old group by pair_id) o join (select pair_id, max(record_end) as nd from new group by pair_id) n on n.pair_id = o.pair_id),
-tx as (select pair_id, slot, record_start, clip_path, concat(' at ', cast(cast(round_even(record_start, 0) as bigint) // 60 as varchar), ':', lpad(cast(cast(round_even(record_start, 0) as bigint) % 60 as varchar), 2, '0')) as at_text, source_start, source_end, record_end, transition, o_s, o_e, o_r0, o_r1, o_t from kp),
-ch as (select n.pair_id, 'added' as kind, record_start as at, clip_path as clip, 0 as rk, n.slot from new n left join pr on pr.pair_id = n.pair_id and new_slot = n.slot where new_slot is null
-  union all select o.pair_id, 'removed', record_start, clip_path, 1, o.slot from old o left join pr on pr.pair_id = o.pair_id and old_slot = o.slot where old_slot is null
-  union all select pair_id, 'trimmed', record_start, clip_path, 2, slot from tx where abs(source_start - o_s) > 5e-2 or abs(source_end - o_e) > 5e-2
-  union all select pair_id, 'retimed', record_start, clip_path, 2, slot from tx where abs(source_start - o_s) <= 5e-2 and abs(source_end - o_e) <= 5e-2 and abs(record_end - record_start - o_r1 + o_r0) > 5e-2
-  union all select pair_id, 'transition', record_start, clip_path, 3, slot from tx where (transition > 5e-2) <> (o_t > 5e-2)
-  union all select pair_id, 'length', 0, '', 4, 0 from pl where abs(nd - od) > 25e-2 union all select pair_id, 'tempo', 0, '', 5, 0 from pl where abs(new_tempo - old_tempo) > 5e-1)
+tx as (select pair_id, slot, record_start, clip_path, source_start, source_end, record_end, transition, o_s, o_e, o_r0, o_r1, o_t from kp),
+ch as (select n.pair_id, 'added' as kind, record_start as at, clip_path as clip, 0 as rk, n.slot, null as was, null as "now" from new n left join pr on pr.pair_id = n.pair_id and new_slot = n.slot where new_slot is null
+  union all select o.pair_id, 'removed', record_start, clip_path, 1, o.slot, null, null from old o left join pr on pr.pair_id = o.pair_id and old_slot = o.slot where old_slot is null
+  union all select pair_id, 'trimmed', record_start, clip_path, 2, slot, o_s, source_start from tx where abs(source_start - o_s) > 5e-2 or abs(source_end - o_e) > 5e-2
+  union all select pair_id, 'retimed', record_start, clip_path, 2, slot, o_r1 - o_r0, record_end - record_start from tx where abs(source_start - o_s) <= 5e-2 and abs(source_end - o_e) <= 5e-2 and abs(record_end - record_start - o_r1 + o_r0) > 5e-2
+  union all select pair_id, 'transition', record_start, clip_path, 3, slot, o_t, transition from tx where (transition > 5e-2) <> (o_t > 5e-2)
+  union all select pair_id, 'length', 0, '', 4, 0, od, nd from pl where abs(nd - od) > 25e-2 union all select pair_id, 'tempo', 0, '', 5, 0, old_tempo, new_tempo from pl where abs(new_tempo - old_tempo) > 5e-1)
 """
 
 
@@ -257,14 +257,13 @@ def version_matches(t):
     return sc.match_versions(old, new)
 
 
-@query("version_changes", oracle("b_entries", DIFF + "select pair_id, row_number() over (partition by pair_id order by case when kind in ('length', 'tempo') then 1 else 0 end, \"at\", least(rk, 2), slot, rk) as line_no, kind, round(\"at\", 6) as \"at\", clip from ch"))
+@query("version_changes", oracle("b_entries", DIFF + "select pair_id, row_number() over (partition by pair_id order by case when kind in ('length', 'tempo') then 1 else 0 end, \"at\", least(rk, 2), slot, rk) as line_no, kind, round(\"at\", 6) as \"at\", clip, round(was, 6) as was, round(\"now\", 6) as \"now\" from ch"))
 def version_changes(t):
-    return rounded(sc.change_lines(sc.diff_plans(*versions(t))).drop("summary"))
+    return rounded(sc.change_lines(sc.diff_plans(*versions(t))))
 
 
 @query("change_summary", oracle("b_entries", DIFF + """
-select pair_id, count(*) filter (where kind = 'added') as added, count(*) filter (where kind = 'removed') as removed, count(*) filter (where kind not in ('added', 'removed')) as other,
-  concat(cast(count(*) filter (where kind = 'added') as varchar), ' added, ', cast(count(*) filter (where kind = 'removed') as varchar), ' removed, ', cast(count(*) filter (where kind not in ('added', 'removed')) as varchar), ' other') as headline from ch group by pair_id
+select pair_id, count(*) filter (where kind = 'added') as added, count(*) filter (where kind = 'removed') as removed, count(*) filter (where kind not in ('added', 'removed')) as other from ch group by pair_id
 """))
 def change_summary(t):
     return sc.change_summary(sc.diff_plans(*versions(t)))
@@ -302,9 +301,8 @@ us as (select project, sum(b - a) as u from (select project, clip_path, g, min(s
 cc as (select project, count(*) as clips, 1 - sum(usable_ratio * duration) / sum(duration) as share from cl group by project),
 mm as (select project, count(*) as moments, count(*) filter (where role = 'opener') as opener, count(*) filter (where role = 'build') as build, count(*) filter (where role = 'climax') as climax, count(*) filter (where role = 'closer') as closer, count(*) filter (where hero >= 5e-1) as heroes, count(distinct grp) as groups from m group by project)
 select mm.project, clips, moments, opener, build, climax, closer, heroes, groups, round(u, 6) as usable_seconds, round(share, 6) as unusable_share, 300 > u + 1e-6 as repetition_risk,
-  concat_ws('; ', case when 300 > u + 1e-6 then concat('only ', cast(cast(round_even(u, 0) as bigint) as varchar), 's of unique material for a 300s target — the cut shortens to the material (or repeats footage if repeats are allowed)') end,
-    case when share >= 5e-1 then concat(cast(cast(round_even(share * 100, 0) as bigint) as varchar), '% of the footage is unusable (too dark, blurry or shaky)') end, case when opener = 0 then 'no opener — nothing establishes place or subject' end,
-    case when closer = 0 then 'no closer — nothing to end the cut on' end, case when heroes = 0 then 'no hero shot — nothing strong enough for the drop' end, case when groups = 1 and moments >= 2 then 'everything is one scene group — the cut will feel repetitive' end) as findings
+  concat_ws('; ', case when 300 > u + 1e-6 then 'short_of_target' end, case when share >= 5e-1 then 'mostly_unusable' end, case when opener = 0 then 'no_opener' end, case when closer = 0 then 'no_closer' end,
+    case when heroes = 0 then 'no_heroes' end, case when groups = 1 and moments >= 2 then 'one_group' end) as findings
 from mm join cc on cc.project = mm.project join us on us.project = mm.project
 """
 

@@ -13,11 +13,9 @@ from cutlake.plans.registry import query
 from cutlake.plans.views import oracle
 from cutlake.sources import stores, timelines, transcripts
 
-FILE_ROWS = 500  # rows put into one generated file
-
 
 def as_files(rows, keys, order, line, glue, head="", tail=""):
-    """Rows gathered into texts of bounded size: (file, text)."""
+    """The rows of each key gathered into one text, a whole document: (file, text)."""
     packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("__l")))).alias("l"))
     text = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["__l"]), glue), F.lit(tail))
     return settle(packed.select(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]).alias("file"), text.alias("text")))
@@ -37,13 +35,13 @@ def edl_round_trip(t):
 
 
 @query("fcpxml_ingest", oracle("b_clips", """
-select concat(cast(timeline_id as varchar), '-', cast(record_in // 15000 as varchar)) as file, name, case when clip_id % 4 = 1 then 'V3' else 'V1' end as track, 'video' as kind, source_in, source_in + record_out - record_in as source_out, record_in, record_out, source_file as source_name from b_clips
-union all select concat(cast(timeline_id as varchar), '-', cast(record_in // 15000 as varchar)), name, case when clip_id % 4 = 1 then 'A3' else 'A1' end, 'audio', source_in, source_in + record_out - record_in, record_in, record_out, source_file from b_clips where cast(substring(source_file, 6) as bigint) % 2 = 0
+select cast(timeline_id as varchar) as file, name, case when clip_id % 4 = 1 then 'V3' else 'V1' end as track, 'video' as kind, source_in, source_in + record_out - record_in as source_out, record_in, record_out, source_file as source_name from b_clips
+union all select cast(timeline_id as varchar), name, case when clip_id % 4 = 1 then 'A3' else 'A1' end, 'audio', source_in, source_in + record_out - record_in, record_in, record_out, source_file from b_clips where cast(substring(source_file, 6) as bigint) % 2 = 0
 """))
 def fcpxml_ingest(t):
     time = lambda frames: F.concat((frames * 100).cast("string"), F.lit("/2500s"))
     q = lambda name, v: F.concat(F.lit(f' {name}="'), v, F.lit('"'))
-    c = t.clips.withColumn("chunk", F.floor(F.col("record_in") / 15_000))
+    c = t.clips
     body = F.concat(q("ref", F.col("source_file")), q("name", F.col("name")), q("duration", time(F.col("record_out") - F.col("record_in"))), q("start", time(F.col("source_in") + 90_000)))
     plain = F.concat(F.lit("<asset-clip"), body, q("offset", time(F.col("record_in"))), F.lit("/>"))
     # Every fourth clip hangs in a gap, one lane up; its offset counts from the gap's own start.
@@ -53,17 +51,17 @@ def fcpxml_ingest(t):
     c = c.withColumn("el", F.when(F.col("clip_id") % 4 == 1, lane).otherwise(plain))
     assets = "".join(f'<asset id="clip_{i}" name="clip_{i}" start="3600s" hasVideo="1"{" hasAudio=\"1\"" if i % 2 == 0 else ""} src="file:///m/clip_{i}.mov"/>' for i in range(12))
     head = f'<fcpxml version="1.9"><resources><format id="r1" frameDuration="100/2500s" width="1920" height="1080"/>{assets}</resources><library><event><project name="x"><sequence format="r1"><spine>'
-    files = as_files(c, ["timeline_id", "chunk"], ["record_in", "clip_id"], "el", "", head, "</spine></sequence></project></event></library></fcpxml>")
+    files = as_files(c, ["timeline_id"], ["record_in", "clip_id"], "el", "", head, "</spine></sequence></project></event></library></fcpxml>")
     clips, _ = timelines.parse_fcpxml(files)
     return clips.select("file", "name", "track", "kind", "source_in", "source_out", "record_in", "record_out", "source_name")
 
 
 def tidy_segments(t):
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return t.segments.select("take_id", "seg", F.upper("speaker").alias("speaker"), text.alias("text"), "start_s", "end_s").withColumn("part", F.floor(F.col("seg") / FILE_ROWS))
+    return t.segments.select("take_id", "seg", F.upper("speaker").alias("speaker"), text.alias("text"), "start_s", "end_s")
 
 
-SEGS = "sg as (select concat(cast(take_id as varchar), '-', cast(seg // 500 as varchar)) as file, take_id, seg, upper(speaker) as speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, start_s, end_s from b_segments)"
+SEGS = "sg as (select cast(take_id as varchar) as file, take_id, seg, upper(speaker) as speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, start_s, end_s from b_segments)"
 
 
 @query("srt_round_trip", oracle("b_segments", SEGS + """
@@ -71,15 +69,15 @@ select file, row_number() over (partition by file order by seg) as seg, speaker,
 """))
 def srt_round_trip(t):
     s = tidy_segments(t)
-    blocks = transcripts.srt_blocks(s).withColumn("part", F.floor((F.col("n") - 1) / FILE_ROWS))
-    return rounded(transcripts.parse_srt(as_files(blocks, ["take_id", "part"], ["n"], "line", "\n"))[0])
+    blocks = transcripts.srt_blocks(s)
+    return rounded(transcripts.parse_srt(as_files(blocks, ["take_id"], ["n"], "line", "\n"))[0])
 
 
 @query("whisper_ingest", oracle("b_segments", SEGS + "select file, seg, speaker, text, round(start_s, 6) as start_s, round(end_s, 6) as end_s, 'de' as language from sg"))
 def whisper_ingest(t):
     row = F.to_json(F.struct(F.col("seg").alias("id"), F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", "speaker"))
     s = tidy_segments(t).withColumn("json", row)
-    files = as_files(s, ["take_id", "part"], ["seg"], "json", ",", '{"language": "de", "segments": [', "]}")
+    files = as_files(s, ["take_id"], ["seg"], "json", ",", '{"language": "de", "segments": [', "]}")
     return rounded(transcripts.parse_whisper(files)[0])
 
 
@@ -97,47 +95,47 @@ def papercut_round_trip(t):
 SPOKEN = "ln as (select conv_id, turn, upper(role) as role, " + NORM.format(c="text") + " as norm from conversations)"
 
 
-@query("fountain_ingest", oracle("", SPOKEN + "select concat(cast(conv_id as varchar), '-0') as file, cast(1 as bigint) as scene_no, 'dialogue' as kind, norm as text, role as character, '(quiet)' as parenthetical from ln"))
+@query("fountain_ingest", oracle("", SPOKEN + "select cast(conv_id as varchar) as file, cast(1 as bigint) as scene_no, 'dialogue' as kind, norm as text, role as character, '(quiet)' as parenthetical from ln"))
 def fountain_ingest(t):
     return _script(t)[1].drop("pos")
 
 
-@query("fountain_scenes", oracle("", "select concat(cast(conv_id as varchar), '-0') as file, cast(1 as bigint) as scene_no, concat('INT. PLACE ', cast(conv_id as varchar)) as heading, cast(conv_id as varchar) as number from (select distinct conv_id from conversations) z"))
+@query("fountain_scenes", oracle("", "select cast(conv_id as varchar) as file, cast(1 as bigint) as scene_no, concat('INT. PLACE ', cast(conv_id as varchar)) as heading, cast(conv_id as varchar) as number from (select distinct conv_id from conversations) z"))
 def fountain_scenes(t):
     return _script(t)[0]
 
 
 def _script(t):
-    c = t.read("conversations").select("conv_id", "turn", F.upper("role").alias("role"), normalize("text").alias("norm")).withColumn("part", F.floor(F.col("turn") / FILE_ROWS))
+    c = t.read("conversations").select("conv_id", "turn", F.upper("role").alias("role"), normalize("text").alias("norm"))
     speech = F.concat_ws("\n", "role", F.lit("(quiet)"), F.col("norm"), F.lit(""))
     place = F.concat(F.lit("Title: Draft\n\nint. place "), F.col("conv_id").cast("string"), F.lit(" #"), F.col("conv_id").cast("string"), F.lit("#\n\n"))
-    files = as_files(c.withColumn("block", F.when(F.col("turn") == 0, F.concat(place, speech)).otherwise(speech)), ["conv_id", "part"], ["turn"], "block", "\n")
+    files = as_files(c.withColumn("block", F.when(F.col("turn") == 0, F.concat(place, speech)).otherwise(speech)), ["conv_id"], ["turn"], "block", "\n")
     return transcripts.parse_fountain(files)
 
 
 @query("plan_ingest", oracle("b_entries", """
-select concat(cast(plan_id as varchar), '-', cast(slot // 500 as varchar)) as plan_id, row_number() over (partition by plan_id, slot // 500 order by slot) - 1 as slot, clip_path, source_start, source_end, record_start, record_end, round(score, 6) as score, transition, peak_source, shot_size, false as pinned, 0e0 as audio_lead from b_entries where plan_id % 9 > 0
+select cast(plan_id as varchar) as plan_id, slot, clip_path, source_start, source_end, record_start, record_end, round(score, 6) as score, transition, peak_source, shot_size, false as pinned, 0e0 as audio_lead from b_entries where plan_id % 9 > 0
 """))
 def plan_ingest(t):
-    e = t.entries.withColumn("part", F.floor(F.col("slot") / FILE_ROWS))
+    e = t.entries
     row = F.struct("clip_path", "source_start", "source_end", "record_start", "record_end", "score", "transition", "peak_source", "shot_size")
     # Every ninth plan is malformed: one of its entries has a field no plan knows.
     odd = F.struct("clip_path", "source_start", "source_end", "record_start", "record_end", "score", F.lit(1).alias("surprise"))
     e = e.withColumn("json", F.when(F.col("plan_id") % 9 > 0, F.to_json(row)).otherwise(F.to_json(odd)))
-    files = as_files(e, ["plan_id", "part"], ["slot"], "json", ",", '{"version": 1, "music_path": "a.wav", "duration": 30.5, "entries": [', '], "dips": [[1.0, 0.4]]}')
+    files = as_files(e, ["plan_id"], ["slot"], "json", ",", '{"version": 1, "music_path": "a.wav", "duration": 30.5, "entries": [', '], "dips": [[1.0, 0.4]]}')
     out = stores.parse_plans(files)["entries"]
     return rounded(out.select("plan_id", "slot", "clip_path", "source_start", "source_end", "record_start", "record_end", "score", "transition", "peak_source", "shot_size", "pinned", "audio_lead"))
 
 
 @query("report_ingest", oracle("b_moments", """
-select concat('/m/', clip_path, '-', cast(mid // 500 as varchar), '.mov') as clip_path, start_s, end_s, round(score, 6) as score, role, grp, phash, -1e0 as peak_time, 2e0 as focus_x from b_moments
+select concat('/m/', clip_path, '.mov') as clip_path, start_s, end_s, round(score, 6) as score, role, grp, phash, -1e0 as peak_time, 2e0 as focus_x from b_moments
 """))
 def report_ingest(t):
-    m = t.moments.withColumn("part", F.floor(F.col("mid") / FILE_ROWS))
+    m = t.moments
     row = F.to_json(F.struct(
         F.col("start_s").alias("start"), F.col("end_s").alias("end"), "score", "role", F.col("grp").alias("group"), "phash", F.array(F.lit(2.0), F.lit(1.0)).alias("entry_focus"),
     ))
-    files = as_files(m.withColumn("json", row), ["clip_path", "part"], ["mid"], "json", ",")
+    files = as_files(m.withColumn("json", row), ["clip_path"], ["mid"], "json", ",")
     key = F.concat(F.lit('"/m/'), "file", F.lit(".mov|"))
     older = F.concat(key, F.lit('100.5": {"duration": 1.0, "moments": []}'))
     newer = F.concat(key, F.lit('200.25": {"duration": 60.0, "usable_ratio": 0.5, "moments": ['), "text", F.lit("]}"))

@@ -12,33 +12,33 @@ from cutlake.plans.registry import query
 from cutlake.plans.views import oracle
 
 SHOTS = """
-shots as (select concat('doc_', cast(mid as varchar)) as clip_path, start_s, label, tag, grp, hero from b_annotations),
-sp as (select cast(take_id as varchar) as clip_path, start_s, trim(text) as label, '' as tag, '' as grp, 0e0 as hero from b_segments where trim(text) <> ''),
+shots as (select concat('doc:', cast(mid as varchar)) as shot_id, concat('doc_', cast(mid as varchar)) as clip_path, start_s, start_s + 1 as end_s, label, tag, grp, hero, false as spoken from b_annotations),
+sp as (select concat('line:', cast(take_id as varchar), ':', cast(seg as varchar)) as shot_id, cast(take_id as varchar) as clip_path, start_s, end_s, trim(text) as label, '' as tag, '' as grp, 0e0 as hero, true as spoken from b_segments where trim(text) <> ''),
 al as (select * from shots union all select * from sp),
-wd as (select distinct clip_path, start_s, hero, unnest(regexp_extract_all(lower(concat(label, ' ', tag, ' ', grp)), '[\\p{L}\\p{N}]+')) as word from al),
+wd as (select distinct shot_id, unnest(regexp_extract_all(lower(concat(label, ' ', tag, ' ', grp)), '[\\p{L}\\p{N}]+')) as word from al),
 qt as (select item_id as query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ts from benchmark),
 tk as (select query_id, len(ts) as n, unnest(ts) as token, unnest(range(len(ts))) as pos from qt),
 vc as (select distinct word from wd), tt as (select distinct token from tk),
 pr as (select token, word from tt join vc on token = word or (length(token) >= 3 and starts_with(word, token)) or (length(word) >= 3 and starts_with(token, word))),
-ht as (select query_id, clip_path, start_s, hero, n, count(distinct pos) as h from tk join pr on pr.token = tk.token join wd on wd.word = pr.word group by query_id, clip_path, start_s, hero, n),
-rl as (select *, least(1, h / n + 2e-1 * hero) as relevance from ht),
-rk as (select *, row_number() over (partition by query_id order by round(relevance, 9) desc, hero desc, clip_path, start_s) as rank from rl)
+ht as (select query_id, shot_id, n, count(distinct pos) as h from tk join pr on pr.token = tk.token join wd on wd.word = pr.word group by query_id, shot_id, n),
+rl as (select ht.query_id, al.*, least(1, h / n + 2e-1 * hero) as relevance from ht join al using (shot_id)),
+rk as (select *, row_number() over (partition by query_id order by round(relevance, 9) desc, hero desc, clip_path, start_s, shot_id) as rank from rl)
 """
 
 
 def annotated(t):
     a = t.annotations
     return a.select(
-        F.concat(F.lit("doc_"), "mid").alias("clip_path"), "start_s", (F.col("start_s") + 1).alias("end_s"), "label", F.array("tag").alias("tags"), "grp",
-        F.lit("").alias("role"), "hero",
+        F.concat(F.lit("doc:"), "mid").alias("shot_id"), F.concat(F.lit("doc_"), "mid").alias("clip_path"), "start_s", (F.col("start_s") + 1).alias("end_s"), "label",
+        F.array("tag").alias("tags"), "grp", F.lit("").alias("role"), "hero",
     )
 
 
-@query("shot_search", oracle("b_annotations b_segments", SHOTS + "select query_id, rank, clip_path, start_s, round(relevance, 6) as relevance from rk where rank <= 20"))
+@query("shot_search", oracle("b_annotations b_segments", SHOTS + "select query_id, rank, shot_id, clip_path, round(start_s, 6) as start_s, round(end_s, 6) as end_s, label, spoken, round(relevance, 6) as relevance from rk where rank <= 20"))
 def shot_search(t):
-    shots = tk.searchable(annotated(t), tk.spoken_shots(t.segments)).select("clip_path", "start_s", "label", "tags", "grp", "role", "hero")
+    shots = tk.searchable(annotated(t), tk.spoken_shots(t.segments))
     queries = t.read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rounded(tk.search(shots, queries).select("query_id", "rank", "clip_path", "start_s", "relevance"), "start_s")
+    return rounded(tk.search(shots, queries).select("query_id", "rank", "shot_id", "clip_path", "start_s", "end_s", "label", "spoken", "relevance"))
 
 
 @query("hero_shots", oracle("b_annotations", "select concat('doc_', cast(mid as varchar)) as clip_path, start_s, hero from b_annotations where hero >= 5e-1 order by hero desc, clip_path, start_s limit 20"))
@@ -59,18 +59,22 @@ def normalised_text(t):
     return t.read("documents").select("doc_id", normalize("text").alias("norm"))
 
 
-# Every conversation is a scene; its turns are the script, and four takes say them more or less well. The SQL
-# engine's edit distance counts bytes, so accented letters are written plainly in both.
-ACCENTS = ("éçèêüßäöóíñÉÇÈÊÜÄÖÓÍÑ", "eceeusaooinECEEUAOOIN")
+# Every conversation is a scene; its turns are the script, and four takes say them more or less well. Every seventh line
+# is said in no take; in every second scene take 2 breaks each line off and starts it again. The SQL engine's edit distance
+# counts bytes, so its side writes each accented letter as a capital, which no normalised line has.
+ACCENTS = ("éçèêëüßäöóíñúîïáàâôûùæœ", "ABCDEFGHIJKLMNOPQRSTUVW")
+PLAIN = f"translate({NORM.format(c='text')}, '{ACCENTS[0]}', '{ACCENTS[1]}')"
 TAKES = f"""
-ln as (select conv_id as scene_id, turn as line_no, translate(text, '{ACCENTS[0]}', '{ACCENTS[1]}') as text, count(*) over (partition by conv_id) as n from conversations),
-sg as (select scene_id * 10 as take_id, scene_id, line_no as i, text from ln union all select scene_id * 10 + 1, scene_id, line_no, replace(text, 'e', '') from ln
-  union all select scene_id * 10 + 2, scene_id, line_no * 2, substring(text, 1, length(text) // 2) from ln union all select scene_id * 10 + 2, scene_id, line_no * 2 + 1, substring(text, length(text) // 2 + 1) from ln
-  union all select scene_id * 10 + 3, scene_id, n - 1 - line_no, text from ln),
-ns as (select *, {NORM.format(c="text")} as norm, i * 5e0 as start_s, i * 5e0 + 4 as end_s from sg),
+ln as (select conv_id as scene_id, turn as line_no, text, count(*) over (partition by conv_id) as n from conversations),
+sd as (select scene_id, line_no, n, case when (scene_id + line_no) % 7 = 6 then 'xylo xylo' else text end as text from ln),
+sg as (select scene_id * 10 as take_id, scene_id, line_no as i, text from sd union all select scene_id * 10 + 1, scene_id, line_no, replace(text, 'e', '') from sd
+  union all select scene_id * 10 + 2, scene_id, line_no * 2, concat(substring(text, 1, length(text) // 2), case when scene_id % 2 = 0 then '--' else '' end) from sd
+  union all select scene_id * 10 + 2, scene_id, line_no * 2 + 1, case when scene_id % 2 = 0 then text else substring(text, length(text) // 2 + 1) end from sd
+  union all select scene_id * 10 + 3, scene_id, n - 1 - line_no, text from sd),
+ns as (select *, {PLAIN} as norm, i * 5e0 as start_s, i * 5e0 + 4 as end_s from sg),
 wn as (select a.take_id, a.scene_id, a.i, w as width, trim(regexp_replace(string_agg(b.norm, ' ' order by b.i), ' +', ' ', 'g')) as norm, min(b.start_s) as start_s, max(b.end_s) as end_s
   from ns a cross join range(1, 7) r(w) join ns b on b.take_id = a.take_id and b.i >= a.i and b.i < a.i + w group by a.take_id, a.scene_id, a.i, w having count(*) = w),
-nl as (select scene_id, line_no, {NORM.format(c="text")} as line from ln),
+nl as (select scene_id, line_no, {PLAIN} as line from ln),
 cd as (select w.scene_id, take_id, line_no, i, width, start_s, end_s, line, norm from wn w join nl on nl.scene_id = w.scene_id where length(line) > 0 and length(norm) > 0
   and least(length(line), length(norm)) / greatest(length(line), length(norm)) >= case when width = 1 then 3e-1 else 55e-2 end - 1e-12),
 ps as (select scene_id, take_id, line_no, i, width, start_s, end_s, 1 - levenshtein(line, norm) / greatest(length(line), length(norm)) as sim from cd),
@@ -86,7 +90,10 @@ fo as (select scene_id, take_id, list_reduce(list_transform(l, lambda x: {'cur':
 mt as (select z.scene_id, z.take_id, m.ln as line_no, m.i, m.w as width, m.f as from_i, sim, start_s, end_s from (select scene_id, take_id, unnest(o) as m from fo) z join pp p on p.scene_id = z.scene_id and p.take_id = z.take_id and p.line_no = m.ln and p.i = m.i and p.width = m.w)
 """
 SCORED = MATCHED + """,
-fl as (select distinct p.scene_id, p.take_id, p.i from pp p join mt m on m.scene_id = p.scene_id and m.take_id = p.take_id and m.line_no = p.line_no where p.width = 1 and p.sim < 55e-2 and p.i >= m.from_i and p.i < m.i and p.sim < m.sim),
+nx as (select scene_id, take_id, i, rtrim(text) as raw, string_split(norm, ' ') as a, string_split(lead(norm) over (partition by take_id order by i), ' ') as b from ns),
+hd as (select scene_id, take_id, i, array_to_string(a[1:3], ' ') as a, array_to_string(b[1:3], ' ') as b from nx where (ends_with(raw, '--') or ends_with(raw, '...')) and len(a) >= 3 and len(b) >= 3),
+fl as (select scene_id, take_id, i from hd where 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 8e-1
+  union select distinct p.scene_id, p.take_id, p.i from pp p join mt m on m.scene_id = p.scene_id and m.take_id = p.take_id and m.line_no = p.line_no where p.width = 1 and p.sim < 55e-2 and p.i >= m.from_i and p.i < m.i and p.sim < m.sim),
 rt as (select distinct scene_id, take_id from ns),
 sz as (select scene_id, count(*) as n from ln group by scene_id),
 sc as (select r.scene_id, r.take_id, coalesce(c, 0) / n as coverage, coalesce(a, 0) as accuracy, coalesce(f, 0) as fluffs, coalesce(d, 0) as duration from rt r join sz on sz.scene_id = r.scene_id
@@ -101,17 +108,19 @@ class Script:
     """Lines, take segments and routes of the conversation scenes, and the matching built on them."""
 
     def __init__(self, t):
-        c = t.read("conversations").select(F.col("conv_id").alias("scene_id"), F.col("turn").alias("line_no"), F.translate("text", *ACCENTS).alias("text"))
+        c = t.read("conversations").select(F.col("conv_id").alias("scene_id"), F.col("turn").alias("line_no"), "text")
         self.lines = c
         n = c.groupBy("scene_id").agg(F.count("*").alias("n"))
-        half = F.floor(F.length("text") / 2).cast("int")
-        line, base = F.col("line_no"), F.col("scene_id") * 10
+        line, base, again = F.col("line_no"), F.col("scene_id") * 10, F.col("scene_id") % 2 == 0
+        said = F.when((F.col("scene_id") + line) % 7 == 6, "xylo xylo").otherwise(F.col("text"))
+        half = F.floor(F.length(said) / 2).cast("int")
         take = lambda k, i, text: F.struct((base + k).alias("take_id"), i.cast("bigint").alias("i"), text.alias("text"))
-        said = F.array(
-            take(0, line, F.col("text")), take(1, line, F.replace(F.col("text"), F.lit("e"), F.lit(""))), take(2, line * 2, F.substring("text", F.lit(1), half)),
-            take(2, line * 2 + 1, F.substring("text", half + 1, F.length("text"))), take(3, F.col("n") - 1 - line, F.col("text")),
+        rows = F.array(
+            take(0, line, said), take(1, line, F.replace(said, F.lit("e"), F.lit(""))),
+            take(2, line * 2, F.concat(F.substring(said, F.lit(1), half), F.when(again, "--").otherwise(""))),
+            take(2, line * 2 + 1, F.when(again, said).otherwise(F.substring(said, half + 1, F.length(said)))), take(3, F.col("n") - 1 - line, said),
         )
-        s = c.join(n, "scene_id").select("scene_id", F.explode(said).alias("s")).select("scene_id", "s.*")
+        s = c.join(n, "scene_id").select("scene_id", F.explode(rows).alias("s")).select("scene_id", "s.*")
         self.segments = settle(s.withColumns({"start_s": F.col("i") * 5.0, "end_s": F.col("i") * 5.0 + 4}))
         self.routes = self.segments.select("scene_id", "take_id").distinct()
         self.pairs = settle(tk.line_windows(self.lines, tk.take_windows(self.segments.drop("scene_id")), self.routes))
@@ -218,9 +227,9 @@ vt as (select folder, count(distinct case when list = 'o' then token end) as o,
   from fx join vc on token = word or (length(token) >= 3 and starts_with(word, token)) or (length(word) >= 3 and starts_with(token, word)) group by folder),
 sn as (select item_id as scene_no, concat('src', cast(item_id % 20 as varchar)) as folder, concat(case when item_id % 2 = 0 then 'INT. ' else 'EXT. ' end, 'PLACE ', cast(item_id as varchar), case when item_id % 3 = 0 then ' - DAY' else ' - NIGHT' end) as heading, text as summary from benchmark),
 tk as (select distinct scene_no, folder, unnest(regexp_extract_all(lower(concat(heading, ' ', summary)), '[\\p{{L}}\\p{{N}}]+')) as token from sn),
-ov as (select t.scene_no, count(distinct token) as m from tk t join vc on vc.folder = t.folder and (token = word or (length(token) >= 3 and starts_with(word, token)) or (length(word) >= 3 and starts_with(token, word))) where token not in ('int', 'ext', 'day', 'night', 'i', 'e') group by t.scene_no),
+ov as (select t.scene_no, count(distinct token) as m, string_agg(distinct token, ' ' order by token) as mw from tk t join vc on vc.folder = t.folder and (token = word or (length(token) >= 3 and starts_with(word, token)) or (length(word) >= 3 and starts_with(token, word))) where token not in ('int', 'ext', 'day', 'night', 'i', 'e') group by t.scene_no),
 cl as (select folder, count(*) as clips, avg(hero) as avg_usable from (select tag as folder, hero from b_annotations) z group by folder),
-jd as (select s.*, coalesce(m, 0) as m, coalesce(clips, 0) as clips, coalesce(avg_usable, 0) as avg_usable, v.folder is not null as seen, case when o > i then 'EXT' when i > o then 'INT' end as lean, case when n > d then 'NIGHT' when d > n then 'DAY' end as tod
+jd as (select s.*, coalesce(m, 0) as m, mw, coalesce(clips, 0) as clips, coalesce(avg_usable, 0) as avg_usable, v.folder is not null as seen, case when o > i then 'EXT' when i > o then 'INT' end as lean, case when n > d then 'NIGHT' when d > n then 'DAY' end as tod
   from sn s left join ov on ov.scene_no = s.scene_no left join vt on vt.folder = s.folder left join cl on cl.folder = s.folder left join (select distinct folder from vc) v on v.folder = s.folder),
 ck as (select *, case when seen and lean is not null then case when contains(heading, lean) then 'match' else 'mismatch' end end as place, case when seen and tod is not null then case when contains(heading, tod) then 'match' else 'mismatch' end end as time, case when seen then m > 0 end as overlap from jd),
 sk as (select *, 5e-1 + case when overlap then 25e-2 else 0 end + case when place = 'match' then 15e-2 else 0 end + case when time = 'match' then 1e-1 else 0 end as score from ck)
@@ -236,16 +245,18 @@ def scenes(t):
     return s, tk.scene_check(s, moments, clips)
 
 
-@query("scene_checks", oracle("b_annotations", SCENE + "select scene_no, folder, round(score, 6) as score, seen as content_checked, clips, round(avg_usable, 6) as avg_usable, overlap, place, time, m as matched from sk"))
+@query("scene_checks", oracle("b_annotations", SCENE + """select scene_no, folder, round(score, 6) as score, seen as content_checked, clips, round(avg_usable, 6) as avg_usable, overlap, place, time, coalesce(mw, '') as matched,
+  concat_ws(' ', case when clips = 0 then 'no_clips' end, case when not seen then 'no_labels' end, case when overlap then 'words_shared' when not overlap then 'no_words_shared' end,
+    case when place is not null then concat('place_', lower(lean), '_', place) end, case when time is not null then concat('time_', lower(tod), '_', time) end) as findings from sk"""))
 def scene_checks(t):
-    return rounded(scenes(t)[1].withColumn("matched", F.size("matched").cast("bigint")).drop("findings"))
+    return rounded(scenes(t)[1].withColumns({c: F.array_join(c, " ") for c in ("matched", "findings")}))
 
 
 PLAN = SCENE + """,
 as_ as (select scene_no, case when scene_no % 5 = 0 then '' when scene_no % 5 = 1 then 'elsewhere' else folder end as folder from sn),
 pl as (select a.scene_no, a.folder, case when a.scene_no % 4 = 0 then 1 else 3 end as takes, k.scene_no is not null as judged, clips, avg_usable, seen, score, place, time from as_ a left join sk k on k.scene_no = a.scene_no and k.folder = a.folder),
-pw as (select *, concat_ws('; ', case when judged and clips = 0 then 'no usable clips' end, case when judged and clips > 0 and avg_usable < 4e-1 then concat('only ', cast(cast(round_even(avg_usable * 100, 0) as bigint) as varchar), '% of the footage is usable') end,
-  case when judged and clips > 0 and seen and score < 75e-2 then 'no overlap with the scene description' end, case when judged and clips > 0 and place = 'mismatch' then 'interior or exterior does not fit' end, case when judged and clips > 0 and time = 'mismatch' then 'time of day does not fit' end) as why from pl),
+pw as (select *, concat_ws('; ', case when judged and clips = 0 then 'no_clips' end, case when judged and clips > 0 and avg_usable < 4e-1 then 'little_usable' end,
+  case when judged and clips > 0 and seen and score < 75e-2 then 'low_score' end, case when judged and clips > 0 and place = 'mismatch' then 'place' end, case when judged and clips > 0 and time = 'mismatch' then 'time' end) as why from pl),
 pz as (select scene_no, folder, case when folder = '' then 'unshot' when not judged then 'assigned' when why <> '' then 'checked-weak' else 'checked-ok' end as status, case when folder = '' then '' else why end as why, folder <> '' and takes = 1 as thin from pw)
 """
 

@@ -130,7 +130,7 @@ def transcript_extent(t):
     return rounded(timeline.transcript_extent(t.segments))
 
 
-@query("transcript_text", oracle("b_segments", "select take_id, cast(seg // 1000 as bigint) as block, string_agg(text, chr(10) order by seg) as text from b_segments group by take_id, seg // 1000"))
+@query("transcript_text", oracle("b_segments", "select take_id, string_agg(text, chr(10) order by seg) as text from b_segments group by take_id"))
 def transcript_text(t):
     return timeline.transcript_text(t.segments)
 
@@ -273,13 +273,12 @@ def cut_comparison(t):
 d as (select a.timeline_id as a_id, b.timeline_id as b_id, b.avg_shot_seconds - a.avg_shot_seconds as da, a.avg_shot_seconds as a0,
   b.std_shot_seconds - a.std_shot_seconds as ds, a.std_shot_seconds as s0, b.duration_seconds - a.duration_seconds as dd, a.duration_seconds as d0
   from stats a join stats b on b.timeline_id = a.timeline_id + 1)
-select a_id, b_id, concat('Cut B is ', concat_ws(', ',
-  case when abs(da) <= 1e-9 or (a0 > 0 and abs(da) / a0 < 5e-2) then 'paced about the same overall' when da < 0 then 'cut faster overall (shorter average shot)' else 'cut slower overall (longer average shot)' end,
-  case when abs(ds) <= 1e-9 or (s0 > 0 and abs(ds) / s0 < 5e-2) then null when ds < 0 then 'with a tighter, more even rhythm' else 'with a looser, more varied rhythm' end,
-  case when abs(dd) <= 1e-9 or (d0 > 0 and abs(dd) / d0 < 5e-2) then null else concat('and runs about ', cast(cast(round_even(abs(dd), 0) as bigint) as varchar), 's ', case when dd < 0 then 'shorter' else 'longer' end) end), '.') as verdict from d
+select a_id, b_id, case when abs(da) <= 1e-9 or (a0 > 0 and abs(da) / a0 < 5e-2) then 'same' when da < 0 then 'faster' else 'slower' end as tempo,
+  case when abs(ds) <= 1e-9 or (s0 > 0 and abs(ds) / s0 < 5e-2) then null when ds < 0 then 'tighter' else 'looser' end as rhythm,
+  case when abs(dd) <= 1e-9 or (d0 > 0 and abs(dd) / d0 < 5e-2) then null else round(dd, 6) end as runtime_s from d
 """))
 def cut_verdicts(t):
-    return pacing.cut_verdicts(stats_of(t), _pairs(t))
+    return rounded(pacing.cut_verdicts(stats_of(t), _pairs(t)))
 
 
 @query("genre_bands", oracle("b_clips", STATS + """,

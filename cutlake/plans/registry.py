@@ -33,7 +33,7 @@ def _load() -> None:
         importlib.import_module(f"cutlake.plans.{family}")
 
 
-FAMILIES = ["q_timeline", "q_footage", "q_music", "q_intervals", "q_scoring", "q_takes", "q_sources"]
+FAMILIES = ["q_timeline", "q_footage", "q_music", "q_intervals", "q_scoring", "q_takes", "q_sources", "q_streams"]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,7 +29,7 @@ select timeline_id, record_in as frame, concat('scene ', cast(clip_id as varchar
 """,
     "b_frames": """
 select user_id as clip_id, (rn - 1) * 5e-1 as t, least(25e1, value * 15e-1) as brightness, (event_id * 7 % 40) * 1e0 as sharpness,
-  case when rn = 1 then 0e0 else (event_id * 13 % 60) / 3e0 end as motion, case when rn = 1 then 0e0 else (event_id * 11 % 50) / 5e0 end as residual,
+  case when rn = 1 then 0e0 when event_id % 97 = 0 then 12e1 else (event_id * 13 % 60) / 3e0 end as motion, case when rn = 1 then 0e0 else (event_id * 11 % 50) / 5e0 end as residual,
   (event_id % 9 - 4) * 1e0 as dx, (event_id % 5 - 2) * 1e0 as dy, (event_id % 10) / 4e1 as clipped, (event_id % 7) / 5e1 as crushed, event_id * 2654435761 as phash
 from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) a
 """,
@@ -156,7 +156,7 @@ class Tables:
             ((F.col("rn") - 1) * 0.5).alias("t"),
             F.least(F.lit(250.0), F.col("value") * 1.5).alias("brightness"),
             (i * 7 % 40).cast("double").alias("sharpness"),
-            F.when(first, 0.0).otherwise((i * 13 % 60) / 3.0).alias("motion"),
+            F.when(first, 0.0).when(i % 97 == 0, 120.0).otherwise((i * 13 % 60) / 3.0).alias("motion"),
             F.when(first, 0.0).otherwise((i * 11 % 50) / 5.0).alias("residual"),
             (i % 9 - 4).cast("double").alias("dx"),
             (i % 5 - 2).cast("double").alias("dy"),

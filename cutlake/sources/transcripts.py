@@ -121,7 +121,7 @@ def parse_fountain(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     forced = head.startswith(".") & ~head.startswith("..")
     is_head = forced | head.rlike(HEADING)
     bare = F.regexp_replace(head, SCENE_NUMBER, "")
-    title = F.upper(_clean(F.when(forced, F.substring(bare, 2, 10_000)).otherwise(bare)))
+    title = F.upper(_clean(F.when(forced, F.substr(bare, F.lit(2))).otherwise(bare)))
     rows = rows.withColumns({"__h": F.when(is_head, title), "__num": F.when(is_head, F.regexp_extract(head, SCENE_NUMBER, 1))})
     rest = F.when(is_head, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines"))
     skip = lambda s: s.rlike("^[#=>]") | ((s == F.upper(s)) & s.endswith("TO:"))

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cutlake.functions.greedy import greedy
+from cutlake.functions.greedy import first_free
+from cutlake.functions.ordered import global_ranks, linear_percentiles, mid_ranks
 from cutlake.operators import footage
 
 FRAMES = "clip_id string, t double, brightness double, sharpness double, motion double, residual double, dx double, dy double, clipped double, crushed double, phash bigint"
@@ -46,7 +47,7 @@ def test_constant_sound_is_ignored(spark):
     audio = spark.createDataFrame(rows, "clip_id string, t double, rms double, clipping double, low_ratio double")
     profile = footage.audio_profile(audio)
     notes = {r.clip_id: list(r.audio_notes) for r in profile.collect()}
-    assert notes["hum"][0].startswith("audio: constant") and notes["hush"] == ["audio: mostly silent"] and notes["party"] == []
+    assert notes["hum"] == ["constant_tone"] and notes["hush"] == ["silent"] and notes["party"] == []
     bursts = {(r.clip_id, r.t) for r in footage.audio_bursts(audio, profile).where("burst = 1").collect()}
     assert bursts == {("party", 2.0)}
 
@@ -65,14 +66,31 @@ def test_near_duplicates_match_brute_force(spark):
 def test_greedy_rounds_equal_one_walk(spark):
     rng = random.Random(3)
     rows = [(k, i, rng.randrange(40)) for k in ("x", "y") for i in range(60)]
-    df = spark.createDataFrame(rows, "k string, i bigint, v bigint")
-    out = greedy(df, ["k"], [F.asc("i")], 8, lambda o, x: F.abs(o["v"] - x["v"]) < 4, ["i", "v"], batch=4)
-    got = {k: [] for k in ("x", "y")}
-    for r in out.orderBy("k", "pick").collect():
-        got[r.k].append(r.i)
+    clash = [(k, a, b) for k, a, v in rows for q, b, w in rows if k == q and a < b and abs(v - w) < 4]
+    ids = spark.createDataFrame([(k, i) for k, i, _ in rows if i], "k string, mid bigint")
+    taken = spark.createDataFrame([(k, 0) for k in ("x", "y")], "k string, mid bigint")
+    out = first_free(ids, spark.createDataFrame(clash, "k string, a bigint, b bigint"), taken, ["k"])
+    got = {k: sorted(r.mid for r in out.collect() if r.k == k) for k in ("x", "y")}
     for k in got:
-        taken = []
+        walk = []
         for _, i, v in (r for r in rows if r[0] == k):
-            if len(taken) < 8 and all(abs(v - w) >= 4 for _, w in taken):
-                taken.append((i, v))
-        assert got[k] == [i for i, _ in taken]
+            if all(abs(v - w) >= 4 for _, w in walk):
+                walk.append((i, v))
+        assert got[k] == [i for i, _ in walk if i]
+
+
+def test_ranks_of_a_hot_key_with_an_outlier(spark):
+    rng = random.Random(5)
+    values = [float(rng.randrange(500)) for _ in range(4000)] + [1e12]
+    rows = [("hot", v) for v in values] + [("cold", float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(8)
+    ordered = sorted(values)
+    got = {r.k: (r.low, r.high) for r in linear_percentiles(df, ["k"], "v", low=0.25, high=0.9).collect()}
+    assert got["hot"] == (ordered[1000], ordered[3600]) and got["cold"] == (99.75, 359.1)
+    ranks = {r.v: r.m for r in mid_ranks(df, ["k"], "v", "m").where("k = 'hot'").collect()}
+    assert ranks[1e12] == 1.0
+    v = ordered[2000]
+    first, last = ordered.index(v), len(ordered) - 1 - ordered[::-1].index(v)
+    assert abs(ranks[v] - (first + last) / 2 / 4000) < 1e-12
+    numbered = {r.i: r.n for r in global_ranks(spark.range(1000).selectExpr("id as i", "id % 7 as g").repartition(5), [F.desc("g"), F.asc("i")], "n").collect()}
+    assert [i for i, _ in sorted(numbered.items(), key=lambda x: x[1])] == sorted(range(1000), key=lambda i: (-(i % 7), i))

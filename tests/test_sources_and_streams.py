@@ -105,7 +105,7 @@ def test_unsigned_hash_keeps_its_bits(spark):
 
 
 def _clip(name, n=12, broken=False):
-    return [(name, 1.0, i * 0.5, None if broken and i == 3 else 130.0, 20.0 + i % 2, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 7) for i in range(n)]
+    return [(name, 1.0, i * 0.5, None if broken and i == 3 else 130.0, 20.0 + i % 2, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 7, n) for i in range(n)]
 
 
 def test_triage_stream_takes_each_clip_once_and_retries(spark, tmp_path):
@@ -129,6 +129,16 @@ def test_triage_stream_takes_each_clip_once_and_retries(spark, tmp_path):
     assert {r.clip_path for r in last.where(F.col("batch_id") == last.agg(F.max("batch_id")).first()[0]).collect()} == {"bad"}
 
 
+def test_clip_in_two_parts_is_judged_whole(spark, tmp_path):
+    source, reports, waiting, state = (str(tmp_path / p) for p in ("in", "reports", "waiting", "state"))
+    rows = _clip("late", 20)
+    for part in (rows[:7], _clip("other"), rows[7:]):
+        spark.createDataFrame(part, jobs.FRAMES).coalesce(1).write.mode("append").parquet(source)
+        assert jobs.triage_stream(spark, source, reports, waiting, state).awaitTermination(120)
+    found = {r.clip_path: r.duration for r in spark.read.parquet(reports).collect()}
+    assert found == {"late": 10.0, "other": 6.0}
+
+
 def test_preference_stream_counts(spark, tmp_path):
     source, store, state = (str(tmp_path / p) for p in ("in", "store", "state"))
     for n in (1, 2):
