@@ -222,13 +222,13 @@ def folder_summary(t):
 
 
 @query("near_duplicates", oracle("", """
-h as (select p_partkey * 2654435761 as phash, p_size % 3 as project from part where p_partkey > 0 union all select p_partkey * 2654435761 + p_size % 4, p_size % 3 from part where p_partkey > 0),
-c as (select project, phash, count(*) as copies from h group by project, phash)
+h as (select p_partkey * 2654435761 as phash, p_size % 3 as project from part union all select p_partkey * 2654435761 + p_size % 4, p_size % 3 from part),
+c as (select project, phash, count(*) as copies from h where phash <> 0 group by project, phash)
 select a.project, a.phash as a_hash, b.phash as b_hash, a.copies as a_copies, b.copies as b_copies, cast(bit_count(xor(a.phash, b.phash)) as bigint) as distance
 from c a join c b on a.project = b.project and a.phash < b.phash where bit_count(xor(a.phash, b.phash)) <= 6
 """))
 def near_duplicates(t):
-    m = t.moments.select("phash", "mid").join(t.read("part").select(F.col("p_partkey").alias("mid"), "p_size"), "mid").where("mid > 0")
+    m = t.moments.select("phash", "mid").join(t.read("part").select(F.col("p_partkey").alias("mid"), "p_size"), "mid")
     project = (F.col("p_size") % 3).alias("project")
     twice = m.select("phash", project).unionByName(m.select((F.col("phash") + F.col("p_size") % 4).alias("phash"), project))
     return footage.near_duplicates(twice, keys=["project"])
