@@ -45,6 +45,19 @@ class Pieces:
         self.plain = sp.normalize("  ﬁ　é ") == self.prefix * SPACE + f"{SPACE * 2}ﬁ　é{SPACE}"
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        # How long a piece can be that begins with these one or two characters.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            for k in (1, 2):
+                if len(p) >= k:
+                    self.reach[p[:k]] = max(self.reach.get(p[:k], 0), len(p))
+        # What a piece decodes to by itself; bytes of longer characters do not.
+        self.plain_text: list[str | None] = [t.replace(SPACE, " ") for t in self.text]
+        for i in range(n):
+            if i in special:
+                self.plain_text[i] = " ⁇ " if i == self.unknown else ""
+            elif i in self.of_byte:
+                self.plain_text[i] = chr(self.of_byte[i]) if self.of_byte[i] < 128 else None
 
     def normal(self, text: str) -> str:
         """The normaliser: as the model has it; plain ones (spaces only) without a call."""
@@ -78,67 +91,87 @@ class Pieces:
 
     def path(self, word: str) -> list[int]:
         """Shortest path over one word, whose inner boundaries no piece crosses."""
-        ids, longest, follows = self.ids, self.longest, self.follows
+        ids, reach, pairs = self.ids, self.reach, self.pairs
         out: list[int] = []
         at, n = 0, len(word)
-        start, left = 0, -1  # of the run of known characters, and the piece before
-        trail: list[tuple[int, int]] = []  # start and length of the pieces of the run so far
+        left = -1  # the piece before
+        trail: list[tuple[int, int, int]] = []  # start, length and number of the pieces of the run so far
         dead: set[tuple[int, int]] = set()
-        length = min(longest, n)
+        length = -1
         while at < n:
-            if word[at] not in ids:
-                out += [i for _, i in self._closed(word, trail)]
-                raw = word[at].encode("utf-8", "surrogatepass")
-                out += [self.byte[b] for b in raw] if all(b in self.byte for b in raw) else [self.unknown]
-                at += 1
-                trail, left, length = [], -1, min(longest, n - at)
-                dead.clear()
-                continue
+            if length < 0:
+                most = reach.get(word[at : at + 2]) or reach.get(word[at], 0)
+                length = min(most, n - at)
+                if not most or word[at] not in ids:
+                    out += [i for _, _, i in trail]
+                    raw = word[at].encode("utf-8", "surrogatepass")
+                    out += [self.byte[b] for b in raw] if all(b in self.byte for b in raw) else [self.unknown]
+                    at += 1
+                    trail, left, length = [], -1, -1
+                    dead.clear()
+                    continue
             while length > 0:
                 piece = ids.get(word[at : at + length])
-                if piece is not None and (at + length, piece) not in dead and follows(left, piece):
-                    break
+                if piece is not None:
+                    fits = pairs.get(left << 32 | piece)
+                    if fits is None:
+                        fits = self.follows(left, piece)
+                    if fits and not (dead and (at + length, piece) in dead):
+                        break
                 length -= 1
             if length > 0:
-                trail.append((at, length))
-                at, left, length = at + length, piece, min(longest, n - at - length)
+                trail.append((at, length, piece))
+                at, left, length = at + length, piece, -1
             elif trail:  # no finite path goes on from here: back by one piece
                 dead.add((at, left))
-                at, length = trail.pop()
+                at, length, _ = trail.pop()
                 length -= 1
-                left = ids[word[trail[-1][0] : sum(trail[-1])]] if trail else -1
+                left = trail[-1][2] if trail else -1
             else:
                 raise ValueError(f"no path over {word[:40]!r}")
-        return out + [i for _, i in self._closed(word, trail)]
-
-    def _closed(self, word: str, trail: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        return [(s, self.ids[word[s : s + k]]) for s, k in trail]
+        return out + [i for _, _, i in trail]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        words, out = self.words, []
-        for part in split_words(self.normal(text)):
-            got = words.get(part)
-            if got is None:
-                got = self.path(part)
-                if len(part) <= 64:
-                    if len(words) >= REMEMBERED:
-                        words.clear()
-                    words[part] = got
-            out += got
+        if not (self.plain and self.prefix):
+            out: list[int] = []
+            for part in split_words(self.normal(text)):
+                out += self._known(part, part)
+            return out
+        # Every word but those after several spaces has one space mark before it.
+        words, out, marks = self.words, [], 0
+        for part in text.replace(SPACE, " ").split(" "):
+            marks += 1
+            if not part:
+                continue
+            if marks == 1:
+                got = words.get(part)
+                out += self._known(part, SPACE + part) if got is None else got
+            else:
+                out += self.path(SPACE * marks + part)
+            marks = 0
+        if marks:
+            out += self.path(SPACE * marks)
         return out
 
+    def _known(self, key: str, part: str) -> list[int]:
+        got = self.words.get(key)
+        if got is None:
+            got = self.path(part)
+            if len(part) <= 64:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[key] = got
+        return got
+
     def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.of_byte:
-                parts.append(bytes([self.of_byte[i]]))
-            elif i not in self.silent:
-                parts.append(self.text[i].replace(SPACE, " ").encode("utf-8", "surrogatepass"))
-            elif i == self.unknown:
-                parts.append(" ⁇ ".encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        plain = self.plain_text
+        try:
+            text = "".join([plain[i] for i in ids])
+        except TypeError:  # bytes of longer characters
+            parts = [bytes([self.of_byte[i]]) if i in self.of_byte else plain[i].encode("utf-8", "surrogatepass") for i in ids]
+            text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
