@@ -92,6 +92,43 @@ def papercut_round_trip(t):
     return rounded(found.drop("pos"), "fps")
 
 
+@query("edl_bad_rows", oracle("b_clips", """
+select cast(timeline_id as varchar) as file, clip_id as pos, case clip_id % 5 when 0 then 'malformed event line: expected 8 or 9 fields, got 7' when 1 then 'invalid timecode in event line' else 'unrecognized channel field Q9' end as message from b_clips where clip_id % 5 < 3
+"""))
+def edl_bad_rows(t):
+    k = F.col("clip_id") % 5
+    code = F.lit("00:00:01:00 00:00:02:00 00:00:01:00 ")
+    line = F.concat_ws(" ", F.lit("001 REEL"), F.when(k == 2, "Q9").otherwise("V"), F.lit("C"), code)
+    line = F.concat(line, F.when(k == 0, "").when(k == 1, "0:0x").otherwise("00:00:02:00"))
+    return timelines.parse_edl(t.clips.select(F.col("timeline_id").cast("string").alias("file"), F.col("clip_id").alias("pos"), line.alias("line")), 25.0)[1]
+
+
+NTH = "nt as (select cast(take_id as varchar) as file, seg, row_number() over (partition by take_id order by seg) as n from b_segments)"
+
+
+@query("srt_bad_rows", oracle("b_segments", NTH + "\nselect file, n as pos, case when seg % 7 = 3 then 'expected a time line' else 'end time precedes start time' end as message from nt where seg % 7 in (3, 5)"))
+def srt_bad_rows(t):
+    s, k = tidy_segments(t), F.col("seg") % 7
+    clock = F.when(k == 3, "no clock").when(k == 5, "00:00:09,000 --> 00:00:01,000").otherwise("00:00:01,000 --> 00:00:09,000")
+    s = s.withColumn("line", F.concat(F.col("seg").cast("string"), F.lit("\n"), clock, F.lit("\nsaid\n")))
+    return transcripts.parse_srt(as_files(s, ["take_id"], ["seg"], "line", "\n"))[1]
+
+
+@query("whisper_bad_rows", oracle("b_segments", NTH + "\nselect file, n - 1 as pos, 'segment lacks start, end or text' as message from nt where seg % 4 = 1"))
+def whisper_bad_rows(t):
+    row = F.struct(F.col("seg").alias("id"), F.col("start_s").alias("start"), F.when(F.col("seg") % 4 != 1, F.col("end_s")).alias("end"), "text")
+    files = as_files(tidy_segments(t).withColumn("json", F.to_json(row)), ["take_id"], ["seg"], "json", ",", '{"language": "de", "segments": [', "]}")
+    return transcripts.parse_whisper(files)[1]
+
+
+@query("papercut_bad_rows", oracle("b_segments", NTH + "\nselect file, n as pos, 'entry has a malformed or missing timestamp' as message from nt where seg % 5 = 2"))
+def papercut_bad_rows(t):
+    span = F.when(F.col("seg") % 5 == 2, "[00:xx]").otherwise("[00:00:01.000 --> 00:00:02.000]")
+    lines = tidy_segments(t).withColumn("line", F.concat(F.lit("- [x] "), span, F.lit(" A: said")))
+    lines = scan(lines, ["take_id"], ["seg"], F.floor(F.col("seg") / 4096), pos=row_index())
+    return transcripts.parse_papercut(settle(lines.select(F.col("take_id").cast("string").alias("file"), "pos", "line")))[1]
+
+
 SPOKEN = "ln as (select conv_id, turn, upper(role) as role, " + NORM.format(c="text") + " as norm from conversations)"
 
 
@@ -117,14 +154,28 @@ def _script(t):
 select cast(plan_id as varchar) as plan_id, slot, clip_path, source_start, source_end, record_start, record_end, round(score, 6) as score, transition, peak_source, shot_size, false as pinned, 0e0 as audio_lead from b_entries where plan_id % 9 > 0
 """))
 def plan_ingest(t):
+    out = plan_documents(t)["entries"]
+    return rounded(out.select("plan_id", "slot", "clip_path", "source_start", "source_end", "record_start", "record_end", "score", "transition", "peak_source", "shot_size", "pinned", "audio_lead"))
+
+
+def plan_documents(t):
     e = t.entries
     row = F.struct("clip_path", "source_start", "source_end", "record_start", "record_end", "score", "transition", "peak_source", "shot_size")
     # Every ninth plan is malformed: one of its entries has a field no plan knows.
     odd = F.struct("clip_path", "source_start", "source_end", "record_start", "record_end", "score", F.lit(1).alias("surprise"))
     e = e.withColumn("json", F.when(F.col("plan_id") % 9 > 0, F.to_json(row)).otherwise(F.to_json(odd)))
     files = as_files(e, ["plan_id"], ["slot"], "json", ",", '{"version": 1, "music_path": "a.wav", "duration": 30.5, "entries": [', '], "dips": [[1.0, 0.4]]}')
-    out = stores.parse_plans(files)["entries"]
-    return rounded(out.select("plan_id", "slot", "clip_path", "source_start", "source_end", "record_start", "record_end", "score", "transition", "peak_source", "shot_size", "pinned", "audio_lead"))
+    return stores.parse_plans(files)
+
+
+@query("plan_dips", oracle("b_entries", "select distinct cast(plan_id as varchar) as plan_id, 1e0 as dip_start, 4e-1 as dip_len from b_entries where plan_id % 9 > 0"))
+def plan_dips(t):
+    return plan_documents(t)["dips"]
+
+
+@query("plan_bad_rows", oracle("b_entries", "select distinct cast(plan_id as varchar) as file, cast(0 as bigint) as pos, 'malformed entry' as message from b_entries where plan_id % 9 = 0"))
+def plan_bad_rows(t):
+    return plan_documents(t)["bad_rows"]
 
 
 @query("report_ingest", oracle("b_moments", """
