@@ -579,7 +579,7 @@ def label_tags(entries: DataFrame, k: int = 12) -> DataFrame:
 
 
 def derive_cues(plans: DataFrame, phases: DataFrame, drops: DataFrame, dips: DataFrame, entries: DataFrame) -> DataFrame:
-    """Sound cues of a cut: opening bed, risers into act changes, hits, sub-drops, whooshes on the fastest cuts.
+    """Sound cues of a cut: opening bed, risers into act changes, hits, sub-drops, whooshes on the fastest cuts; ``note`` is a code.
 
     ``plans`` (duration, music_in), ``phases`` (i, span_start, span_end, label), ``drops`` (t) are forced cuts.
     """
@@ -592,17 +592,17 @@ def derive_cues(plans: DataFrame, phases: DataFrame, drops: DataFrame, dips: Dat
     ).where(F.col("length") > EPS)
     inner = (F.col("t") > EPS) & (F.col("t") < F.col("duration") - EPS)
     climax = base.where(F.col("label") == "climax").groupBy(PLAN).agg(F.min(F.struct("i", F.col("span_start").alias("t"), "duration")).alias("c")).select(PLAN, "c.t", "c.duration").where(inner)
-    hits = climax.select(PLAN, "t", "duration", F.lit("climax start").alias("note")).unionByName(
-        drops.select(PLAN, "t").join(live.select(PLAN, "duration"), PLAN).select(PLAN, "t", "duration", F.lit("cut on the drop").alias("note"))
+    hits = climax.select(PLAN, "t", "duration", F.lit("climax").alias("note")).unionByName(
+        drops.select(PLAN, "t").join(live.select(PLAN, "duration"), PLAN).select(PLAN, "t", "duration", F.lit("drop").alias("note"))
     )
     hits = hits.select(PLAN, F.col("t").alias("time"), F.least(F.lit(IMPACT_SECONDS), F.col("duration") - F.col("t")).alias("length"), F.lit("impact").alias("kind"), "note")
-    booms = dips.join(live.select(PLAN), PLAN).select(PLAN, F.col("dip_start").alias("time"), F.col("dip_len").alias("length"), F.lit("sub-drop").alias("kind"), F.lit("title slot").alias("note"))
+    booms = dips.join(live.select(PLAN), PLAN).select(PLAN, F.col("dip_start").alias("time"), F.col("dip_len").alias("length"), F.lit("sub-drop").alias("kind"), F.lit("title").alias("note"))
     essential = settle(first.unionByName(hits).unionByName(booms))
     nxt = scan(base, [PLAN], ["i"], F.lit(0), __n=following("label"))
     length = F.least(F.lit(RISER_MAX), (F.col("span_end") - F.col("span_start")) / 2)
     risers = nxt.where(
         F.col("__n").isNotNull() & (F.col("__n") != F.col("label")) & (F.col("span_end") > EPS) & (F.col("span_end") < F.col("duration") - EPS) & (length > EPS)
-    ).select(PLAN, (F.col("span_end") - length).alias("time"), length.alias("length"), F.lit("riser").alias("kind"), F.concat("label", F.lit(" -> "), "__n").alias("note"), (F.col("__n") != "climax").alias("__late"))
+    ).select(PLAN, (F.col("span_end") - length).alias("time"), length.alias("length"), F.lit("riser").alias("kind"), F.concat("label", F.lit(">"), "__n").alias("note"), (F.col("__n") != "climax").alias("__late"))
     room = live.join(essential.groupBy(PLAN).agg(F.count("*").alias("__e")), PLAN, "left").select(
         PLAN, (F.greatest(F.lit(1), F.ceil(F.col("duration") / CUE_SECONDS)) - F.coalesce("__e", F.lit(0))).alias("room")
     )
@@ -630,7 +630,7 @@ def derive_cues(plans: DataFrame, phases: DataFrame, drops: DataFrame, dips: Dat
 
     lists = free.groupBy(PLAN).agg(F.array_sort(F.collect_list(F.struct((F.col("record_end") - F.col("record_start")).alias("len"), F.col("record_start").alias("t")))).alias("l"))
     chosen = lists.join(left, PLAN).select(PLAN, F.explode(F.aggregate(F.col("l").cast(item), F.array().cast(item), step)).alias("w"))
-    whooshes = chosen.select(PLAN, F.greatest(F.lit(0.0), F.col("w.t") - WHOOSH_SECONDS / 2).alias("time"), F.lit(WHOOSH_SECONDS).alias("length"), F.lit("whoosh").alias("kind"), F.lit("fast cut").alias("note"))
+    whooshes = chosen.select(PLAN, F.greatest(F.lit(0.0), F.col("w.t") - WHOOSH_SECONDS / 2).alias("time"), F.lit(WHOOSH_SECONDS).alias("length"), F.lit("whoosh").alias("kind"), F.lit("fast_cut").alias("note"))
     cues = settle(placed.unionByName(whooshes))
     entry = live.where(F.col("music_in") > EPS).select(PLAN, "music_in")
     off = F.abs(F.col("time") + F.col("length") - F.col("music_in"))
@@ -643,11 +643,11 @@ def derive_cues(plans: DataFrame, phases: DataFrame, drops: DataFrame, dips: Dat
     retimed = retimed.select(
         PLAN, F.when(F.col("__to").isNotNull(), shifted).otherwise(F.col("time")).alias("time"),
         F.when(F.col("__to").isNotNull(), F.col("__to") - shifted).otherwise(F.col("length")).alias("length"), "kind",
-        F.when(F.col("__to").isNotNull(), F.concat("note", F.lit(" — into the music entry"))).otherwise(F.col("note")).alias("note"),
+        F.when(F.col("__to").isNotNull(), F.concat("note", F.lit("+music_entry"))).otherwise(F.col("note")).alias("note"),
     )
     lead = F.least(F.lit(RISER_MAX), F.col("music_in"))
     fresh = entry.join(moved.select(PLAN), PLAN, "left_anti").where(lead > EPS).select(
-        PLAN, (F.col("music_in") - lead).alias("time"), lead.alias("length"), F.lit("riser").alias("kind"), F.lit("into the music entry").alias("note")
+        PLAN, (F.col("music_in") - lead).alias("time"), lead.alias("length"), F.lit("riser").alias("kind"), F.lit("music_entry").alias("note")
     )
     return retimed.unionByName(fresh)
 

@@ -373,7 +373,36 @@ def label_tags(t):
     return sc.label_tags(t.annotations.select(F.col("tag").alias("plan_id"), "label"))
 
 
-@query("sound_cues")
+CUES = PLAN_CTES + """,
+es as (
+  select plan_id, 0e0 as time, span_end - span_start as length, 'ambience' as kind, 'opening' as note from phases where i = 0 and span_end - span_start > 1e-6
+  union all select p.plan_id, span_start, least(1e0, duration - span_start), 'impact', 'climax' from phases h join plans p on p.plan_id = h.plan_id where label = 'climax' and span_start > 1e-6 and span_start < duration - 1e-6
+  union all select d.plan_id, t, least(1e0, duration - t), 'impact', 'drop' from drops d join plans p on p.plan_id = d.plan_id
+  union all select plan_id, dip_start, dip_len, 'sub-drop', 'title' from dips
+),
+ne as (select plan_id, count(*) as n from es group by plan_id),
+rm as (select p.plan_id, duration, music_in, greatest(1, ceil(duration / 35e-1)) - coalesce(n, 0) as room from plans p left join ne on ne.plan_id = p.plan_id),
+nx as (select *, lead(label) over (partition by plan_id order by i) as nl, least(2e0, (span_end - span_start) / 2) as length from phases),
+rs as (select n.plan_id, span_end - length as time, length, concat(label, '>', nl) as note, room, row_number() over (partition by n.plan_id order by case when nl = 'climax' then 0 else 1 end, span_end - length) as r
+  from nx n join rm on rm.plan_id = n.plan_id where nl is not null and nl <> label and span_end > 1e-6 and span_end < duration - 1e-6 and length > 1e-6),
+pc as (select * from es union all select plan_id, time, length, 'riser', note from rs where r <= room),
+lf as (select rm.plan_id, duration, least(room - (select count(*) from rs where rs.plan_id = rm.plan_id and r <= room), 6) as room from rm),
+fr as (select e.plan_id, e.record_end - e.record_start as len, e.record_start as t, room from b_entries e join lf on lf.plan_id = e.plan_id where e.record_start > 1e-6 and e.record_start < duration - 1e-6
+  and not exists (select 1 from pc where pc.plan_id = e.plan_id and e.record_start > pc.time - (1 - 1e-6) and e.record_start < pc.time + pc.length + (1 - 1e-6))),
+ls as (select plan_id, room, list({'len': len, 't': t} order by len, t) as l from fr group by plan_id, room),
+wl as (select plan_id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: case when len(acc) < room and len(list_filter(acc, lambda o: y[1].t > greatest(0, o.t - 3e-1) - (1 - 1e-6) and y[1].t < greatest(0, o.t - 3e-1) + 6e-1 + (1 - 1e-6))) = 0
+  then list_concat(acc, y) else acc end, cast([] as struct(len double, t double)[])) as w from ls),
+cu as (select * from pc union all select plan_id, greatest(0e0, x.t - 3e-1), 6e-1, 'whoosh', 'fast_cut' from (select plan_id, unnest(w) as x from wl) z),
+nr as (select c.plan_id, music_in, min({'d': round(abs(time + length - music_in), 9), 't': time, 'l': length}) as m from cu c join plans p on p.plan_id = c.plan_id where kind = 'riser' and music_in > 1e-6 group by c.plan_id, music_in),
+mv as (select plan_id, m.t as t, music_in as "to" from nr where m.d <= 1 + 1e-6)
+"""
+
+
+@query("sound_cues", oracle("b_entries", CUES + """
+select c.plan_id, round(case when "to" is not null then greatest(0e0, "to" - length) else time end, 6) as time, round(case when "to" is not null then "to" - greatest(0e0, "to" - length) else length end, 6) as length, kind,
+  case when "to" is not null then concat(note, '+music_entry') else note end as note from cu c left join mv on mv.plan_id = c.plan_id and mv.t = c.time and c.kind = 'riser'
+union all select plan_id, round(music_in - least(2e0, music_in), 6), round(least(2e0, music_in), 6), 'riser', 'music_entry' from plans where music_in > 1e-6 and plan_id not in (select plan_id from mv)
+"""))
 def sound_cues(t):
     p = P(t)
     return rounded(sc.derive_cues(p.plans, p.phases, p.drops, p.dips, p.entries))
