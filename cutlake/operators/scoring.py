@@ -376,20 +376,20 @@ def match_versions(old: DataFrame, new: DataFrame, pair: str = "pair_id") -> Dat
     return walked.select(pair, F.col("p.new_slot").alias("new_slot"), F.col("p.old_slot").alias("old_slot"))
 
 
-def mmss(seconds: Column) -> Column:
-    s = F.bround(F.greatest(F.lit(0.0), seconds)).cast("bigint")
-    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
-
-
 def diff_plans(old: DataFrame, new: DataFrame, plans: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Change list from old to new entries with the value that changed before (``was``) and after (``now``); ``plans`` has (pair, old_duration, new_duration, old_tempo, new_tempo)."""
     pairs = settle(match_versions(old, new, pair))
     name = basename(F.regexp_replace("clip_path", r"\\", "/"))
     at = F.col("record_start")
 
-    def row(kind: str, rank: int, df: DataFrame, was: Column | None = None, now: Column | None = None, clip: Column = name, when: Column = at, slot: Column = F.col("slot")) -> DataFrame:
+    def change(kind: str, rank: int, was: Column | None = None, now: Column | None = None) -> Column:
         value = lambda c: (F.lit(None) if c is None else c).cast("double")
-        return df.select(pair, F.lit(kind).alias("kind"), when.alias("at"), clip.alias("clip"), value(was).alias("was"), value(now).alias("now"), F.lit(rank).alias("__rank"), slot.alias("__slot"))
+        return F.struct(F.lit(kind).alias("kind"), value(was).alias("was"), value(now).alias("now"), F.lit(rank).alias("__rank"))
+
+    def rows(df: DataFrame, changes: list[Column], clip: Column = name, when: Column = at, slot: Column = F.col("slot")) -> DataFrame:
+        """All changes of a row at once: the table is read once, whatever can have changed."""
+        out = df.select(pair, when.alias("at"), clip.alias("clip"), slot.alias("__slot"), F.explode(F.array_compact(F.array(*changes))).alias("c"))
+        return out.select(pair, "c.kind", "at", "clip", "c.was", "c.now", "c.__rank", "__slot")
 
     added = new.join(pairs.select(pair, F.col("new_slot").alias("slot")), [pair, "slot"], "left_anti")
     removed = old.join(pairs.select(pair, F.col("old_slot").alias("slot")), [pair, "slot"], "left_anti")
@@ -401,14 +401,18 @@ def diff_plans(old: DataFrame, new: DataFrame, plans: DataFrame, pair: str = "pa
     dissolve, was_dissolve = F.col("transition") > CHANGE_EPS, F.col("o_transition") > CHANGE_EPS
     length, was_length = F.col("record_end") - F.col("record_start"), F.col("o_record_end") - F.col("o_record_start")
     whole = plans.withColumn("__d", F.col("new_duration") - F.col("old_duration")).withColumn("__t", F.col("new_tempo") - F.col("old_tempo"))
-    plan_row = {"clip": F.lit(""), "when": F.lit(0.0), "slot": F.lit(0).cast("bigint")}
+    tempos = (F.col("old_tempo") != 0) & (F.col("new_tempo") != 0) & (F.abs("__t") > TEMPO_CHANGE)
     parts = [
-        row("added", 0, added), row("removed", 1, removed),
-        row("trimmed", 2, kept.where(trimmed), F.col("o_source_start"), F.col("source_start")),
-        row("retimed", 2, kept.where(~trimmed & (F.abs(longer) > CHANGE_EPS)), was_length, length),
-        row("transition", 3, kept.where(dissolve != was_dissolve), F.col("o_transition"), F.col("transition")),
-        row("length", 4, whole.where(F.abs("__d") > LENGTH_CHANGE), F.col("old_duration"), F.col("new_duration"), **plan_row),
-        row("tempo", 5, whole.where((F.col("old_tempo") != 0) & (F.col("new_tempo") != 0) & (F.abs("__t") > TEMPO_CHANGE)), F.col("old_tempo"), F.col("new_tempo"), **plan_row),
+        rows(added, [change("added", 0)]), rows(removed, [change("removed", 1)]),
+        rows(kept, [
+            F.when(trimmed, change("trimmed", 2, F.col("o_source_start"), F.col("source_start"))),
+            F.when(~trimmed & (F.abs(longer) > CHANGE_EPS), change("retimed", 2, was_length, length)),
+            F.when(dissolve != was_dissolve, change("transition", 3, F.col("o_transition"), F.col("transition"))),
+        ]),
+        rows(whole, [
+            F.when(F.abs("__d") > LENGTH_CHANGE, change("length", 4, F.col("old_duration"), F.col("new_duration"))),
+            F.when(tempos, change("tempo", 5, F.col("old_tempo"), F.col("new_tempo"))),
+        ], F.lit(""), F.lit(0.0), F.lit(0).cast("bigint")),
     ]
     out = parts[0]
     for part in parts[1:]:
