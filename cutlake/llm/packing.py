@@ -7,10 +7,13 @@ out per row are its ids, the cumulative lengths of its segments and positions th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +74,36 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
+# Fixed value: how byte-pair vocabularies of this kind cut a text before merging.
+PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@lru_cache(maxsize=2)
+def _byte_pairs(ranks: str) -> tiktoken.Encoding:
+    with open(ranks, "rb") as lines:
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("takes", pat_str=PRE_SPLIT, mergeable_ranks=merges, special_tokens={})
+
+
+def byte_pair_ids(ranks: str) -> Callable[[], Callable[[list[str]], list]]:
+    """Makes, in a task, the byte-pair encoding of texts; ``ranks``: a file of tokens and ranks that every executor can read."""
+
+    def start():
+        encoding = _byte_pairs(ranks)
+        return lambda texts: map(encoding.encode_ordinary, texts)
+
+    return start
+
+
 PACKED = "row_no bigint, token_ids array<int>, cu_lens array<int>, positions array<int>, take_ids array<bigint>, starts array<bigint>"
 
 
-def pack_takes(tokens: DataFrame, length: int = 2048) -> DataFrame:
+def pack_takes(tokens: DataFrame, length: int = 2048, ids_of: Callable[[], Callable[[list[str]], list]] | None = None) -> DataFrame:
     """Packed rows of the ``token_ids`` (array<int>) of every take.
 
+    With ``ids_of`` the takes have ``text`` instead: it makes, once per task, a function from texts to their ids, so that ids
+    are packed in the task that makes them and never travel. Null texts have no ids.
+
     Returns ``row_no``; ``token_ids`` with at most ``length`` ids, not padded; ``cu_lens``, the cumulative segment lengths from
     0; ``positions``, 0, 1, … anew in each segment; ``take_ids`` and ``starts``, each segment's take and its first
     token's place there, by which :func:`unpacked` gives every take back. ``tokens``: take_id, token_ids; extra columns
@@ -95,12 +122,14 @@ def pack_takes(tokens: DataFrame, length: int = 2048) -> DataFrame:
         ids: list[int | None] = []
         arrays: list[np.ndarray] = []
         held = 0
+        encode = ids_of() if ids_of else None
         for batch in batches:
-            for take_id, token_ids in zip(batch["take_id"], batch["token_ids"]):
+            tokens_of = batch["token_ids"] if encode is None else encode([t or "" for t in batch["text"]])
+            for take_id, token_ids in zip(batch["take_id"], tokens_of):
                 if token_ids is None or len(token_ids) == 0:
                     continue
                 ids.append(None if pd.isna(take_id) else int(take_id))
-                arrays.append(np.asarray(token_ids, np.int32))
+                arrays.append(np.array(token_ids, np.int32))
                 held += len(arrays[-1])
                 if held >= SHARD_TOKENS:
                     yield from rows_of(ids, arrays, number)
@@ -116,20 +145,23 @@ def pack_takes(tokens: DataFrame, length: int = 2048) -> DataFrame:
                 piece_of.append(k)
                 start_of.append(start)
                 sizes.append(min(length, len(array) - start))
-        sizes = np.array(sizes)
+        sizes, steps = np.array(sizes), np.arange(length)
         rows = best_fit(sizes, length)
         for at in range(0, len(rows), 512):
             out = []
             for k, row in enumerate(rows[at : at + 512], at):
                 parts = [arrays[piece_of[p]][start_of[p] : start_of[p] + sizes[p]] for p in row]
-                out.append({
-                    "row_no": number + k, "token_ids": np.concatenate(parts), "cu_lens": np.concatenate([[0], np.cumsum(sizes[row])]).astype(np.int32),
-                    "positions": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes[row]]),
-                    "take_ids": [ids[piece_of[p]] for p in row], "starts": [start_of[p] for p in row],
-                })
-            yield pd.DataFrame(out)
-
-    return small_batches(tokens).select(F.col("take_id").cast("bigint").alias("take_id"), "token_ids").mapInPandas(pack, PACKED)
+                lens = sizes[row]
+                ends = np.cumsum(lens)
+                # Positions run on from 0 and fall back by what lies before each segment.
+                positions = steps[: ends[-1]] - np.repeat(ends - lens, lens) if len(row) > 1 else steps[: ends[-1]]
+                out.append((
+                    number + k, parts[0] if len(row) == 1 else np.concatenate(parts), np.concatenate([[0], ends]).astype(np.int32), positions.astype(np.int32),
+                    [ids[piece_of[p]] for p in row], [start_of[p] for p in row],
+                ))
+            yield pd.DataFrame(out, columns=["row_no", "token_ids", "cu_lens", "positions", "take_ids", "starts"])
+
+    return small_batches(tokens).select(F.col("take_id").cast("bigint").alias("take_id"), "text" if ids_of else "token_ids").mapInPandas(pack, PACKED)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:

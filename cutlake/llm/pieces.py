@@ -214,19 +214,6 @@ def encode_takes(takes: DataFrame, model: str) -> DataFrame:
     return out.withColumn("n_pieces", F.size("piece_ids").cast("bigint"))
 
 
-def plain_ids(takes: DataFrame, model: str) -> DataFrame:
-    """As :func:`encode_takes`, by the model's own library: a quick source of ids for other operators."""
-    rest = others(takes, ["text"], ["piece_ids"])
-
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = sentencepiece.SentencePieceProcessor(model_file=model)
-        for texts in batches:
-            yield pd.Series(pieces.encode([t or "" for t in texts], num_threads=1), dtype=object)
-
-    return small_batches(takes).select("text", *rest, encoded("text").alias("piece_ids"))
-
-
 def decode_takes(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` (piece_ids and any further columns) with ``decoded``, the text behind the pieces; null ids give ''.
 

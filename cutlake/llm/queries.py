@@ -11,6 +11,7 @@ from cutlake.llm import host_rules, html_text, licences, mixing, near_takes, pac
 
 #: Tokenizer files are a parameter of the cluster; this is where the test box has them.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_PAIRS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -130,8 +131,8 @@ def op6(spark, path):
 
 @query("op7_packed_tokens")
 def op7(spark, path):
-    coded = pieces.plain_ids(takes_of(spark, path).select("take_id", "text"), PIECE_MODEL)
-    return packing.pack_takes(coded.select("take_id", F.col("piece_ids").alias("token_ids"))).withColumnRenamed("take_ids", "doc_ids")
+    packed = packing.pack_takes(takes_of(spark, path).select("take_id", "text"), ids_of=packing.byte_pair_ids(BYTE_PAIRS))
+    return packed.withColumnRenamed("take_ids", "doc_ids")
 
 
 SEARCH_SQL = """

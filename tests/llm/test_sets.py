@@ -258,8 +258,18 @@ def test_encoded_takes_come_back(spark):
     out = pieces.decode_takes(pieces.encode_takes(takes, MODEL), MODEL)
     assert all(r.decoded == (r.text or "") and r.n_pieces == len(r.piece_ids) for r in out.collect())
     assert out.count() == len(rows) and pieces.encode_takes(takes.limit(0), MODEL).count() == 0
-    plain = pieces.plain_ids(takes.select("take_id", "text"), MODEL).collect()
-    assert sorted(map(str, (r.piece_ids for r in plain))) == sorted(map(str, (r.piece_ids for r in out.collect())))
+
+
+def test_texts_are_packed_as_their_ids(spark):
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    takes = spark.createDataFrame([(1, "Two words and lines \U0001f642"), (2, ""), (3, None), (None, "<|endoftext|>"), (4, "word " * 30)], "take_id bigint, text string")
+    packed = packing.pack_takes(takes, 8, packing.byte_pair_ids(ranks))
+    back = {}
+    for r in sorted(packing.unpacked(packed).collect(), key=lambda r: r.start):
+        back.setdefault(r.take_id, []).extend(r.token_ids)
+    encoding = packing._byte_pairs(ranks)
+    assert {i: encoding.decode(t) for i, t in back.items()} == {r.take_id: r.text for r in takes.collect() if r.text}
+    assert all(r.positions == [p for n in np.diff(r.cu_lens) for p in range(n)] for r in packed.collect())
 
 
 # ---------------------------------------------------------------- pipeline
