@@ -331,7 +331,30 @@ def distilled_material(t):
     return rounded(iv.distill(c, label="shot_label"))
 
 
-@query("arc_phases")
+ARC = PLAN_CTES + """,
+ar as (select * from (values ('short', 0, 8e-2, 'hook'), ('short', 1, 72e-2, 'punch'), ('short', 2, 2e-1, 'loop'),
+  ('travel', 0, 15e-2, 'opening'), ('travel', 1, 35e-2, 'build'), ('travel', 2, 35e-2, 'climax'), ('travel', 3, 15e-2, 'outro'),
+  ('trailer', 0, 2e-1, 'opening'), ('trailer', 1, 25e-2, 'build'), ('trailer', 2, 25e-2, 'build'), ('trailer', 3, 2e-1, 'climax'), ('trailer', 4, 1e-1, 'outro')) v(style, i, share, label)),
+an as (select style, count(*) as n, sum(share) as total, coalesce(min(i) filter (where label = 'climax'), -1) as ci from ar group by style),
+bd as (select d.plan_id, min({'w': -round(weight, 9), 't': t}).t as dr from drops d join plans p on p.plan_id = d.plan_id where t >= 5e-2 * duration and t <= (1 - 5e-2) * duration group by d.plan_id),
+b0 as (select p.plan_id, p.style, duration as length, n, ci, r.i, dr, case when r.i = n then duration else duration * coalesce((select sum(share) from ar where ar.style = p.style and ar.i < r.i), 0) / total end as b
+  from plans p join an on an.style = p.style join range(0, 6) r(i) on r.i <= n left join bd on bd.plan_id = p.plan_id),
+p1 as (select b0.*, og, coalesce(dr is not null and ci > 0 and og > 1e-6 and og < length - 1e-6, false) as pin from b0 left join (select plan_id, b as og from b0 where i = ci) o on o.plan_id = b0.plan_id),
+b1 as (select *, case when not pin or i = 0 or i = n then b when i < ci then b * dr / og when i = ci then dr else length - (length - b) * (length - dr) / (length - og) end as b1 from p1),
+i2 as (select *, hi - b1 as ln, 5e-2 * length as fl from (select *, lead(b1) over (partition by plan_id order by i) as hi, case when i < ci then 0 else 1 end as side from b1) z where hi is not null and pin),
+sd as (select plan_id, side, count(*) as m, max_by(hi, i) - min_by(b1, i) as span, sum(greatest(ln, fl) - fl) as spare, bool_or(ln < fl - 1e-6) as tight, min_by(b1, i) as base, max(fl) as f from i2 group by plan_id, side),
+s2 as (select *, case when spare > 1e-6 then (span - m * f) / spare else 0 end as scale from sd where m >= 2 and span >= m * f - 1e-6 and tight),
+f1 as (select i2.plan_id, i2.i, base + coalesce(sum(fl + (greatest(ln, fl) - fl) * scale) over (partition by i2.plan_id, i2.side order by i2.i rows between unbounded preceding and 1 preceding), 0) as nb,
+  row_number() over (partition by i2.plan_id, i2.side order by i2.i) as q from i2 join s2 on s2.plan_id = i2.plan_id and s2.side = i2.side),
+b2 as (select b1.*, coalesce(nb, b1.b1) as b2 from b1 left join f1 on f1.plan_id = b1.plan_id and f1.i = b1.i and q > 1),
+pt as (select d.plan_id, t from downbeats d join plans p on p.plan_id = d.plan_id where t > 1e-6 and t < duration - 1e-6),
+sn as (select b2.plan_id, i, min({'d': abs(t - b2), 't': t}).t as s from b2 join pt on pt.plan_id = b2.plan_id where i > 0 and i < n and not (pin and i = ci) group by b2.plan_id, i),
+b3 as (select b2.*, least(max(coalesce(s, b2)) over (partition by b2.plan_id order by b2.i rows between unbounded preceding and current row), length) as b3 from b2 left join sn on sn.plan_id = b2.plan_id and sn.i = b2.i),
+b4 as (select *, lead(b3) over (partition by plan_id order by i) as nx from b3)
+"""
+
+
+@query("arc_phases", oracle("b_entries", ARC + "select plan_id, cast(b4.i as bigint) as phase_no, label, round(b3, 6) as span_start, round(nx, 6) as span_end from b4 join ar on ar.style = b4.style and ar.i = b4.i"))
 def arc_phases(t):
     p = P(t)
     grid = p.downbeats.select("plan_id", F.lit("downbeat").alias("kind"), "t")
