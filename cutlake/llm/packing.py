@@ -95,7 +95,7 @@ def byte_pair_ids(ranks: str) -> Callable[[], Callable[[list[str]], list]]:
     return start
 
 
-PACKED = "row_no bigint, token_ids array<int>, cu_lens array<int>, positions array<int>, take_ids array<bigint>, starts array<bigint>"
+PACKED = "row_no bigint, token_ids array<int>, cu_lens array<int>, positions binary, take_ids array<bigint>, starts array<bigint>"
 
 
 def pack_takes(tokens: DataFrame, length: int = 2048, ids_of: Callable[[], Callable[[list[str]], list]] | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def pack_takes(tokens: DataFrame, length: int = 2048, ids_of: Callable[[], Calla
     are packed in the task that makes them and never travel. Null texts have no ids.
 
     Returns ``row_no``; ``token_ids`` with at most ``length`` ids, not padded; ``cu_lens``, the cumulative segment lengths from
-    0; ``positions``, 0, 1, … anew in each segment; ``take_ids`` and ``starts``, each segment's take and its first
+    0; ``positions``, as little-endian int32 bytes, 0, 1, … anew in each segment; ``take_ids`` and ``starts``, each segment's take and its first
     token's place there, by which :func:`unpacked` gives every take back. ``tokens``: take_id, token_ids; extra columns
     are ignored. Takes with null or no ids need no room and are in no row; null ids inside an array are an error. Null
     take_ids are packed as they are. Repeated rows are packed each. Rows keep the tokens of one partition together, so nothing
@@ -156,7 +156,7 @@ def pack_takes(tokens: DataFrame, length: int = 2048, ids_of: Callable[[], Calla
                 # Positions run on from 0 and fall back by what lies before each segment.
                 positions = steps[: ends[-1]] - np.repeat(ends - lens, lens) if len(row) > 1 else steps[: ends[-1]]
                 out.append((
-                    number + k, parts[0] if len(row) == 1 else np.concatenate(parts), np.concatenate([[0], ends]).astype(np.int32), positions.astype(np.int32),
+                    number + k, parts[0] if len(row) == 1 else np.concatenate(parts), np.concatenate([[0], ends]).astype(np.int32), positions.astype("<i4").tobytes(),
                     [ids[piece_of[p]] for p in row], [start_of[p] for p in row],
                 ))
             yield pd.DataFrame(out, columns=["row_no", "token_ids", "cu_lens", "positions", "take_ids", "starts"])

@@ -193,7 +193,7 @@ def test_packed_rows_give_every_take_back(spark):
     for r in packed.collect():
         lens = np.diff(r.cu_lens)
         assert len(r.token_ids) == r.cu_lens[-1] <= 16 and r.cu_lens[0] == 0 and len(r.take_ids) == len(lens) and (lens > 0).all()
-        assert r.positions == [p for n in lens for p in range(n)]
+        assert np.frombuffer(r.positions, "<i4").tolist() == [p for n in lens for p in range(n)]
     assert packed.select("row_no").distinct().count() == packed.count()
     back = {}
     for r in sorted(packing.unpacked(packed).collect(), key=lambda r: r.start):
@@ -269,7 +269,7 @@ def test_texts_are_packed_as_their_ids(spark):
         back.setdefault(r.take_id, []).extend(r.token_ids)
     encoding = packing._byte_pairs(ranks)
     assert {i: encoding.decode(t) for i, t in back.items()} == {r.take_id: r.text for r in takes.collect() if r.text}
-    assert all(r.positions == [p for n in np.diff(r.cu_lens) for p in range(n)] for r in packed.collect())
+    assert all(np.frombuffer(r.positions, "<i4").tolist() == [p for n in np.diff(r.cu_lens) for p in range(n)] for r in packed.collect())
 
 
 # ---------------------------------------------------------------- pipeline
