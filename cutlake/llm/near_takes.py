@@ -274,8 +274,12 @@ def first_takes(takes: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFr
     rows = settle(small_batches(takes).select("take_id", "text", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
     first = F.struct(F.col("first_id"), F.col("value"))
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("value"))
-    kept = _grouped(rows, max_bits).groupBy("root").agg(F.min_by(first, order).alias("f")).select(F.col("f.first_id").alias("__id"), F.col("f.value").alias("__print"))
-    same = F.col("take_id").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__print"))
+    kept = _grouped(rows, max_bits).groupBy("root").agg(F.min_by(first, order).alias("f"))
+    # One key for ids and null alike: the join and the grouping after it share one shuffle of the texts.
+    key = lambda take_id: F.coalesce(F.concat(F.lit("="), F.col(take_id).cast("string")), F.lit("null")).alias("__key")
+    kept = kept.select(key("f.first_id"), F.col("f.value").alias("fingerprint"))
     row = F.struct("text", *rest)
-    one = rows.join(kept, same, "left_semi").groupBy("take_id", "fingerprint").agg(F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"))).alias("r"))
+    same = ["__key", "fingerprint"]
+    keyed = rows.select("*", key("take_id")).join(kept, same, "left_semi")
+    one = keyed.groupBy(*same).agg(F.first("take_id").alias("take_id"), F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"))).alias("r"))
     return one.select("take_id", "r.*")
