@@ -147,14 +147,20 @@ def bench(plans: DataFrame, entries: DataFrame, moments: DataFrame, k: int = 20,
     """The ``k`` strongest moments no entry of a plan draws from, for every plan.
 
     The order of the pool is the same for all plans: the ranks a plan uses are sorted, the first ``k`` ranks between
-    them are free.
+    them are free. A plan that uses at most u moments has its k free ones among the first u + k, so only used ranks up to
+    there are looked at; u is counted over the plan's ranges, each of which is matched with the pool once.
     """
+    span = ["clip_path", "source_start", "source_end"]
     ranked = settle(global_ranks(moments, _pool_order(), "pool_rank"))
-    mine = entries.join(plans, plan, "left_semi").select(plan, "clip_path", "source_start", "source_end")
+    mine = entries.join(plans, plan, "left_semi").select(plan, *span).distinct()
     hits = range_join(
-        mine, ranked.select("clip_path", "start_s", "end_s", "pool_rank"), ["clip_path"], ("source_start", "source_end"), ("start_s", "end_s"), BIN
+        entries.select(*span).distinct(), ranked.select("clip_path", "start_s", "end_s", "pool_rank"), ["clip_path"], ("source_start", "source_end"), ("start_s", "end_s"), BIN
     ).where(overlap(F.col("start_s"), F.col("end_s"), F.col("source_start"), F.col("source_end")) > EPS)
-    used = hits.select(plan, "pool_rank").distinct()
+    hits = settle(hits.select(*span, "pool_rank"))
+    counts = mine.join(hits.groupBy(*span).agg(F.count("*").alias("__c")), span)
+    most = counts.groupBy(plan).agg((F.sum("__c") + k).alias("__most"))
+    near = mine.join(most, plan).alias("m").join(hits.alias("h"), [F.col(f"m.{c}") == F.col(f"h.{c}") for c in span] + [F.col("h.pool_rank") <= F.col("m.__most")])
+    used = near.select(plan, "pool_rank").distinct()
     size = ranked.agg(F.count("*").alias("__all"))
     stops = used.unionByName(plans.join(F.broadcast(size)).select(plan, (F.col("__all") + 1).alias("pool_rank")))
     stops = scan(stops, [plan], ["pool_rank"], F.floor(F.col("pool_rank") / 4096), __i=row_index(), __back=previous("pool_rank"))
