@@ -160,6 +160,40 @@ def test_planted_passages_are_found(spark):
     assert windows.repeated_passages(spark.createDataFrame([], "take_id bigint, text string")).count() == 0
 
 
+def planted(rng, trials, make):
+    """``trials`` rows of two texts each around what ``make`` gives, and texts that hold only a part of it; ids of the pairs."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    text = lambda n: [word() for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(trials):
+        one, two, part, n = make(text, word)
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + k, " ".join(text(rng.randint(10, 60)) + own + text(rng.randint(10, 60)))) for k, own in enumerate([one, two] + [part] * n)]
+    return rows, pairs
+
+
+def linked(spark, rows):
+    out = windows.repeated_passages(spark.createDataFrame(rows, "take_id bigint, text string")).collect()
+    words = {i: t.split() for i, t in rows}
+    for r in out:  # whatever is reported stands
+        mine, its = words[r.take_id][r.first_word : r.first_word + r.n_words], words[r.with_take_id][r.with_first_word : r.with_first_word + r.with_n_words]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (mine, its))
+        assert len(a & b) / len(a | b) == pytest.approx(r.similarity) and r.similarity >= 0.8 and len(mine) >= 50 <= len(its) and len(mine) == r.n_words
+    return {(r.take_id, r.with_take_id) for r in out} | {(r.with_take_id, r.take_id) for r in out}
+
+
+def test_exact_passages_behind_frequent_lines_are_found(spark):
+    rng = random.Random(31)
+    for length in (15, 30):
+
+        def make(text, word):
+            passage, at = text(60), rng.randint(0, 60 - length)
+            return passage, passage, passage[at : at + length], 25
+
+        rows, pairs = planted(rng, 30, make)
+        assert set(pairs) <= linked(spark, rows)
+
+
 # ----------------------------------------------------------------- packing
 
 
