@@ -194,6 +194,19 @@ def test_exact_passages_behind_frequent_lines_are_found(spark):
         assert set(pairs) <= linked(spark, rows)
 
 
+@pytest.mark.parametrize("length, at", [(50, 25), (60, 20), (55, 27), (52, 3)])
+def test_near_passages_at_the_threshold_are_found(spark, length, at):
+    rng = random.Random(length)
+
+    def make(text, word):
+        passage = text(length)
+        return passage, passage[:at] + [word()] + passage[at + 1 :], [], 0
+
+    rows, pairs = planted(rng, 200, make)
+    found = linked(spark, rows)
+    assert sum(p in found for p in pairs) >= 196
+
+
 # ----------------------------------------------------------------- packing
 
 
