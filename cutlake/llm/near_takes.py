@@ -9,7 +9,7 @@ inside tasks. Copies share a fingerprint and are one leaf, so a group of copies
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, LongType, StructType
+
 from cutlake.functions.staging import settle
 from cutlake.llm.common import others, small_batches
+from cutlake.llm.windows import node_of, tokens_of, words_of
 
 #: Bits of the topmost block that a node pair must share; the tries start at these bits.
 TOP, STARTS = 21, (0, 22, 43)
@@ -240,10 +243,10 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("value"), F.col("b").alias("root")).unionByName(roots.select("value", F.col("value").alias("root")))
 
 
-def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:
+def _grouped(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Each distinct fingerprint (``value``) with the smallest take_id that has it and the ``root`` of its group."""
     nodes = settle(prints.groupBy(F.col("fingerprint").alias("value")).agg(F.min("take_id").alias("first_id")))
-    roots = connected(trie_links(nodes, max_bits))
+    roots = connected(links_of(nodes))
     return settle(nodes.join(roots, "value", "left").select("value", "first_id", F.coalesce("root", "value").alias("root")))
 
 
@@ -258,7 +261,7 @@ def near_takes(takes: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     made = ["fingerprint", "component_id"]
     rest = others(takes, ["take_id", "text"], made)
     rows = settle(small_batches(takes).select("take_id", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
-    grouped = _grouped(rows, max_bits)
+    grouped = _grouped(rows, lambda nodes: trie_links(nodes, max_bits))
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_value = grouped.join(firsts, "root").select(F.col("value").alias("fingerprint"), "component_id")
     return rows.join(of_value, "fingerprint").select("take_id", *rest, *made)
@@ -272,9 +275,13 @@ def first_takes(takes: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFr
     """
     rest = others(takes, ["take_id", "text"], ["fingerprint"])
     rows = settle(small_batches(takes).select("take_id", "text", *rest, _fingerprint(shingle)("text").alias("fingerprint")))
+    return _first_rows(rows, rest, _grouped(rows, lambda nodes: trie_links(nodes, max_bits)))
+
+
+def _first_rows(rows: DataFrame, rest: list[str], grouped: DataFrame) -> DataFrame:
     first = F.struct(F.col("first_id"), F.col("value"))
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("value"))
-    kept = _grouped(rows, max_bits).groupBy("root").agg(F.min_by(first, order).alias("f"))
+    kept = grouped.groupBy("root").agg(F.min_by(first, order).alias("f"))
     # One key for ids and null alike: the join and the grouping after it share one shuffle of the texts.
     key = lambda take_id: F.coalesce(F.concat(F.lit("="), F.col(take_id).cast("string")), F.lit("null")).alias("__key")
     kept = kept.select(key("f.first_id"), F.col("f.value").alias("fingerprint"))
@@ -283,3 +290,97 @@ def first_takes(takes: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFr
     keyed = rows.select("*", key("take_id")).join(kept, same, "left_semi")
     one = keyed.groupBy(*same).agg(F.first("take_id").alias("take_id"), F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"))).alias("r"))
     return one.select("take_id", "r.*")
+
+
+#: Min-hashes of one key, and keys of a text: two texts of Jaccard similarity 0.8 share a key with probability 0.9998.
+BAND, BANDS = 4, 16
+_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (BAND * BANDS, 1), dtype=np.uint64)
+SKETCH = StructType().add("fingerprint", LongType()).add("keys", ArrayType(LongType()))
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles, in order; of all words where there are fewer."""
+    words = words_of(text)
+    return np.unique(tokens_of(words, min(shingle, len(words)) or 1))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each ``BAND`` min-hashes of a set, none for an empty one."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        x = (shingles[None, at : at + 4096] ^ _SEEDS) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * (_SEEDS | np.uint64(1))
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND))], np.uint64).view(np.int64)
+
+
+def _sketch(shingle: int):
+    @F.pandas_udf(SKETCH)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [(node_of(words_of(t))[0], band_keys(shingles_of(t, shingle)).tolist()) for t in texts]
+            yield pd.DataFrame(rows, columns=["fingerprint", "keys"])
+
+    return of
+
+
+def _similar(shingle: int, similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, its = None, None
+        for batch in batches:
+            near = []
+            for b, text, other in batch[["b", "text", "other_text"]].itertuples(index=False):
+                if b != last:
+                    last, its = b, shingles_of(other, shingle)
+                mine = shingles_of(text, shingle)
+                both = len(np.intersect1d(mine, its, assume_unique=True))
+                near.append(both >= similarity * (len(mine) + len(its) - both))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "near": near})
+
+    return run
+
+
+def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) between fingerprints of texts whose shingle sets have at least this Jaccard similarity, each confirmed on the texts.
+
+    ``rows``: fingerprint (equal for texts equal word by word), keys, text. The texts of a key meet its first one; if some are not similar to it, all
+    texts of the key meet the first of those, then those of more and more parts of what is left (four times as many each round), until each
+    text is linked to one of its key or has met all the others.
+    """
+    members = rows.groupBy("fingerprint").agg(F.first("keys").alias("keys")).select(F.col("fingerprint").alias("a"), F.explode("keys").alias("key"))
+    members = settle(members)
+    shared = members.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
+    members = settle(members.join(shared, "key"))
+    wanted = members.select(F.col("a").alias("fingerprint")).distinct()
+    texts = settle(rows.select("fingerprint", "text").join(wanted, "fingerprint").groupBy(F.col("fingerprint").alias("a")).agg(F.first("text").alias("text")))
+    there = texts.select(F.col("a").alias("b"), F.col("text").alias("other_text"))
+    left, parts, known = members, 1, None
+    while True:
+        heads = left.groupBy("key", F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part")).agg(F.min("a").alias("b")).select("key", "b")
+        heads = settle(heads)
+        met = settle(members.join(heads, "key").where(F.col("a") != F.col("b")))
+        pairs = met.select("a", "b").distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        judged = settle(pairs.join(texts, "a").join(there, "b").select("a", "b", "text", "other_text").mapInPandas(_similar(shingle, similarity), "a bigint, b bigint, near boolean"))
+        known = judged if known is None else known.unionByName(judged)
+        settled = heads.select("key", F.col("b").alias("a")).unionByName(met.join(known.where("near"), ["a", "b"]).select("key", "a")).distinct()
+        left = settle(left.join(settled, ["key", "a"], "left_anti"))
+        if left.isEmpty():
+            return known.where("near").select("a", "b")
+        parts *= 4
+
+
+def first_similar_takes(takes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The takes without near duplicates: of each group the row with the smallest take_id, as :func:`first_takes`.
+
+    Takes are near if their sets of ``shingle``-word shingles (A-Z in lower case) have at least this Jaccard ``similarity``; groups are
+    connected over near takes. Null and empty texts are near each other.
+    """
+    rest = others(takes, ["take_id", "text"], ["fingerprint", "keys"])
+    rows = small_batches(takes).select("take_id", "text", *rest, _sketch(shingle)("text").alias("__s"))
+    rows = settle(rows.select("take_id", "text", *rest, "__s.fingerprint", "__s.keys"))
+    grouped = _grouped(rows, lambda nodes: similar_links(rows, shingle, similarity))
+    return _first_rows(rows.drop("keys"), rest, grouped)

@@ -126,6 +126,32 @@ def test_long_chains_are_one_group(spark):
     assert roots == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
+def test_near_duplicates_of_the_pipeline_are_those_of_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, sets = [], {}
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        for _ in range(6):  # from light edits to texts that are no near copies
+            text = list(base)
+            for _ in range(rng.randint(0, len(base) // 20)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text), "s"))
+    for i, t, _ in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            lo, hi = sorted((root[a], root[b]))
+            root = {i: lo if r == hi else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(root.values()))
+    assert 40 < len(set(root.values())) < len(rows) - 40
+
+
 # ------------------------------------------------------- repeated passages
 
 
