@@ -87,27 +87,30 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + "|[0-9])"
+#: A spelled digit or a group of figures; "oh" is a digit only after another one.
+_DIGIT = "(?:(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]++)(?![^\W_]))"
+_NEXT = rf"(?:{_DIGIT}|oh(?![^\W_]))"
 _DOT = r"(?:dot|point|punkt|punto)"
 
 ALIKE = re.compile("[" + "".join(map(re.escape, LOOK_ALIKES)) + "]")
-#: Seven or more digits, spelled at least in part, perhaps after a plus and with dots between; linear: every token is consumed once.
-DIGITS = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\s-]*)?{_DIGIT}(?:(?:[\s,-]+(?:{_DOT}[\s,-]+)?|\s*\.\s*){_DIGIT}){{6,}}+(?![^\W_])", re.I)
-TOKEN = re.compile(rf"{_DOT}|\.|plus|\+|{_DIGIT}", re.I)
+#: Four or more digits or groups, perhaps after a plus and with dots between; linear: every token is consumed once. How many digits it takes, the formats say.
+_RUN = rf"(?<![^\W_]){_DIGIT}(?:(?:[\s,-]+(?:{_DOT}[\s,-]+)?|\s*\.\s*){_NEXT}){{3,}}+"
+DIGITS = re.compile(rf"(?:(?<![^\W_])plus[\s-]*|\+[\s-]*)?{_RUN}", re.I)
+TOKEN = re.compile(rf"{_DOT}|\.|plus|\+|{_NEXT}", re.I)
 LETTERS = re.compile(r"[^\W\d_]{2}")
 #: Bracketed or encoded "at" and "dot"; the blanks around them belong to the disguise.
 AT = re.compile(r"[\x20\t]{0,3}(?:[\[({<][\x20\t]{0,3}(?:at|@|arroba)[\x20\t]{0,3}[\])}>]|&#64;|&#x40;|&commat;|%40)[\x20\t]{0,3}", re.I)
 DOT = re.compile(r"[\x20\t]{0,3}(?:[\[({<][\x20\t]{0,3}(?:dot|\.|point|punkt|punto)[\x20\t]{0,3}[\])}>]|&#46;|&#x2e;|&period;)[\x20\t]{0,3}", re.I)
 # Endings of addresses that are told apart from words of a sentence.
 ENDINGS = "com|org|net|edu|gov|info|biz|io|co|eu|uk|us|de|at|ch|fr|es|it|nl|be|pt|pl|se|dk|fi|ie|ca|au|nz|br|mx|ar|in|jp|cn|tv|me|dev|app"
+_WORD_DOT = r"(?:[\x20\t]{1,3}dot[\x20\t]{1,3}|\.)"
 #: Plain words, only in the whole shape of an address: name at host dot ending.
-WORDS = re.compile(rf"(?<=[A-Za-z0-9])[\x20\t]{{1,3}}at[\x20\t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}[A-Za-z0-9-]{{1,63}})*[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}(?:{ENDINGS})(?![A-Za-z0-9-]))", re.I)
+WORDS = re.compile(rf"(?<=[A-Za-z0-9])[\x20\t]{{1,3}}at[\x20\t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:{_WORD_DOT}[A-Za-z0-9-]{{1,63}})*{_WORD_DOT}(?:{ENDINGS})(?![A-Za-z0-9-]))", re.I)
 WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]{1,3}dot[\x20\t]{1,3}(?=[A-Za-z0-9])", re.I)
-#: A text without any of these is its own rewriting: a look-alike, a bracketed or encoded sign, "dot" as a word, or
-#: three spelled digits in a row.
-_WORDS3 = "(?:" + "|".join(SPELLED) + ")"
+#: A text without any of these is its own rewriting: a look-alike, a bracketed or encoded sign, "dot" as a word, "at" before a
+#: host with an ending, or four digits or groups in a row.
 TRIGGER = re.compile(
-    rf"[\[({{<][\x20\t]{{0,3}}(?:at|@|arroba|dot|point|punkt|punto|\.)[\x20\t]{{0,3}}[\])}}>]|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|[\x20\t]dot[\x20\t]|(?<![^\W_]){_WORDS3}(?:[\s,.-]+(?:{_DOT}[\s,-]+)?{_DIGIT}){{3}}(?![^\W_])|(?<![^\W_]){_DIGIT}(?:[\s,.-]+{_DIGIT}){{2}}[\s,.-]+{_WORDS3}(?![^\W_])",
+    rf"[\[({{<][\x20\t]{{0,3}}(?:at|@|arroba|dot|point|punkt|punto|\.)[\x20\t]{{0,3}}[\])}}>]|&#(?:64|46|x40|x2e);|&(?:commat|period);|%40|[\x20\t]dot[\x20\t]|[\x20\t]at[\x20\t]{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9]|{_RUN}",
     re.I,
 )
 
@@ -155,12 +158,15 @@ def digit_changes(text: str) -> list[tuple[int, int, str]]:
     for m in DIGITS.finditer(text):
         if not LETTERS.search(m[0]):
             continue  # written in figures: nothing is disguised
-        at = m.start()
+        at, before = m.start(), ""
         for token in TOKEN.finditer(text, m.start(), m.end()):
             low = token[0].lower()
-            new = SPELLED.get(low) or (low if low.isdigit() else "+" if low in ("plus", "+") else ".")
-            out.append((at, token.end(), new))  # with what stands between the tokens
-            at = token.end()
+            new = SPELLED.get(low) or (low if low.isdigit() else "0" if low == "oh" else "+" if low in ("plus", "+") else ".")
+            # Groups of figures stay apart from what is not joined to them by a dot.
+            apart = " " if before.isdigit() and new.isdigit() and max(len(before), len(new)) > 1 else ""
+            out.append((at, token.start(), apart))  # what stands between the tokens
+            out.append((token.start(), token.end(), new))
+            at, before = token.end(), new
     return out
 
 

@@ -108,6 +108,28 @@ def test_hidden_identifiers_are_found_at_their_source(text, kind, covered):
     assert not any(s == pii.find_spans(text)[1][kind][0] for s in plain[kind])
 
 
+@pytest.mark.parametrize(
+    "text, kind, covered",
+    [
+        ("host 192 dot 168 dot 0 dot 1 end", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 10 192 dot 168 dot oh dot 1 end", "ip", "192 dot 168 dot oh dot 1"),
+        ("host one dot two dot three dot four end", "ip", "one dot two dot three dot four"),
+        ("write to jane at example.com today", "email", "jane at example.com"),
+        ("write to jane at mail.example dot org today", "email", "jane at mail.example dot org"),
+        ("call plus one five five five eight six seven 5309 now", "phone", "plus one five five five eight six seven 5309"),
+        ("call plus one five oh five eight six seven 5309 now", "phone", "plus one five oh five eight six seven 5309"),
+    ],
+)
+def test_plain_disguises_are_found_by_themselves(text, kind, covered):
+    _, hidden = pii.find_spans(text)
+    assert [(k, text[s:e]) for k in pii.KINDS for s, e in hidden[k]] == [(kind, covered)]
+
+
+def test_sentences_with_figures_are_left_alone():
+    for text in ["one two three four five", "oh one day. 2 dot 5 points", "we looked at noon.Then left", "at 10.30 on 4 5 2020 dot", "oh oh oh oh oh dot oh"]:
+        assert not any(pii.find_spans(text)[1].values()), text
+
+
 def test_clean_text_has_no_hidden_identifiers():
     for text in ["look at the dot on the wall", "one two three", "we met at noon. dot com boom", "at 10.30 (at) home", "", "zero one two three four five six seven", "naïve – “quoted” text"]:
         assert not any(pii.find_spans(text)[1].values()), text
