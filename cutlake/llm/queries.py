@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, windows
+from cutlake.llm import divergence, host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, windows
 
 #: Tokenizer files are a parameter of the cluster; this is where the test box has them.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -162,6 +162,35 @@ def op10(spark, path):
     return back.select(F.col("take_id").alias("doc_id"), "n_pieces", "piece_ids", F.col("decoded").alias("text"))
 
 
+DIVERGENCE_SQL = """
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents),
+t as (select r, lang, source, unnest(ts) as term from d),
+k as (select lang, term from t group by lang, term having count(distinct r) >= 10),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from k group by lang),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by all),
+s as (select lang, source, v, coalesce(n, 0) as total from g left join v using (lang) left join (select lang, source, sum(n) as n from c group by all) using (lang, source)),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + cast(1000000000 * (coalesce(c.n, 0) + 2)::hugeint // (s.total + 2 * v)::hugeint as bigint) as p
+  from s join k using (lang) left join c using (lang, source, term)),
+q as (select lang, term, 1 + cast(1000000000 * (n + 2)::hugeint // (total + 2 * v)::hugeint as bigint) as q
+  from (select lang, term, sum(n) as n from c group by all) join (select lang, any_value(v) as v, sum(total) as total from s group by lang) using (lang)),
+f as (select p.lang, p.source, o.source as item, cast(sum((p.p - o.p) * (p.p - o.p) // (p.p + o.p)) as bigint) as value
+  from p join p o on p.lang = o.lang and p.term = o.term and p.source <> o.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from p join q using (lang, term) where n > 0 and p > q)
+select * from (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (from pairs union all from terms))
+where part = 'pair' or rank <= 10
+"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark, path):
+    takes = table(spark, path, "documents").select(F.col("source").alias("source_name"), F.col("lang").alias("language"), "text")
+    return divergence.source_divergence(takes).withColumnsRenamed({"language": "lang", "source_name": "source"})
+
+
 @query("pipeline")
 def pipeline(spark, path):
     import corpus_pipeline
