@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import divergence, host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, windows
+from cutlake.llm import byte_pairs, divergence, host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, windows
 
 #: Tokenizer files are a parameter of the cluster; this is where the test box has them.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -162,6 +162,15 @@ def op10(spark, path):
     return back.select(F.col("take_id").alias("doc_id"), "n_pieces", "piece_ids", F.col("decoded").alias("text"))
 
 
+@query("op12_byte_pairs")
+def op12(spark, path):
+    import public_tokenizers
+
+    coded = byte_pairs.encode_takes(takes_of(spark, path).select("take_id", "text"), BYTE_PAIRS, public_tokenizers.PATTERN)
+    back = byte_pairs.decode_takes(coded.select("take_id", "n_tokens", "packed_ids"), BYTE_PAIRS, public_tokenizers.PATTERN)
+    return back.select(F.col("take_id").alias("doc_id"), "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 DIVERGENCE_SQL = """
 with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts from documents),
