@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cutlake.llm.common import others, small_batches
 
@@ -209,7 +209,7 @@ def encode_takes(takes: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     rest = others(takes, ["text"], ["packed_ids", "n_tokens"])
     rows = small_batches(takes).select("text", *rest)
-    schema = rows.schema.add("packed_ids", BinaryType()).add("n_tokens", LongType())
+    schema = StructType([*rows.schema.fields, StructField("packed_ids", BinaryType()), StructField("n_tokens", LongType())])
     return rows.mapInPandas(_encoder(ranks_path, pattern), schema)
 
 
@@ -235,4 +235,4 @@ def decode_takes(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame
                 lo = hi
             yield batch.assign(decoded=decoded)
 
-    return rows.mapInPandas(run, rows.schema.add("decoded", BinaryType()))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
