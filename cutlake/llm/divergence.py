@@ -23,6 +23,8 @@ from cutlake.llm.common import SMALL_ROWS, attach, small_batches
 PRIOR, UNIT = 2, 1_000_000_000
 #: Terms a task holds before it passes its counts on, and pairs of sources it scores at once.
 HELD, PAIRS = 200_000, 1 << 20
+#: Rows of terms a task scores together, besides those of one term.
+ROWS, TERM = 200_000, ["lang_no", "digest", "variant"]
 #: Up to so many kept digests (16 bytes each) are broadcast to the counting tasks, beyond it they meet by shuffle.
 SMALL_DIGESTS = 2_000_000
 #: A term is a run of ASCII letters and of anything beyond ASCII; A-Z count as a-z, all other bytes separate.
@@ -95,38 +97,40 @@ def _exact_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _shared_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For two sources of a language (``a`` < ``b``): what the terms that both use add to the sum that takes each as the other's unused term."""
-    rest = None
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if not len(batch):
+        held.append(batch)
+        if sum(map(len, held)) < ROWS:
             continue
-        last = batch[["lang_no", "digest", "variant"]].to_numpy()
-        cut = int(np.argmax((last == last[-1]).all(axis=1)))  # the last term may go on in the next batch
-        rest = batch.iloc[cut:]
-        yield from _scored(batch.iloc[:cut])
-    if rest is not None:
-        yield from _scored(rest)
+        rows = pd.concat(held, ignore_index=True)
+        key = rows[TERM].to_numpy()
+        cut = int(np.argmax((key == key[-1]).all(axis=1)))  # the last term may go on in the next batch
+        held = [rows.iloc[cut:]]
+        yield from _scored(rows.iloc[:cut])
+    if held:
+        yield from _scored(pd.concat(held, ignore_index=True))
 
 
 def _scored(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     if len(rows) < 2:
         return
-    lang, code, p, p0 = (rows[c].to_numpy() for c in ("lang_no", "code", "p", "p0"))
-    key = rows[["lang_no", "digest", "variant"]].to_numpy()
+    code, p, p0 = (rows[c].to_numpy(np.int64) for c in ("code", "p", "p0"))
+    key = rows[TERM].to_numpy()
     start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
     size = np.diff(np.r_[start, len(rows)])
+    lang = key[start, 0]
     for k in np.unique(size[size > 1]):
-        places = start[size == k][:, None]
-        for i in range(k - 1):
-            for j in range(i + 1, k, max(1, PAIRS // len(places))):
-                a, others = places + i, places + np.arange(j, min(k, j + max(1, PAIRS // len(places))))
-                a = np.broadcast_to(a, others.shape).ravel()
-                b = others.ravel()
+        for lang_no in np.unique(lang[size == k]):
+            places = start[(size == k) & (lang == lang_no)][:, None]
+            step = max(1, PAIRS // len(places))
+            for i, j in ((i, j) for i in range(k - 1) for j in range(i + 1, k, step)):
+                b = (places + np.arange(j, min(k, j + step))).ravel()
+                a = np.repeat(places[:, 0] + i, len(b) // len(places))
                 value = _exact_distance(p[a], p[b]) - _exact_distance(p[a], p0[b]) - _exact_distance(p0[a], p[b]) + _exact_distance(p0[a], p0[b])
-                pairs, at = np.unique(np.stack([lang[a], code[a], code[b]]), axis=1, return_inverse=True)
-                total = np.zeros(pairs.shape[1], np.int64)
-                np.add.at(total, at.ravel(), value)
-                yield pd.DataFrame({"lang_no": pairs[0], "a": pairs[1], "b": pairs[2], "value": total})
+                pairs, at = np.unique(code[a] << 32 | code[b], return_inverse=True)
+                total = np.zeros(len(pairs), np.int64)
+                np.add.at(total, at, value)
+                yield pd.DataFrame({"lang_no": lang_no, "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "value": total})
 
 
 def source_divergence(takes: DataFrame, least_takes: int = 10, top: int = 10, bits: int = 64) -> DataFrame:
@@ -165,11 +169,10 @@ def source_divergence(takes: DataFrame, least_takes: int = 10, top: int = 10, bi
     stats = stats.withColumns({"lang_total": whole, "p0": F.when(some, share(F.lit(0), F.col("total"), F.when(some, F.col("vocabulary"))))})
     stats = settle(stats)
 
-    term = ["lang_no", "digest", "variant"]
     used = attach(counts, stats.select("lang_no", "code", "total", "lang_total", "vocabulary", "p0"), ["lang_no", "code"], F.col("digest"))
-    used = used.select(*term, "code", "n", "lang_total", "vocabulary", "p0", share(F.col("n"), F.col("total"), F.col("vocabulary")).alias("p"))
+    used = used.select(*TERM, "code", "n", "lang_total", "vocabulary", "p0", share(F.col("n"), F.col("total"), F.col("vocabulary")).alias("p"))
     # One shuffle, by term: the sum over its sources and the pairs of its sources both read it.
-    used = used.repartition(*term).sortWithinPartitions(*term, "code").withColumn("lang_n", F.sum("n").over(Window.partitionBy(*term)))
+    used = used.repartition(*TERM).sortWithinPartitions(*TERM, "code").withColumn("lang_n", F.sum("n").over(Window.partitionBy(*TERM)))
     out = _pairs(used, stats).unionByName(_terms(used, stats, named, top))
     return out.select("language", "source_name", "part", "item", "value", "rank")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import byte_pairs, divergence, host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, windows
+from cutlake.llm import byte_pairs, divergence, host_rules, html_text, licences, mixing, near_takes, packing, pieces, pii, search, spelling, windows
 
 #: Tokenizer files are a parameter of the cluster; this is where the test box has them.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -162,6 +162,43 @@ def op10(spark, path):
     return back.select(F.col("take_id").alias("doc_id"), "n_pieces", "piece_ids", F.col("decoded").alias("text"))
 
 
+SPELLING_SQL = """
+with recursive crc as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when (c & 1) = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by i) as t
+  from (select unnest(generate_series(0::bigint, 255)) as i)
+), runs as (
+  select doc_id, word, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) as word from documents
+  ) group by all
+), hashed as (
+  select word, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(generate_series(1, length(x), 2), lambda i: cast('0x' || substr(x, i, 2) as bigint))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+  from (select word, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || word)) as x from runs) cross join crc
+), w as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 97 = 0 then substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) else word end as word, n from hashed
+  ) where length(word) >= 5 group by word having sum(n) >= 3
+), cut as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(generate_series(1, length(word))) as i from w)),
+near as (
+  select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, w.word from cut c join w on c.rest = w.word
+  union select w.word, c.word from cut c join w on c.rest = w.word
+), best as (
+  select near.word, count(*) as n_near, min_by(other, (-o.n, other)) as other, max(o.n) as other_n from near join w o on o.word = near.other group by near.word
+), f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 2 * n then other end as form, case when other_n >= 2 * n then other_n end as form_n
+  from w left join best using (word)
+), walk(word, at_) as (select word, word from f union all select walk.word, f.form from walk join f on f.word = walk.at_ where f.form is not null)
+select f.word, n, n_near, form, form_n, at_ as root from f join walk on walk.word = f.word where at_ in (select word from f where form is null)
+"""
+
+
+@query("op11_spelling_forms", SPELLING_SQL)
+def op11(spark, path):
+    return spelling.spelling_forms(spelling.take_words(takes_of(spark, path), least_count=3, least_length=5, slip_every=97))
+
+
 @query("op12_byte_pairs")
 def op12(spark, path):
     import public_tokenizers
