@@ -8,9 +8,11 @@ travels through a small table with one row per (key, chunk), built with map-side
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -328,3 +330,28 @@ def global_ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__rows")).withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return ranged.join(sizes, "__range").withColumn(name, F.col("__before") + inside).drop("__range", "__rows", "__before")
+
+
+def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of equal ``keys`` of a partition that is sorted by them; a group may run over several batches."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        changes = np.zeros(len(batch), bool)
+        for k in keys:
+            values = batch[k].to_numpy()
+            changes[1:] |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(changes)
+        if rest and tuple(rest[-1][keys].iloc[-1]) != tuple(batch[keys].iloc[0]):
+            yield pd.concat(rest, ignore_index=True)
+            rest = []
+        if len(cuts):
+            yield pd.concat([*rest, batch.iloc[: cuts[0]]], ignore_index=True)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield batch.iloc[a:b].reset_index(drop=True)
+            rest = [batch.iloc[cuts[-1] :]]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)

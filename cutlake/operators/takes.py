@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutlake.functions.distance import prefix_distances
 from cutlake.functions.greedy import first_free
-from cutlake.functions.ordered import following, scan
+from cutlake.functions.ordered import following, scan, sorted_groups
 from cutlake.functions.staging import settle
-from cutlake.functions.text import length_bound, normalize, prefix_matches, similarity, words
+from cutlake.functions.text import levenshtein_ratio, normalize, prefix_matches, words
 
 # Thresholds, weights, word lists and keyword tables.
 HERO_FLOOR, HERO_BONUS = 0.5, 0.2
@@ -46,6 +51,8 @@ LOOK = {"base": 1.0, "daylight": 1.0, "shot_size": 0.5, "grp": 1.0, "tag": 0.25}
 ACTIVE_FROM, SIZE_WEIGHT = 2, 0.08
 SHOT_SIZES = ("wide", "medium", "close")
 EPS = 1e-6
+#: A cursor that a move leaves where it is.
+STAY = -1
 
 
 # -- search ------------------------------------------------------------------------------------------------
@@ -144,63 +151,195 @@ def take_windows(segments: DataFrame, max_window: int = MAX_WINDOW) -> DataFrame
     )
 
 
+#: Segments a tile of a take begins with, and script lines of a tile: what one row sends to be compared.
+TILE = 16
+
+
 def line_windows(
-    lines: DataFrame, windows: DataFrame, routes: DataFrame, mode: str = "levenshtein", threshold: float = MATCH, single: float = FLUFF,
+    lines: DataFrame, segments: DataFrame, routes: DataFrame, threshold: float = MATCH, single: float = FLUFF, max_window: int = MAX_WINDOW,
 ) -> DataFrame:
     """Similarity of dialogue lines and take windows of the same scene, kept where a later step can use it.
 
-    ``lines`` has (scene_id, line_no, text), ``routes`` (scene_id, take_id). Windows of one segment are kept from
-    ``single`` on, longer ones from ``threshold`` on; the length bound drops only pairs that cannot get there.
+    ``lines`` has (scene_id, line_no, text), ``segments`` what :func:`take_windows` reads, ``routes`` (scene_id, take_id).
+    Windows of one segment are kept from ``single`` on, longer ones from ``threshold`` on; lengths rule out pairs that
+    cannot get there. Similarity is 1 - edit distance / longer length.
+
+    Lines and segments meet as tiles, so a text is sent once for each ``TILE`` of its partners, and one walk along the
+    segments from a place on gives the distances of all windows that begin there.
     """
-    said = settle(lines.select("scene_id", "line_no", normalize("text").alias("line")).where(F.col("line") != ""))
-    held = settle(windows)
-    least = F.when(F.col("width") == 1, F.lit(min(single, threshold))).otherwise(F.lit(threshold))
-    # Numbers and lengths meet first; texts are fetched for the pairs that can still reach the threshold.
-    short = held.select("take_id", "i", "width", F.length("norm").alias("b"))
-    asked = routes.join(short, "take_id").join(said.select("scene_id", "line_no", F.length("line").alias("a")), "scene_id")
-    near = asked.where(length_bound(F.col("a"), F.col("b"), mode) >= least - 1e-12).drop("a", "b")
-    near = near.join(held, ["take_id", "i", "width"]).join(said, ["scene_id", "line_no"])
+    said = lines.select("scene_id", "line_no", normalize("text").alias("line")).where(F.col("line") != "")
+    heard = segments.select("take_id", F.col("i").cast("bigint").alias("i"), normalize("text").alias("norm"))
+    first = F.greatest(F.lit(0), F.floor((F.col("i") - (max_window - 1)) / TILE))
+    heard = heard.withColumn("block", F.explode(F.sequence(first, F.floor(F.col("i") / TILE))))
+    pieces = F.array_sort(F.collect_list(F.struct("i", "norm")))
+    heard = heard.groupBy("take_id", "block").agg(pieces.alias("p")).select("take_id", "block", F.col("p.i").alias("places"), F.col("p.norm").alias("heard"))
+    pieces = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    said = said.groupBy("scene_id", F.floor(F.col("line_no") / TILE).alias("page")).agg(pieces.alias("p"))
+    said = said.select("scene_id", "page", F.col("p.line_no").alias("numbers"), F.col("p.line").alias("said"))
+    tiles = routes.select("scene_id", "take_id").join(heard, "take_id").join(said, "scene_id")
     # Comparing is the costly part and its input small, so it is spread over the cores instead of coalesced.
     spark = lines.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    near = near.repartition(parts, "scene_id", "take_id", "line_no", "i", "width")
-    scored = near.withColumn("similarity", similarity("line", "norm", mode))
-    return scored.where(F.col("similarity") >= least).select(
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tiles = tiles.repartition(parts, "scene_id", "take_id", "block", "page").drop("page")
+    kind = {f.name: f.dataType.simpleString() for f in [*lines.schema.fields, *routes.schema.fields]}
+    schema = f"scene_id {kind['scene_id']}, take_id {kind['take_id']}, line_no {kind['line_no']}, i bigint, width int, similarity double"
+    scored = tiles.mapInPandas(_tile_scores(threshold, single, max_window), schema)
+    keys = ["take_id", "i", "width"]
+    return scored.join(take_windows(segments, max_window).select(*keys, "start_s", "end_s", "text"), keys).select(
         "scene_id", "take_id", "line_no", "i", "width", "similarity", "start_s", "end_s", "text"
     )
 
 
-def match_lines(pairs: DataFrame, lines: DataFrame, threshold: float = MATCH) -> DataFrame:
+def _tile_scores(threshold: float, single: float, max_window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    least = np.full(max_window, threshold)
+    least[0] = min(single, threshold)
+
+    def windows_of(block: int, places: np.ndarray, heard: np.ndarray) -> Iterator[tuple[int, str, np.ndarray]]:
+        for k, i in enumerate(places):
+            if not block * TILE <= i < (block + 1) * TILE:
+                continue
+            text, ends = "", []
+            for n in range(k, min(k + max_window, len(places))):
+                if places[n] != i + n - k:
+                    break
+                text = f"{text} {heard[n]}" if text and heard[n] else text or heard[n]
+                ends.append(len(text))
+            yield int(i), text, np.array(ends, np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                yield scores(batch.iloc[at : at + 64])
+
+    def scores(batch: pd.DataFrame) -> pd.DataFrame:
+        texts, lines, text_of, line_of, ends, rows = [], [], [], [], [], []
+        for scene, take, block, places, heard, numbers, said in batch[["scene_id", "take_id", "block", "places", "heard", "numbers", "said"]].itertuples(index=False):
+            sizes = np.array([len(s) for s in said], np.int64)
+            for i, text, upto in windows_of(block, places, heard):
+                short, long_ = np.minimum(upto, sizes[:, None]), np.maximum(upto, sizes[:, None])
+                near = (short > 0) & (short / np.maximum(long_, 1) >= least[: len(upto)] - 1e-12)
+                for n in np.flatnonzero(near.any(axis=1)):
+                    line_of.append(len(lines) + n)
+                    text_of.append(len(texts))
+                    width = np.flatnonzero(near[n])
+                    ends.append(upto[width])
+                    rows.append((scene, take, numbers[n], i, width + 1, long_[n, width]))
+                texts.append(text)
+            lines += list(said)
+        if not rows:
+            return pd.DataFrame({c: [] for c in ("scene_id", "take_id", "line_no", "i", "width", "similarity")})
+        away = prefix_distances(lines, texts, np.array(line_of), np.array(text_of), np.array([e[-1] for e in ends]), ends)
+        many = [len(e) for e in ends]
+        width = np.concatenate([r[4] for r in rows])
+        similarity = 1 - np.concatenate(away) / np.concatenate([r[5] for r in rows])
+        out = pd.DataFrame({c: np.repeat(np.array([r[k] for r in rows]), many) for k, c in enumerate(("scene_id", "take_id", "line_no", "i"))})
+        return out.assign(width=width, similarity=similarity)[similarity >= least[width - 1]]
+
+    return run
+
+
+#: Script lines whose walk one task does at a time.
+WALK_LINES = 512
+
+
+def match_lines(pairs: DataFrame, threshold: float = MATCH, walk_lines: int = WALK_LINES) -> DataFrame:
     """Lines in script order, each on its best window at or after the previous match (ties: earliest, shortest).
 
-    Adds ``from_i``, where the search for the line began. The walk sees the accepted-quality windows of one
-    scene in one take.
+    Adds ``from_i``, where the search for the line began. Each line moves a cursor along the take, from anywhere to the
+    best window from there on: a step function that never falls. The functions of ``walk_lines`` lines are composed
+    into one, the cursor goes from block to block through these, and then every block is walked from where its
+    cursor stands. No task holds more of a scene than one block.
     """
-    good = pairs.where(F.col("similarity") >= threshold)
-    window = F.struct((-F.col("similarity")).alias("d"), F.col("i").cast("bigint").alias("i"), F.col("width").cast("int").alias("w"))
-    per_line = good.groupBy("scene_id", "take_id", "line_no").agg(F.array_sort(F.collect_list(window)).alias("ws"))
-    walk = per_line.groupBy("scene_id", "take_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("bigint").alias("line_no"), "ws"))).alias("l"))
-    done = "array<struct<line_no:bigint,i:bigint,w:int,from_i:bigint>>"
-
-    def step(state: Column, x: Column) -> Column:
-        fits = F.filter(x["ws"], lambda w: w["i"] >= state["cursor"])
-        best = F.get(fits, F.lit(0))
-        return F.when(
-            best.isNotNull(),
-            F.struct(
-                best["i"].alias("cursor"),
-                F.concat(state["out"], F.array(F.struct(x["line_no"].alias("line_no"), best["i"].alias("i"), best["w"].alias("w"), state["cursor"].alias("from_i")))).alias("out"),
-            ),
-        ).otherwise(state)
-
-    start = F.struct(F.lit(0).cast("bigint").alias("cursor"), F.array().cast(done).alias("out"))
-    rows = walk.select("scene_id", "take_id", F.explode(F.aggregate("l", start, step, lambda s: s["out"])).alias("m"))
-    rows = rows.select("scene_id", "take_id", F.col("m.line_no").alias("line_no"), F.col("m.i").alias("i"), F.col("m.w").alias("width"), F.col("m.from_i").alias("from_i"))
-    keys = ["scene_id", "take_id", "line_no", "i", "width"]
-    return rows.join(good.withColumn("width", F.col("width").cast("int")), keys)
-
-
-def fluffs(pairs: DataFrame, matches: DataFrame, segments: DataFrame, routes: DataFrame, mode: str = "levenshtein", threshold: float = MATCH, low: float = FLUFF) -> DataFrame:
+    good = pairs.where(F.col("similarity") >= threshold).withColumn("__block", F.floor(F.col("line_no") / walk_lines))
+    keys, order = ["scene_id", "take_id", "__block"], ["line_no", "__away", "i", "width"]
+    good = good.withColumn("__away", -F.col("similarity"))
+    kind = {f.name: f.dataType.simpleString() for f in good.schema.fields}
+    named = ", ".join(f"{k} {kind[k]}" for k in keys)
+    dealt = good.select(*keys, "line_no", "__away", F.col("i").cast("bigint").alias("i"), "width").repartition(*keys).sortWithinPartitions(*keys, *order)
+    moves = dealt.mapInPandas(_block_moves(keys), f"{named}, upto array<bigint>, to array<bigint>")
+    # One row per block; the cursor of a scene in a take passes them one by one.
+    moves = moves.repartition(*keys[:2]).sortWithinPartitions(*keys)
+    starts = moves.mapInPandas(_cursors(keys), f"{named}, __cursor bigint")
+    walked = good.join(starts, keys).repartition(*keys).sortWithinPartitions(*keys, *order)
+    columns = [c for c in pairs.columns]
+    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in columns], "from_i bigint"])
+    return walked.mapInPandas(_walk(keys, columns), schema).withColumn("width", F.col("width").cast("int"))
+
+
+def _lines_of(rows: pd.DataFrame) -> Iterator[slice]:
+    line = rows["line_no"].to_numpy()
+    new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    return (slice(a, b) for a, b in zip(new, np.r_[new[1:], len(line)]))
+
+
+def move_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a cursor goes from any place, by the places of a line's windows from the best down: (up to, to); beyond the last it stays."""
+    best = np.maximum.accumulate(places)
+    first = np.r_[True, best[1:] > best[:-1]]
+    return places[first], places[first]
+
+
+def composed(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The move g after f; ``to`` is STAY where a cursor stays."""
+    upto = np.union1d(f[0], g[0])
+
+    def after(move: tuple[np.ndarray, np.ndarray], cursor: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(move[0], cursor)
+        return np.where(at < len(move[0]), np.r_[move[1], STAY][at], STAY)
+
+    first = after(f, upto)
+    then = after(g, np.where(first == STAY, upto, first))
+    to = np.where(then == STAY, first, then)
+    last = np.r_[(to[1:] != to[:-1]) | (to[1:] == STAY), True]
+    return upto[last], to[last]
+
+
+def _block_moves(keys: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in sorted_groups(batches, keys):
+            places, move = rows["i"].to_numpy(), None
+            for line in _lines_of(rows):
+                own = move_of(places[line])
+                move = own if move is None else composed(move, own)
+            yield pd.DataFrame({**{k: rows[k].iloc[:1] for k in keys}, "upto": [move[0]], "to": [move[1]]})
+
+    return run
+
+
+def _cursors(keys: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scene, cursor = None, 0
+        for batch in batches:
+            starts = []
+            for *key, upto, to in batch[[*keys[:2], "upto", "to"]].itertuples(index=False):
+                if key != scene:
+                    scene, cursor = key, 0
+                starts.append(cursor)
+                at = int(np.searchsorted(upto, cursor))
+                if at < len(upto) and to[at] != STAY:
+                    cursor = int(to[at])
+            yield batch[keys].assign(__cursor=starts)
+
+    return run
+
+
+def _walk(keys: list[str], columns: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in sorted_groups(batches, keys):
+            places, cursor = rows["i"].to_numpy(), int(rows["__cursor"].iloc[0])
+            hits, begun = [], []
+            for line in _lines_of(rows):
+                ahead = np.flatnonzero(places[line] >= cursor)
+                if len(ahead):
+                    hits.append(line.start + ahead[0])
+                    begun.append(cursor)
+                    cursor = int(places[hits[-1]])
+            yield rows.iloc[hits][columns].assign(from_i=np.array(begun, np.int64))
+
+    return run
+
+
+def fluffs(pairs: DataFrame, matches: DataFrame, segments: DataFrame, routes: DataFrame, threshold: float = MATCH, low: float = FLUFF) -> DataFrame:
     """Flagged segments (scene_id, take_id, i): weak tries before a better match, and aborts that start over."""
     tries = pairs.where((F.col("width") == 1) & (F.col("similarity") >= low) & (F.col("similarity") < threshold)).select(
         "scene_id", "take_id", "line_no", F.col("i").alias("j"), F.col("similarity").alias("__s")
@@ -215,7 +354,7 @@ def fluffs(pairs: DataFrame, matches: DataFrame, segments: DataFrame, routes: Da
     trails = F.col("raw").endswith("--") | F.col("raw").endswith("...")
     cut = pairs_.where(trails & F.col("__n").isNotNull()).withColumn("a", head("norm")).withColumn("b", head("__n"))
     cut = cut.where((F.size("a") >= 3) & (F.size("b") >= 3)).withColumns({"a": F.array_join("a", " "), "b": F.array_join("b", " ")})
-    again = cut.where(similarity("a", "b", mode) >= RESTART).select("take_id", "i")
+    again = cut.where(levenshtein_ratio("a", "b") >= RESTART).select("take_id", "i")
     restarts = routes.join(again, "take_id").select("scene_id", "take_id", "i")
     return weak.unionByName(restarts).distinct()
 

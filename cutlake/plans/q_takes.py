@@ -123,10 +123,10 @@ class Script:
         s = c.join(n, "scene_id").select("scene_id", F.explode(rows).alias("s")).select("scene_id", "s.*")
         self.segments = settle(s.withColumns({"start_s": F.col("i") * 5.0, "end_s": F.col("i") * 5.0 + 4}))
         self.routes = self.segments.select("scene_id", "take_id").distinct()
-        self.pairs = settle(tk.line_windows(self.lines, tk.take_windows(self.segments.drop("scene_id")), self.routes))
+        self.pairs = settle(tk.line_windows(self.lines, self.segments.drop("scene_id"), self.routes))
 
     def matches(self):
-        return settle(tk.match_lines(self.pairs, self.lines))
+        return settle(tk.match_lines(self.pairs))
 
     def scored(self):
         m = self.matches()

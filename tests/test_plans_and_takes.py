@@ -1,13 +1,15 @@
 """Plan intervals, diffs, and script matching on small cases."""
 
-import difflib
+import itertools
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cutlake.operators import intervals, scoring, takes
 from cutlake.operators import music
+from cutlake.functions.distance import prefix_distances
 from cutlake.functions.text import normalize
 
 ENTRY = "pair_id string, slot bigint, clip_path string, source_start double, source_end double, record_start double, record_end double, transition double"
@@ -74,24 +76,93 @@ def test_cues_of_a_small_cut(spark):
     assert [g[0] for g in got if g[1] == "whoosh"] == [11.7, 15.7, 23.7, 27.7, 31.7, 35.7]
 
 
-def test_lines_match_in_order_with_ratio(spark):
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain_ratio(a, b):
+    return 1 - plain_distance(a, b) / max(len(a), len(b)) if a and b else 0.0
+
+
+def test_prefix_distances_against_the_plain_table():
+    rng = random.Random(8)
+    word = lambda lo, hi: "".join(rng.choice("abcé 漢") for _ in range(rng.randint(lo, hi)))
+    lines = [word(1, 70) for _ in range(20)] + [word(120, 300) for _ in range(6)] + ["a" * 64, "a" * 65, "b" * 128]
+    texts = [word(1, 150) for _ in range(20)] + ["a" * 200, word(200, 300)]
+    line_of = np.array([rng.randrange(len(lines)) for _ in range(250)])
+    text_of = np.array([rng.randrange(len(texts)) for _ in range(250)])
+    ends = [np.array(sorted({rng.randint(1, len(texts[t])) for _ in range(4)})) for t in text_of]
+    got = prefix_distances(lines, texts, line_of, text_of, np.array([e[-1] for e in ends]), ends)
+    for n, t, e, d in zip(line_of, text_of, ends, got):
+        assert d.tolist() == [plain_distance(lines[n], texts[t][:k]) for k in e]
+
+
+def test_lines_match_in_order(spark):
     said = ["Hello there my old friend.", "I have not seen you in years--", "I have not seen you in ages and ages", "Come in and sit down"]
     segments = spark.createDataFrame([("t1", i, s, i * 2.0, i * 2.0 + 1.5) for i, s in enumerate(said)], "take_id string, i bigint, text string, start_s double, end_s double")
     script = ["Hello there, my old friend!", "I have not seen you in ages and ages.", "Come in. Sit down."]
     lines = spark.createDataFrame([("s", n, x) for n, x in enumerate(script)], "scene_id string, line_no bigint, text string")
     routes = spark.createDataFrame([("s", "t1")], "scene_id string, take_id string")
-    pairs = takes.line_windows(lines, takes.take_windows(segments), routes, mode="ratio")
-    got = takes.match_lines(pairs, lines)
+    pairs = takes.line_windows(lines, segments, routes)
+    got = takes.match_lines(pairs)
     rows = {r.line_no: (r.i, round(r.similarity, 9)) for r in got.collect()}
     assert rows[0] == (0, 1.0) and rows[1] == (2, 1.0) and rows[2][0] == 3
-    want = difflib.SequenceMatcher(None, "come in sit down", "come in and sit down").ratio()
-    assert rows[2][1] == round(want, 9)
-    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert rows[2][1] == round(plain_ratio("come in sit down", "come in and sit down"), 9)
     plain = [x.lower().replace(",", "").replace("!", "").replace(".", "").replace("-", "").strip() for x in script]
     heard = [x.lower().replace(".", "").replace("-", "").strip() for x in said]
     weak = {j for n, (start, end) in {0: (0, 0), 1: (0, 2), 2: (2, 3)}.items() for j in range(start, end)
-            if 0.3 <= ratio(plain[n], heard[j]) < 0.55 and ratio(plain[n], heard[j]) < rows[n][1]}
-    assert {r.i for r in takes.fluffs(pairs, got, segments, routes, mode="ratio").collect()} == weak | {1}
+            if 0.3 <= plain_ratio(plain[n], heard[j]) < 0.55 and plain_ratio(plain[n], heard[j]) < rows[n][1]}
+    assert {r.i for r in takes.fluffs(pairs, got, segments, routes).collect()} == weak | {1}
+
+
+def test_windows_of_many_tiles_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(takes, "TILE", 3)
+    rng = random.Random(9)
+    words = ["go", "stay", "here", "now", "friend", "old", "um"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+    lines = {(s, n): text() for s in "ab" for n in range(11)}
+    heard = {(t, i): text() for t in ("t1", "t2", "t3") for i in range(14 if t == "t1" else 5)}
+    routes = [("a", "t1"), ("a", "t2"), ("b", "t1"), ("b", "t3")]
+    norm = lambda x: " ".join(w for w in x.split() if w != "um")
+    want = {}
+    for (scene, take), (s, n) in itertools.product(routes, lines):
+        for i, w in itertools.product(range(14), range(1, 7)):
+            if s == scene and (take, i + w - 1) in heard:
+                window = " ".join(x for x in (norm(heard[take, k]) for k in range(i, i + w)) if x)
+                similarity = plain_ratio(norm(lines[s, n]), window)
+                if similarity >= (0.3 if w == 1 else 0.55):
+                    want[scene, take, n, i, w] = round(similarity, 9)
+    l_ = spark.createDataFrame([(*k, v) for k, v in lines.items()], "scene_id string, line_no bigint, text string")
+    s_ = spark.createDataFrame([(*k, v, k[1] * 2.0, k[1] * 2.0 + 1) for k, v in heard.items()], "take_id string, i bigint, text string, start_s double, end_s double")
+    pairs = takes.line_windows(l_, s_, spark.createDataFrame(routes, "scene_id string, take_id string"))
+    rows = pairs.collect()
+    assert {(r.scene_id, r.take_id, r.line_no, r.i, r.width): round(r.similarity, 9) for r in rows} == want and len(rows) == len(want)
+    assert all(r.start_s == 2.0 * r.i and r.end_s == 2.0 * (r.i + r.width - 1) + 1 for r in rows)
+    assert takes.line_windows(l_.limit(0), s_, spark.createDataFrame(routes, "scene_id string, take_id string")).count() == 0
+
+
+def test_cursor_moves_against_a_plain_walk(spark):
+    rng = random.Random(10)
+    rows = {(s, t, n, rng.randint(0, 25), rng.randint(1, 6)): rng.choice([0.4, 0.55, 0.6, 0.6, 0.9, rng.random()]) for s in "abc" for t in ("t1", "t2") for n in range(40) for _ in range(rng.randint(0, 5))}
+    want = set()
+    for s, t in itertools.product("abc", ("t1", "t2")):
+        cursor = 0
+        for n in range(40):
+            ahead = [(-v, k[3], k[4]) for k, v in rows.items() if k[:3] == (s, t, n) and v >= 0.55 and k[3] >= cursor]
+            if ahead:
+                _, i, w = min(ahead)
+                want.add((s, t, n, i, w, cursor))
+                cursor = i
+    table = spark.createDataFrame([(*k, v, 0.0, 1.0, "x") for k, v in rows.items()], "scene_id string, take_id string, line_no bigint, i bigint, width int, similarity double, start_s double, end_s double, text string")
+    for walk_lines in (1, 4, 512):
+        got = takes.match_lines(table, walk_lines=walk_lines)
+        assert {(r.scene_id, r.take_id, r.line_no, r.i, r.width, r.from_i) for r in got.collect()} == want
+    assert takes.match_lines(table.limit(0)).count() == 0
 
 
 def test_normalisation_drops_fillers(spark):
