@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlake.functions.columns import basename, clamp, col, first_by
+from cutlake.functions.greedy import best_partners, spaced_in_time, spaced_picks
 from cutlake.functions.intervals import range_join, union_intervals
 from cutlake.functions.ordered import (
     attach, carry_backward, carry_forward, following, global_ranks, max_before, pick_ranks, previous, row_index, scan,
@@ -328,52 +329,14 @@ def best_plan(totals: DataFrame, project: str = "project", order: str = "pass_no
 def match_versions(old: DataFrame, new: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Shots two versions share: new entries in order take the unclaimed old one of their clip they overlap most.
 
-    Only entries whose source ranges hang together can compete, so the greedy walk runs per connected stretch
-    of source time: a short list even when one clip fills the plan.
+    Entries meet where their source ranges overlap; who takes what is settled along these overlaps (``greedy.best_partners``).
     """
     keys = [pair, "clip_path"]
-    both = old.select(*keys, "source_start", "source_end").unionByName(new.select(*keys, "source_start", "source_end"))
-    stretches = union_intervals(both, keys, "source_start", "source_end", width=64.0).select(
-        *keys, F.col("source_start").alias("g0"), F.col("source_end").alias("g1")
-    )
-
-    def placed(df: DataFrame) -> DataFrame:
-        rows = df.where(F.col("source_end") > F.col("source_start"))
-        inside = range_join(rows, stretches, keys, ("source_start", "source_end"), ("g0", "g1"), 64.0)
-        return inside.where((F.col("source_start") >= F.col("g0") - EPS) & (F.col("source_end") <= F.col("g1") + EPS))
-
-    shot = F.array_sort(F.collect_list(F.struct("slot", "source_start", "source_end")))
-    o = placed(old).groupBy(*keys, "g0").agg(shot.alias("olds"))
-    n = placed(new).groupBy(*keys, "g0").agg(shot.alias("news"))
-    groups = n.join(o, [*keys, "g0"])
-    shot_type = "array<struct<slot:bigint,source_start:double,source_end:double>>"
-
-    def take(state: Column, x: Column) -> Column:
-        scored = F.transform(
-            state["left"],
-            lambda y: F.struct(
-                (F.least(x["source_end"], y["source_end"]) - F.greatest(x["source_start"], y["source_start"])).alias("v"), y["slot"].alias("slot")
-            ),
-        )
-        best = F.aggregate(
-            scored, F.struct(F.lit(0.0).alias("v"), F.lit(None).cast("bigint").alias("slot")),
-            lambda b, y: F.when(y["v"] > b["v"], y).otherwise(b),
-        )
-        return F.transform(
-            F.array(F.struct(state.alias("s"), best.alias("b"))),
-            lambda z: F.struct(
-                F.filter(z["s"]["left"], lambda y: ~y["slot"].eqNullSafe(z["b"]["slot"])).alias("left"),
-                F.when(
-                    z["b"]["slot"].isNotNull(), F.concat(z["s"]["pairs"], F.array(F.struct(x["slot"].alias("new_slot"), z["b"]["slot"].alias("old_slot"))))
-                ).otherwise(z["s"]["pairs"]).alias("pairs"),
-            ),
-        )[0]
-
-    start = F.struct(
-        F.col("olds").cast(shot_type).alias("left"), F.array().cast("array<struct<new_slot:bigint,old_slot:bigint>>").alias("pairs")
-    )
-    walked = groups.select(*keys, F.explode(F.aggregate(F.col("news").cast(shot_type), start, take, lambda s: s["pairs"])).alias("p"))
-    return walked.select(pair, F.col("p.new_slot").alias("new_slot"), F.col("p.old_slot").alias("old_slot"))
+    look = lambda df, n: df.where(F.col("source_end") > F.col("source_start")).select(*keys, F.col("slot").alias(n), F.col("source_start").alias(f"{n}0"), F.col("source_end").alias(f"{n}1"))
+    both = range_join(look(new, "a"), look(old, "b"), keys, ("a0", "a1"), ("b0", "b1"), 64.0)
+    value = F.least("a1", "b1") - F.greatest("a0", "b0")
+    edges = both.select(*keys, "a", "b", value.alias("value")).where(F.col("value") > 0)
+    return best_partners(edges, keys).select(pair, F.col("a").alias("new_slot"), F.col("b").alias("old_slot"))
 
 
 def diff_plans(old: DataFrame, new: DataFrame, plans: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -527,7 +490,7 @@ def pool_dossier(moments: DataFrame, key: str = "project", tags: int = 8, labels
 def chapters(entries: DataFrame, gap: float = CHAPTER_SECONDS) -> DataFrame:
     """A new chapter where scene (else clip) changes and the last chapter is at least ``gap`` seconds back.
 
-    ``entries`` needs grp, label and title parts. The walk sees one time per scene change of a plan.
+    ``entries`` needs grp, label and title parts. The walk sees one time per scene change, in blocks of time.
     """
     key = F.when(F.coalesce("grp", F.lit("")) != "", F.col("grp")).otherwise(F.col("clip_path"))
     stem = F.regexp_replace(basename("clip_path"), r"(?<=.)\.[^.]*$", "")
@@ -537,14 +500,9 @@ def chapters(entries: DataFrame, gap: float = CHAPTER_SECONDS) -> DataFrame:
     changes = settle(back.where(F.col("__p").isNull() | (F.col("__p") != F.col("__key"))).select(
         PLAN, "slot", "title", F.when(F.col("__p").isNull(), 0.0).otherwise(F.col("record_start")).alias("start_s")
     ))
-    point = "array<struct<t:double,slot:bigint>>"
-    walk = F.aggregate(
-        F.col("l").cast(point), F.array().cast(point),
-        lambda kept, x: F.when((F.size(kept) == 0) | (x["t"] - F.element_at(kept, -1)["t"] >= gap), F.concat(kept, F.array(x))).otherwise(kept),
-    )
-    picked = changes.groupBy(PLAN).agg(F.array_sort(F.collect_list(F.struct(F.col("start_s").alias("t"), "slot"))).alias("l"))
-    picked = picked.select(PLAN, F.posexplode(F.when(F.size("l") > 0, walk)).alias("i", "c")).select(PLAN, (F.col("i") + 1).cast("bigint").alias("chapter"), F.col("c.slot").alias("slot"))
-    return picked.join(changes, [PLAN, "slot"]).select(PLAN, "chapter", "start_s", "title")
+    kept = spaced_in_time(changes, [PLAN], "start_s", "slot", gap)
+    numbered = scan(kept, [PLAN], ["start_s", "slot"], F.floor(F.col("start_s") / 600), chapter=row_index())
+    return numbered.select(PLAN, "slot", "chapter").join(changes, [PLAN, "slot"]).select(PLAN, "chapter", "start_s", "title")
 
 
 def thumbnails(entries: DataFrame, k: int = 6) -> DataFrame:
@@ -624,17 +582,14 @@ def derive_cues(plans: DataFrame, phases: DataFrame, drops: DataFrame, dips: Dat
         [PLAN], ("record_start", "record_start"), ("p0", "p1"), BIN,
     ).where((F.col("record_start") > F.col("p0")) & (F.col("record_start") < F.col("p1"))).select(PLAN, "slot").distinct()
     free = cuts.join(near, [PLAN, "slot"], "left_anti")
-    item = "array<struct<len:double,t:double>>"
-    wide = WHOOSH_SECONDS / 2 + clear
-
-    def step(acc: Column, x: Column) -> Column:
-        start = lambda o: F.greatest(F.lit(0.0), o["t"] - WHOOSH_SECONDS / 2)
-        clash = F.exists(acc, lambda o: (x["t"] > start(o) - clear) & (x["t"] < start(o) + WHOOSH_SECONDS + clear))
-        return F.when((F.size(acc) < F.col("room")) & ~clash, F.concat(acc, F.array(x))).otherwise(acc)
-
-    lists = free.groupBy(PLAN).agg(F.array_sort(F.collect_list(F.struct((F.col("record_end") - F.col("record_start")).alias("len"), F.col("record_start").alias("t")))).alias("l"))
-    chosen = lists.join(left, PLAN).select(PLAN, F.explode(F.aggregate(F.col("l").cast(item), F.array().cast(item), step)).alias("w"))
-    whooshes = chosen.select(PLAN, F.greatest(F.lit(0.0), F.col("w.t") - WHOOSH_SECONDS / 2).alias("time"), F.lit(WHOOSH_SECONDS).alias("length"), F.lit("whoosh").alias("kind"), F.lit("fast_cut").alias("note"))
+    start = F.greatest(F.lit(0.0), F.col("record_start") - WHOOSH_SECONDS / 2)
+    closed = (start - clear, start + WHOOSH_SECONDS + clear)
+    fast = F.struct((F.col("record_end") - F.col("record_start")).alias("len"), F.col("record_start").alias("t"), "slot")
+    apart = spaced_picks(free, [PLAN], F.col("record_start"), closed, fast, WHOOSH_SECONDS + 2 * clear, WHOOSH_MAX, "slot")
+    # At most WHOOSH_MAX rows per plan.
+    nth = F.row_number().over(Window.partitionBy(PLAN).orderBy(fast))
+    chosen = free.join(apart, [PLAN, "slot"]).withColumn("__nth", nth).join(left, PLAN).where(F.col("__nth") <= F.col("room"))
+    whooshes = chosen.select(PLAN, F.greatest(F.lit(0.0), F.col("record_start") - WHOOSH_SECONDS / 2).alias("time"), F.lit(WHOOSH_SECONDS).alias("length"), F.lit("whoosh").alias("kind"), F.lit("fast_cut").alias("note"))
     cues = settle(placed.unionByName(whooshes))
     entry = live.where(F.col("music_in") > EPS).select(PLAN, "music_in")
     off = F.abs(F.col("time") + F.col("length") - F.col("music_in"))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlake.functions.distance import prefix_distances
-from cutlake.functions.greedy import first_free
-from cutlake.functions.ordered import following, scan, sorted_groups
+from cutlake.functions.greedy import first_free, spaced_picks
+from cutlake.functions.ordered import following, max_before, previous, row_index, running_sum, scan, sorted_groups
 from cutlake.functions.staging import settle
 from cutlake.functions.text import levenshtein_ratio, normalize, prefix_matches, words
 
@@ -403,31 +403,53 @@ def unmatched_lines(lines: DataFrame, chosen: DataFrame) -> DataFrame:
 def select_segments(chosen: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
     """Chosen lines in script order, merged while they stay in one take with pauses below ``gap`` seconds.
 
-    The walk covers the dialogue of one scene.
+    A line opens a segment where the take changes, or where it starts ``gap`` or more after everything the lines of
+    its stretch in that take have ended before it. Where the lines of such a run start one after the other, the run is one segment.
+    Runs whose lines go back in time are walked line by line, with the segment's start and end carried along.
     """
-    look = "struct<line_no:bigint,take_id:string,s:double,e:double,text:string>"
-    rows = chosen.groupBy("scene_id").agg(F.array_sort(F.collect_list(
-        F.struct(F.col("line_no").cast("bigint").alias("line_no"), F.col("take_id").cast("string").alias("take_id"), F.col("start_s").alias("s"), F.col("end_s").alias("e"), "text")
-    )).cast(f"array<{look}>").alias("l"))
-    seg = "array<struct<take_id:string,s:double,e:double,lines:array<bigint>,text:string>>"
-
-    def open_(x: Column) -> Column:
-        return F.array(F.struct(x["take_id"].alias("take_id"), x["s"].alias("s"), x["e"].alias("e"), F.array(x["line_no"]).alias("lines"), x["text"].alias("text")))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = (last["take_id"] == x["take_id"]) & (x["s"] >= last["s"]) & (x["s"] - last["e"] < gap)
-        grown = F.array(F.struct(
-            last["take_id"].alias("take_id"), last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"),
-            F.concat(last["lines"], F.array(x["line_no"])).alias("lines"), F.trim(F.concat_ws(" ", last["text"], x["text"])).alias("text"),
-        ))
-        return F.when((F.size(acc) > 0) & joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, open_(x)))
-
-    out = rows.select("scene_id", F.posexplode(F.aggregate("l", F.array().cast(seg), step)).alias("p", "g"))
-    return out.select(
-        "scene_id", (F.col("p") + 1).cast("bigint").alias("segment_no"), F.col("g.take_id").alias("take_id"), F.col("g.s").alias("start_s"), F.col("g.e").alias("end_s"),
-        F.col("g.lines").alias("lines"), F.col("g.text").alias("text"),
+    rows = chosen.select(
+        "scene_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("take_id").cast("string").alias("take_id"), F.col("start_s").alias("s"), F.col("end_s").alias("e"), "text"
     )
+    by_line = F.floor(F.col("line_no") / 1024)
+    order = ["line_no"]
+    rows = scan(rows, ["scene_id"], order, by_line, __p=previous("take_id"))
+    rows = scan(rows.withColumn("__new", (~F.col("take_id").eqNullSafe(F.col("__p"))).cast("int")), ["scene_id"], order, by_line, __stretch=running_sum("__new"))
+    stretch = ["scene_id", "__stretch"]
+    rows = scan(rows, stretch, order, by_line, __top=max_before("e"), __s=previous("s"))
+    opens = F.col("__top").isNull() | (F.col("s") - F.col("__top") >= gap)
+    rows = scan(rows.withColumn("__new", opens.cast("int")), stretch, order, by_line, __run=running_sum("__new"))
+    run = [*stretch, "__run"]
+    back = rows.where(~opens & (F.col("s") < F.col("__s"))).select(*run).distinct()
+    kind = dict(rows.dtypes)
+    columns = [*run, "take_id", "s", "e", "line_no", "text"]
+    plain = rows.select(*columns, F.lit(0).cast("bigint").alias("__part")).join(back, run, "left_anti")
+    twisted = rows.select(*columns).join(back, run, "left_semi").repartition(*run).sortWithinPartitions(*run, "line_no")
+    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in columns], "__part bigint"])
+    whole = plain.unionByName(twisted.mapInPandas(_parts(run, gap), schema))
+    line = F.struct("line_no", "text")
+    out = whole.groupBy(*run, "__part").agg(F.first("take_id").alias("take_id"), F.min_by("s", "line_no").alias("start_s"), F.max("e").alias("end_s"), F.array_sort(F.collect_list(line)).alias("l"))
+    out = out.withColumn("__first", F.get("l", F.lit(0))["line_no"])
+    out = scan(out, ["scene_id"], ["__first"], F.floor(F.col("__first") / 1024), segment_no=row_index())
+    text = F.trim(F.array_join(F.transform("l", lambda x: x["text"]), " "))
+    return out.select("scene_id", "segment_no", "take_id", "start_s", "end_s", F.transform("l", lambda x: x["line_no"]).alias("lines"), text.alias("text"))
+
+
+def _parts(run: list[str], gap: float):
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, part, start, end = None, 0, 0.0, 0.0
+        for batch in batches:
+            parts = []
+            for *own, s, e in batch[[*run, "s", "e"]].itertuples(index=False):
+                if own != key:
+                    key, part, start, end = own, 0, s, e
+                elif s >= start and s - end < gap:
+                    end = max(end, e)
+                else:
+                    part, start, end = part + 1, s, e
+                parts.append(part)
+            yield batch.assign(__part=np.array(parts, np.int64))
+
+    return walk
 
 
 def assembly_coverage(chosen: DataFrame, lines: DataFrame, key: str | None = None) -> DataFrame:
@@ -593,18 +615,12 @@ def series_seeds(moments: DataFrame, n: int, project: str = "project") -> DataFr
     rest = moments.join(short, project).join(firsts.select(project, "mid"), [project, "mid"], "left_anti")
     novelty = F.array_contains("__day", F.col("daylight")).cast("int") + F.array_contains("__size", F.col("shot_size")).cast("int")
     rest = rest.withColumn("__seen", novelty.cast("bigint"))
-    # Only moments of one clip stand in each other's way, so every clip is walked by itself, its seed first.
+    # Only moments of one clip stand in each other's way, its seed before all others.
     look = F.struct(F.col("__seen").alias("n"), (-s).alias("a"), F.col("start_s").alias("b"), F.col("end_s").alias("c"), F.col("mid").alias("d"))
-    walk = rest.groupBy(project, "clip_path").agg(F.array_sort(F.collect_list(look)).alias("__l"))
-    lead_at = firsts.select(project, "clip_path", F.array("start_s").alias("__t"))
-    walk = walk.join(lead_at, [project, "clip_path"], "left").withColumn("__t", F.coalesce("__t", F.array().cast("array<double>")))
-    state = F.struct(F.col("__t").alias("at"), F.array().cast(dict(moments.select("mid").dtypes)["mid"].join(("array<", ">"))).alias("ids"))
-
-    def step(taken: Column, x: Column) -> Column:
-        free = ~F.exists(taken["at"], lambda t: F.abs(t - x["b"]) < SEED_GAP - EPS)
-        return F.when(free, F.struct(F.concat(taken["at"], F.array(x["b"])).alias("at"), F.concat(taken["ids"], F.array(x["d"])).alias("ids"))).otherwise(taken)
-
-    apart = walk.select(project, F.explode(F.aggregate("__l", state, step, lambda t: t["ids"])).alias("mid"))
+    near = SEED_GAP - EPS
+    span = (F.col("start_s") - near, F.col("start_s") + near)
+    given = firsts.select(project, "clip_path", span[0].alias("c0"), span[1].alias("c1"))
+    apart = spaced_picks(rest, [project, "clip_path"], F.col("start_s"), span, look, 2 * near, n, "mid", given).select(project, "mid")
     nth = F.row_number().over(Window.partitionBy(project).orderBy(F.asc("__seen"), *order))
     more = rest.join(apart, [project, "mid"], "left_semi").withColumn("pick", nth).where(F.col("pick") <= n)
     more = more.withColumn("pick", (F.col("pick") + F.col("__n")).cast("bigint")).where(F.col("pick") <= n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cutlake.operators import intervals, scoring, takes
 from cutlake.operators import music
+from cutlake.functions import greedy
 from cutlake.functions.distance import prefix_distances
 from cutlake.functions.text import normalize
 
@@ -165,6 +166,88 @@ def test_cursor_moves_against_a_plain_walk(spark):
     assert takes.match_lines(table.limit(0)).count() == 0
 
 
+def test_best_partners_against_a_plain_walk(spark):
+    rng = random.Random(11)
+    edges = {}
+    for key in "xyz":
+        for a in range(30):
+            for b in rng.sample(range(25), rng.randint(0, 5)):
+                edges[key, a, b] = rng.choice([1.0, 2.0, 2.0, 3.5])
+    edges |= {("all", a, b): float((a * b) % 3 + 1) for a in range(12) for b in range(12)}  # everyone wants everything: many rounds
+    want = set()
+    for key in {k[0] for k in edges}:
+        taken = set()
+        for a in sorted({k[1] for k in edges if k[0] == key}):
+            free = [(-v, k[2]) for k, v in edges.items() if k[:2] == (key, a) and k[2] not in taken]
+            if free:
+                taken.add(min(free)[1])
+                want.add((key, a, min(free)[1]))
+    table = spark.createDataFrame([(*k, v) for k, v in edges.items()], "pair_id string, a bigint, b bigint, value double")
+    assert {tuple(r) for r in greedy.best_partners(table, ["pair_id"]).collect()} == want
+    assert greedy.best_partners(table.limit(0), ["pair_id"]).count() == 0
+
+
+def test_spaced_picks_against_a_plain_walk(spark):
+    rng = random.Random(12)
+    rows = [(c, i, rng.choice([rng.randint(0, 60) / 2, rng.random() * (5 if c == "dense" else 200)]), rng.choice([1.0, 2.0, rng.random()])) for c in ("dense", "wide", "tiny") for i in range(3 if c == "tiny" else 400)]
+    table = spark.createDataFrame(rows, "clip string, mid bigint, t double, s double")
+    span = (F.greatest(F.col("t") - 2.0, F.lit(-1.0)), F.greatest(F.col("t") - 2.0, F.lit(-1.0)) + 4.0)
+    given = spark.createDataFrame([("wide", 10.0, 14.0)], "clip string, c0 double, c1 double")
+    for n, begun in ((6, None), (15, given)):
+        want = set()
+        for clip in ("dense", "wide", "tiny"):
+            spans, left = [(10.0, 14.0)] if begun is not None and clip == "wide" else [], n
+            for s, t, mid in sorted((-s, t, mid) for c, mid, t, s in rows if c == clip):
+                if left and not any(a < t < b for a, b in spans):
+                    spans.append((max(t - 2.0, -1.0), max(t - 2.0, -1.0) + 4.0))
+                    want.add((clip, mid))
+                    left -= 1
+        order = F.struct((-F.col("s")).alias("a"), "t", "mid")
+        got = greedy.spaced_picks(table, ["clip"], F.col("t"), span, order, 4.0, n, "mid", begun)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_spaced_in_time_against_a_plain_walk(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(p, i, 0.0 if i == 0 else rng.choice([rng.randint(0, 900) / 10, rng.random() * 900])) for p in ("p", "q", "r") for i in range({"p": 1, "q": 60, "r": 700}[p])]
+    want = set()
+    for plan in "pqr":
+        last = None
+        for t, i in sorted((t, i) for p, i, t in rows if p == plan):
+            if last is None or t - last >= 10.0:
+                want.add((plan, t, i))
+                last = t
+    table = spark.createDataFrame(rows, "plan_id string, slot bigint, start_s double")
+    for stride in (1, 3, 64):
+        monkeypatch.setattr(greedy, "STRIDE", stride)
+        assert {tuple(r) for r in greedy.spaced_in_time(table, ["plan_id"], "start_s", "slot", 10.0).collect()} == want
+
+
+def test_segments_against_a_plain_walk(spark):
+    rng = random.Random(14)
+    rows = []
+    for scene in range(30):
+        t, take = 0.0, "t1"
+        for line in range(rng.randint(1, 25)):
+            if rng.random() < 0.15:
+                take, t = rng.choice(["t1", "t2"]), rng.random() * 5
+            t += rng.choice([0.0, 0.5, 1.0, 1.5, 2.0, 4.0, -1.0 if scene % 2 else 0.5, -3.0 if scene % 3 == 0 else 0.0])
+            rows.append((scene, line * 40, take, t, t + rng.choice([0.2, 1.0, 6.0]), f"w{line}"))
+    want = []
+    for scene in range(30):
+        segments = []
+        for _, line, take, s, e, text in sorted(r for r in rows if r[0] == scene):
+            last = segments[-1] if segments else None
+            if last and last[0] == take and s >= last[1] and s - last[2] < 1.5:
+                segments[-1] = (take, last[1], max(last[2], e), [*last[3], line], f"{last[4]} {text}")
+            else:
+                segments.append((take, s, e, [line], text))
+        want += [(scene, n, *x) for n, x in enumerate(segments, 1)]
+    table = spark.createDataFrame(rows, "scene_id bigint, line_no bigint, take_id string, start_s double, end_s double, text string")
+    got = takes.select_segments(table).collect()
+    assert sorted((r.scene_id, r.segment_no, r.take_id, r.start_s, r.end_s, r.lines, r.text) for r in got) == sorted(want)
+
+
 def test_normalisation_drops_fillers(spark):
     assert spark.range(1).select(normalize(F.lit("Äh, Das_ist -- GUT, um!"))).first()[0] == "das ist gut"
 
