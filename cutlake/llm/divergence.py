@@ -8,7 +8,7 @@ counted again. The text of a term is joined back to the few rows that are return
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from cutlake.llm.common import SMALL_ROWS, attach, small_batches
 #: Added counts, the unit of p, and the pseudo-count's weight: p = 1 + UNIT * (count + PRIOR) // (N + PRIOR * V).
 PRIOR, UNIT = 2, 1_000_000_000
 #: Terms a task holds before it passes its counts on, and pairs of sources it scores at once.
-HELD, PAIRS = 200_000, 1 << 20
+HELD, PAIRS = 500_000, 1 << 20
 #: Rows of terms a task scores together, besides those of one term.
 ROWS, TERM = 200_000, ["lang_no", "digest", "variant"]
 #: Up to so many kept digests (16 bytes each) are broadcast to the counting tasks, beyond it they meet by shuffle.
@@ -35,24 +35,27 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-def digest_of(term: bytes, bits: int = 64) -> int:
-    return xxhash.xxh64_intdigest(term) >> (64 - bits)
+def digests_of(terms: list[bytes], bits: int = 64) -> np.ndarray:
+    found = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+    return (found >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _signed(digests: list[int]) -> np.ndarray:
-    return np.array(digests, np.uint64).view(np.int64)
+def _counted(rows: DataFrame, keys: list[str], bits: int, *wanted: str) -> DataFrame:
+    """Terms per ``keys`` (integers) by digest, as far as one task has combined them, with what is ``wanted``: n, docs, term.
 
+    ``n`` are occurrences, ``docs`` takes; ``term`` is the string itself.
+    """
 
-def _counted(takes: DataFrame, keys: list[str], bits: int, named: bool = False) -> DataFrame:
-    """Terms per ``keys``: digest, occurrences ``n`` and takes ``docs``, as far as one task has combined them; ``named`` adds the ``term``."""
-
-    def rows(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pd.DataFrame]:
+    def counted(held: dict[tuple, tuple[Counter, Counter]]) -> Iterator[pd.DataFrame]:
         for key, (n, docs) in held.items():
-            terms = list(n)
-            out = {k: [v] * len(terms) for k, v in zip(keys, key)}
-            out |= {"digest": _signed([digest_of(t, bits) for t in terms]), "n": list(n.values()), "docs": [docs[t] for t in terms]}
-            if named:
-                out["term"] = [t.decode("utf-8", "surrogatepass") for t in terms]
+            terms = list(n or docs)
+            out = {k: np.full(len(terms), v, np.int64) for k, v in zip(keys, key)} | {"digest": digests_of(terms, bits)}
+            for name in wanted:
+                if name == "term":
+                    out[name] = [t.decode("utf-8", "surrogatepass") for t in terms]
+                else:
+                    of = n if name == "n" else docs
+                    out[name] = np.fromiter(map(of.__getitem__, terms), np.int64, len(terms))
             yield pd.DataFrame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,17 +67,20 @@ def _counted(takes: DataFrame, keys: list[str], bits: int, named: bool = False)
                 if not terms:
                     continue
                 n, docs = held.setdefault(key, (Counter(), Counter()))
-                before = len(n)
-                n.update(terms)
-                docs.update(set(terms))
-                size += len(n) - before
+                before = len(n) or len(docs)
+                if "n" in wanted:
+                    n.update(terms)
+                if "docs" in wanted or "n" not in wanted:
+                    docs.update(set(terms))
+                size += (len(n) or len(docs)) - before
                 if size >= HELD:
-                    yield from rows(held)
+                    yield from counted(held)
                     held, size = {}, 0
-        yield from rows(held)
+        yield from counted(held)
 
-    schema = ", ".join([*[f"{k} string" for k in keys], "digest bigint", "n bigint", "docs bigint", *(["term string"] if named else [])])
-    return small_batches(takes).select(*keys, "text").mapInPandas(run, schema)
+    kind = {"n": "bigint", "docs": "bigint", "term": "string"}
+    schema = ", ".join([*[f"{k} bigint" for k in keys], "digest bigint", *[f"{w} {kind[w]}" for w in wanted]])
+    return small_batches(rows).select(*keys, "text").mapInPandas(run, schema)
 
 
 def _among(rows: DataFrame, kept: DataFrame, on: list[str], few: bool) -> DataFrame:
@@ -158,11 +164,10 @@ def source_divergence(takes: DataFrame, least_takes: int = 10, top: int = 10, bi
     code = F.row_number().over(Window.partitionBy("language").orderBy("source_name"))
     groups = settle(groups.withColumn("code", code).join(langs, "language"))
 
-    named, counts, vocabulary = _kept_counts(rows, least_takes, bits)
-    counts = attach(counts, groups, ["language", "source_name"], F.col("digest"))
-    counts = settle(counts.select("lang_no", "code", "digest", "variant", "n"))
+    numbered = attach(rows, groups, ["language", "source_name"], F.length("text"))
+    named, counts, known = _kept_counts(numbered.select("lang_no", "code", "text"), least_takes, bits)
+    counts = settle(counts)
     sums = counts.groupBy("lang_no", "code").agg(F.sum("n").alias("total"), F.count("*").alias("used"))
-    known = vocabulary.join(langs, "language").select("lang_no", "vocabulary")
     stats = groups.join(sums, ["lang_no", "code"], "left").join(known, "lang_no", "left").fillna(0, ["total", "used", "vocabulary"])
     whole = F.sum("total").over(Window.partitionBy("lang_no"))
     some = F.col("vocabulary") > 0
@@ -179,40 +184,40 @@ def source_divergence(takes: DataFrame, least_takes: int = 10, top: int = 10, bi
 
 def _kept_counts(rows: DataFrame, least_takes: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Names of kept terms (digest, variant, term), their counts per source, and the size of each language's vocabulary."""
-    docs = _counted(rows, ["language"], bits).groupBy("language", "digest").agg(F.sum("docs").alias("docs"))
-    kept = settle(docs.where(F.col("docs") >= least_takes).select("language", "digest"))
+    docs = _counted(rows, ["lang_no"], bits, "docs").groupBy("lang_no", "digest").agg(F.sum("docs").alias("docs"))
+    kept = settle(docs.where(F.col("docs") >= least_takes).select("lang_no", "digest"))
     digests = kept.select("digest").distinct()
     few = kept.count() <= SMALL_DIGESTS
-    strings = _among(_counted(rows, [], bits, named=True), digests, ["digest"], few).select("digest", "term").distinct()
+    strings = _among(_counted(rows, [], bits, "term"), digests, ["digest"], few).distinct()
     names = settle(strings.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("other")))
-    of_source = lambda named=False: _among(_counted(rows, ["language", "source_name"], bits, named), kept, ["language", "digest"], few)
-    by = ["language", "source_name", "digest", "variant"]
+    of_source = lambda *wanted: _among(_counted(rows, ["lang_no", "code"], bits, *wanted), kept, ["lang_no", "digest"], few)
+    by = ["lang_no", "code", "digest", "variant"]
     split = names.where(F.col("term") != F.col("other")).select("digest")
     named = names.where(F.col("term") == F.col("other")).select("digest", F.lit(0).alias("variant"), "term")
     if split.isEmpty():
         kept = kept.withColumn("variant", F.lit(0))
-        counts = of_source().withColumn("variant", F.lit(0)).groupBy(*by).agg(F.sum("n").alias("n"))
+        counts = of_source("n").withColumn("variant", F.lit(0)).groupBy(*by).agg(F.sum("n").alias("n"))
     else:
         split = settle(split)
         several = split.count() <= SMALL_ROWS
-        exact = of_source(named=True).join(F.broadcast(split) if several else split, "digest", "left_semi")
-        exact = settle(exact.groupBy("language", "source_name", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+        exact = of_source("n", "docs", "term").join(F.broadcast(split) if several else split, "digest", "left_semi")
+        exact = settle(exact.groupBy("lang_no", "code", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
         # The strings of one digest: as many as meet in it by chance.
         number = F.row_number().over(Window.partitionBy("digest").orderBy("term"))
         apart = settle(exact.select("digest", "term").distinct().withColumn("variant", number))
         exact = exact.join(apart, ["digest", "term"])
-        again = exact.groupBy("language", "digest", "variant").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_takes)
-        again = again.select("language", "digest", "variant")
-        single = of_source().join(F.broadcast(split) if several else split, "digest", "left_anti").withColumn("variant", F.lit(0))
+        again = exact.groupBy("lang_no", "digest", "variant").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_takes)
+        again = again.select("lang_no", "digest", "variant")
+        single = of_source("n").join(F.broadcast(split) if several else split, "digest", "left_anti").withColumn("variant", F.lit(0))
         counts = single.groupBy(*by).agg(F.sum("n").alias("n"))
-        counts = counts.unionByName(exact.join(again, ["language", "digest", "variant"], "left_semi").select(*by, "n"))
+        counts = counts.unionByName(exact.join(again, ["lang_no", "digest", "variant"], "left_semi").select(*by, "n"))
         kept = kept.join(split, "digest", "left_anti").withColumn("variant", F.lit(0)).unionByName(again)
         named = named.unionByName(apart.select("digest", "variant", "term"))
-    return named, counts, kept.groupBy("language").agg(F.count("*").alias("vocabulary"))
+    return named, counts, kept.groupBy("lang_no").agg(F.count("*").alias("vocabulary"))
 
 
 def _pairs(used: DataFrame, stats: DataFrame) -> DataFrame:
-    both = used.select("lang_no", "digest", "variant", "code", "p", "p0").mapInPandas(_shared_terms, "lang_no int, a int, b int, value bigint")
+    both = used.select("lang_no", "digest", "variant", "code", "p", "p0").mapInPandas(_shared_terms, "lang_no bigint, a bigint, b bigint, value bigint")
     both = both.groupBy("lang_no", "a", "b").agg(F.sum("value").alias("both"))
     both = both.unionByName(both.select("lang_no", F.col("b").alias("a"), F.col("a").alias("b"), "both"))
     # What the terms of one source give against each other source's unused term.
