@@ -13,6 +13,7 @@ import base64
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -25,19 +26,30 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from cutlake.llm.common import others, small_batches
 
 #: A task encodes its waiting words when so many are new or so many characters wait, and forgets all words beyond REMEMBERED.
-NEW_WORDS, WAITING_CHARS, REMEMBERED = 100_000, 1 << 24, 500_000
+NEW_WORDS, WAITING_CHARS, REMEMBERED = 150_000, 1 << 24, 800_000
 #: Tokens a task decodes at once (a longer text by itself); words longer than LONG bytes take many pairs a step.
 DECODED, LONG = 1 << 20, 96
 
+#: Letters of all words in one order, so that neighbours are found without parting the rows by word.
 START = """
 with letters as (
   select w, pos, b.id as tok
-  from (select w, bytes, unnest(generate_series(1, octet_length(bytes))) as pos from fresh) s join single b on b.bytes = s.bytes[pos:pos]
-), pairs as (select w, pos, tok, lead(tok) over (partition by w order by pos) as nxt from letters)
+  from (
+    select w, (before_ + i)::int as pos, bytes[i:i] as letter
+    from (
+      select w, bytes, sum(octet_length(bytes)) over (order by w rows unbounded preceding) - octet_length(bytes) as before_,
+        unnest(generate_series(1, octet_length(bytes))) as i
+      from fresh
+    )
+  ) s join single b on b.bytes = letter
+), pairs as (
+  select w, pos, tok, case when lead(w) over near = w then lead(tok) over near end as nxt from letters window near as (order by pos)
+)
 select w, pos, tok, m from pairs left join merges on a = tok and b = nxt
 """
 
-#: k: rank of the pair a row opens, then its position, so that the smallest k of a word is the leftmost pair of the lowest rank.
+#: k: rank of the pair a row opens, then its position: no two rows have the same, and the smallest k of a word is the leftmost pair
+#: of the lowest rank.
 STEP = f"""
 with recursive state(w, pos, tok, k, done) as (
   select w, pos, tok, (m::bigint << 32) + pos, false from ({START})
@@ -48,12 +60,12 @@ with recursive state(w, pos, tok, k, done) as (
       case when is_pair then (least_k >> 32)::int else tok end as new_tok,
       case when is_pair then tok_2 when before_pair then (least_k >> 32)::int end as nxt
     from (
-      select *, coalesce(k = least_k, false) as is_pair, k_1 = least_k as before_pair, k_0 = least_k as gone
+      select s.w, pos, tok, k, least_k, coalesce(k = least_k, false) as is_pair, k_1 = least_k as before_pair, k_0 = least_k as gone,
+        case when w_2 = s.w then tok_2 end as tok_2
       from (
-        select w, pos, tok, k, min(k) over whole as least_k, lag(k) over near as k_0, lead(k) over near as k_1, lead(tok, 2) over near as tok_2
-        from state where not done
-        window near as (partition by w order by pos), whole as (partition by w order by pos rows between unbounded preceding and unbounded following)
-      )
+        select w, pos, tok, k, lag(k) over near as k_0, lead(k) over near as k_1, lead(tok, 2) over near as tok_2, lead(w, 2) over near as w_2
+        from state where not done window near as (order by pos)
+      ) s join (select w, min(k) as least_k from state where not done group by w) l on l.w = s.w
     ) where gone is not true
   ) left join merges on is_new and a = new_tok and b = nxt
 )
@@ -118,6 +130,13 @@ class BytePairs:
             join tokens l on l.bytes = s.bytes[1:cut] join tokens r on r.bytes = s.bytes[cut + 1:]""")
         self.whole = {t: np.int32(r).tobytes() for t, r in rows}
         self.ids = {r for _, r in rows}
+        self.forget()
+
+    def forget(self) -> None:
+        """Words this worker has met, each with its number, and the ids of those that are encoded, by number."""
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.codes: list[bytes] = []
 
     def run(self, sql: str, **tables: pa.Table):
         for name, table in tables.items():
@@ -167,49 +186,48 @@ def compiled(ranks_path: str, pattern: str) -> BytePairs:
 def _encoder(ranks_path: str, pattern: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = compiled(ranks_path, pattern)
-        number: defaultdict[str, int] = defaultdict()  # of each remembered word: its place in the order they were met
-        number.default_factory = number.__len__
-        codes: list[bytes] = []  # ids of the words that are encoded, by number
+        if len(bpe.codes) < len(bpe.number):
+            bpe.forget()  # a task ended before its words were encoded
         waiting: list[tuple[pd.DataFrame, list[np.ndarray]]] = []
         chars = 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            codes.extend(bpe.encode(list(number)[len(codes) :]))
+            codes = bpe.codes
+            codes.extend(bpe.encode(list(islice(bpe.number, len(codes), None))))
             for rows, texts in waiting:
                 packed = [b"".join([codes[i] for i in t.tolist()]) for t in texts]
                 yield rows.assign(packed_ids=packed, n_tokens=[len(p) // 4 for p in packed])
+            if len(codes) > REMEMBERED:
+                bpe.forget()
 
         for batch in batches:
             texts = []
-            for text in batch["text"]:
+            for text in batch.pop("text"):
                 text = text or ""
                 chars += len(text)
                 words = bpe.pattern.findall(text)
-                texts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                texts.append(np.fromiter(map(bpe.number.__getitem__, words), np.int32, len(words)))
             waiting.append((batch, texts))
-            if len(number) - len(codes) >= NEW_WORDS or chars >= WAITING_CHARS:
+            if len(bpe.number) - len(bpe.codes) >= NEW_WORDS or chars >= WAITING_CHARS:
                 yield from flush()
                 waiting, chars = [], 0
-                if len(number) > REMEMBERED:
-                    number.clear()
-                    codes.clear()
         yield from flush()
 
     return run
 
 
 def encode_takes(takes: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``takes`` with ``packed_ids`` (binary: the token ids as little-endian 32-bit integers) and ``n_tokens`` of each whole text.
+    """The token ids of each whole text: ``packed_ids`` (binary, little-endian 32-bit integers) and ``n_tokens``.
 
-    ``takes``: text and any further columns, which pass through (unless named like a result). ``ranks_path``: a file of
+    ``takes``: text and any further columns, which pass through (unless named like a result); texts are not returned. ``ranks_path``: a file of
     base64 tokens and their ranks, which every executor can read; ``pattern``: what counts as a word of its own, each
     match encoded separately. Special tokens spelled out in a text are ordinary text. Null and empty texts have no
-    tokens; repeated rows come out each; no takes, no rows. Texts may be of any length: words are encoded once per
-    task while it remembers them, and memory grows with the longest single word only.
+    tokens; repeated rows come out each; no takes, no rows. Texts may be of any length: a worker encodes a word once while
+    it remembers it, and memory grows with the longest single word only.
     """
     rest = others(takes, ["text"], ["packed_ids", "n_tokens"])
     rows = small_batches(takes).select("text", *rest)
-    schema = StructType([*rows.schema.fields, StructField("packed_ids", BinaryType()), StructField("n_tokens", LongType())])
+    schema = StructType([*rows.drop("text").schema.fields, StructField("packed_ids", BinaryType()), StructField("n_tokens", LongType())])
     return rows.mapInPandas(_encoder(ranks_path, pattern), schema)
 
 

@@ -97,12 +97,12 @@ def test_byte_pairs_equal_the_library_and_come_back(spark, library):
     letters = "aabcdeeinrst  ér漢字😀01'#.\n\t  ́"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 200))) for _ in range(400)]
     texts += [None, "", " ", "  \n", "<|endoftext|>", "don't we'll", "a" * 5000, "ab" * 300 + "漢" * 500, "x" * 40_000, "\x00\x7f", "word " * 20_000]
-    takes = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "take_id bigint, text string").selectExpr("*", "7 as Packed_ids", "'x' as decoded", "'y' as doc")
+    takes = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "take_id bigint, text string").selectExpr("*", "7 as Packed_ids", "'x' as decoded", "'y' as doc", "text as said")
     coded = byte_pairs.encode_takes(takes, BYTE_PAIRS, pattern)
     out = byte_pairs.decode_takes(coded, BYTE_PAIRS, pattern).collect()
     assert sorted(r.take_id for r in out) == list(range(2 * len(texts)))
     for r in out:
-        text = r.text or ""
+        text = r.said or ""
         assert np.frombuffer(r.packed_ids, "<u4").tolist() == encoding.encode_ordinary(text), text[:80]
         assert r.n_tokens == len(r.packed_ids) // 4 and bytes(r.decoded) == text.encode() and r.doc == "y"
     assert byte_pairs.encode_takes(takes.limit(0), BYTE_PAIRS, pattern).count() == 0
@@ -132,10 +132,10 @@ def test_words_are_forgotten_between_portions(library, monkeypatch):
     monkeypatch.setattr(byte_pairs, "NEW_WORDS", 3)
     monkeypatch.setattr(byte_pairs, "REMEMBERED", 5)
     texts = [f"unusualword{i % 7} again{i % 3}" for i in range(40)]
-    batches = [pd.DataFrame({"text": texts[i : i + 4]}) for i in range(0, 40, 4)]
+    batches = [pd.DataFrame({"text": texts[i : i + 4], "said": texts[i : i + 4]}) for i in range(0, 40, 4)]
     out = pd.concat(list(byte_pairs._encoder(BYTE_PAIRS, pattern)(iter(batches))))
-    assert [np.frombuffer(p, "<u4").tolist() for p in out.packed_ids] == [encoding.encode_ordinary(t) for t in out.text]
-    assert sorted(out.text) == sorted(texts)
+    assert [np.frombuffer(p, "<u4").tolist() for p in out.packed_ids] == [encoding.encode_ordinary(t) for t in out.said]
+    assert sorted(out.said) == sorted(texts)
 
 
 # --------------------------------------------------------------- spelling
