@@ -225,55 +225,41 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], chunk: Column) -> D
     return base.join(per_chunk, [*keys, CHUNK]).drop(CHUNK)
 
 
-CELLS = 256
+#: Cells for values from one power of two to the next.
+CELLS = 1024
 
 
-def _celled(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``counts`` (keys, value, __c) with the key's number of rows ``__n`` and a ``__cell`` that grows with the value.
-
-    Cell edges are approximate quantiles of the key's different values, so cells are about equally deep.
-    """
-    steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    stats = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.percentile_approx(F.col(value).cast("double"), steps, F.lit(4 * CELLS)).alias("__edges"))
-    out = attach(counts, stats, keys, F.pmod(F.xxhash64(value), F.lit(64)))
-    at = F.size(F.filter(F.array_distinct("__edges"), lambda e: e < F.col(value).cast("double"))).cast("bigint")
-    return out.withColumn("__cell", at).drop("__edges")
+def cell_of(value: str | Column) -> Column:
+    """A number that never falls as the value grows: cells are as wide as a share of the value, so neither another
+    value of the key nor a far outlier changes one, and nothing about a key has to be known beforehand."""
+    v = col(value).cast("double")
+    size = F.floor((F.log2(F.abs(v)) + 1100) * CELLS)
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
 
-def pick_ranks(df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
+def pick_ranks(df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], dict[str, Column]], size: str | None = None) -> DataFrame:
     """Exact order statistics: the values at given 0-based ranks of each key's sorted list.
 
-    ``ranks(n)`` returns name → rank expressions. Values are counted per (key, value) first, then cells of about equally
-    many different values per key find where every rank lies, and only those cells are sorted. However the values are
-    spread, no task holds a whole key.
+    ``ranks(n)`` returns name → rank expressions; ``size`` names a column for n itself. Values are counted per (key, value)
+    first; the counts of cells (:func:`cell_of`) say in which one every rank lies, and only those cells are sorted. However
+    the values are spread, no task holds a whole key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    celled = _celled(counts, keys, value)
-    cells = celled.groupBy(*keys, "__n", "__cell").agg(F.sum("__c").alias("__w"))
-    upto = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = cells.withColumn("__end", F.sum("__w").over(upto))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")).withColumn("__cell", cell_of(value))
+    cells = counts.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__w"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumns({"__n": F.sum("__w").over(whole), "__end": F.sum("__w").over(upto)})
     wanted = ranks(F.col("__n"))
-    targets = F.array(*[F.struct(F.lit(n).alias("name"), r.cast("bigint").alias("rank")) for n, r in wanted.items()])
-    hits = (
-        cells.withColumn("__t", F.explode(targets))
-        .where((F.col("__t.rank") < F.col("__end")) & (F.col("__t.rank") >= F.col("__end") - F.col("__w")))
-        .groupBy(*keys, "__cell")
-        .agg(
-            F.first(F.col("__end") - F.col("__w")).alias("__base"),
-            F.collect_list("__t").alias("__targets"),
-        )
-    )
-    inside = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (
-        celled.select(*keys, "__cell", value, "__c")
-        .join(hits, [*keys, "__cell"])
-        .withColumn("__upto", F.col("__base") + F.sum("__c").over(inside))
-        .withColumn("__t", F.explode("__targets"))
-        .where((F.col("__t.rank") < F.col("__upto")) & (F.col("__t.rank") >= F.col("__upto") - F.col("__c")))
-    )
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__t.name") == n, F.col(value))).alias(n) for n in wanted]
-    )
+    base = F.col("__end") - F.col("__w")
+    inside = [(r.cast("bigint") >= base) & (r.cast("bigint") < F.col("__end")) for r in wanted.values()]
+    hits = cells.withColumns({f"__r_{n}": F.when(here, r.cast("bigint") - base) for here, (n, r) in zip(inside, wanted.items())})
+    asked = [f"__r_{n}" for n in wanted]
+    hits = hits.where(F.coalesce(*asked).isNotNull()).select(*keys, "__cell", "__n", *asked)
+    order = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = counts.join(hits, [*keys, "__cell"]).withColumn("__upto", F.sum("__c").over(order))
+    here = lambda n: (F.col(f"__r_{n}") < F.col("__upto")) & (F.col(f"__r_{n}") >= F.col("__upto") - F.col("__c"))
+    more = [F.max("__n").alias(size)] if size else []
+    return found.groupBy(*keys).agg(*[F.max(F.when(here(n), F.col(value))).alias(n) for n in wanted], *more)
 
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:
@@ -291,15 +277,13 @@ def linear_percentiles(df: DataFrame, keys: list[str], value: str, **quantiles:
     """Linearly interpolated percentiles per key."""
 
     def ranks(n: Column) -> dict[str, Column]:
-        out = {"__n": n - 1}
+        out = {}
         for name, q in quantiles.items():
             out[f"__f_{name}"] = F.floor(F.lit(q) * (n - 1))
             out[f"__c_{name}"] = F.ceil(F.lit(q) * (n - 1))
         return out
 
-    picked = pick_ranks(df, keys, value, ranks)
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__size"))
-    both = picked.join(sizes, keys)
+    both = pick_ranks(df, keys, value, ranks, "__size")
     cols = []
     for name, q in quantiles.items():
         at = F.lit(q) * (F.col("__size") - 1)
@@ -311,11 +295,10 @@ def linear_percentiles(df: DataFrame, keys: list[str], value: str, **quantiles:
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Average rank of ties scaled to 0..1; a key with a single row gets 0.5.
 
-    The ranking runs over the distinct values of a key, in cells of about equally many; the result joins back on
-    (key, value).
+    The ranking runs over the distinct values of a key, cell by cell; the result joins back on (key, value).
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    ranked = scan(_celled(counts, keys, value), keys, [value], F.col("__cell"), __upto=running_sum("__c"))
+    ranked = scan(counts, keys, [value], cell_of(value), __upto=running_sum("__c"), __n=total("__c"))
     scaled = (F.col("__upto") - F.col("__c") + F.col("__upto") - 1) / 2 / (F.col("__n") - 1)
     table = ranked.select(*keys, value, F.when(F.col("__n") > 1, scaled).otherwise(0.5).alias(name))
     return df.join(table, [*keys, value])

@@ -14,6 +14,7 @@ from cutlake.functions.greedy import first_free, spaced_picks
 from cutlake.functions.ordered import following, max_before, previous, row_index, running_sum, scan, sorted_groups
 from cutlake.functions.staging import settle
 from cutlake.functions.text import levenshtein_ratio, normalize, prefix_matches, words
+from cutlake.operators.footage import near_duplicates
 
 # Thresholds, weights, word lists and keyword tables.
 HERO_FLOOR, HERO_BONUS = 0.5, 0.2
@@ -575,19 +576,17 @@ def select_moments(moments: DataFrame, k: int, project: str = "project", bits: i
     heads = rest.where(F.col("phash") != 0).groupBy(project, "phash").agg(F.min(place).alias("p")).select(project, F.col("p.d").alias("mid"))
     pool = rest.where(F.col("phash") == 0).select(project, "mid").unionByName(heads)
     pool = settle(rest.join(pool, [project, "mid"], "left_semi"))
-    # Pictures meet on bands of their hash: within ``bits`` differences at least one of ``bits + 1`` bands is equal.
     rows = pool.select(project, "mid", "phash", F.struct(F.lit(1).alias("t"), *[place.getField(n).alias(n) for n in "abcd"]).alias("place"))
     begun = first.select(project, "mid", "phash", F.struct(F.lit(0).alias("t"), F.col("pick").cast("double").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("c"), F.col("mid").alias("d")).alias("place"))
     seen = settle(rows.unionByName(begun).where(F.col("phash") != 0))
-    cut = [round(64 * n / (bits + 1)) for n in range(bits + 2)]
-    bands = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.shiftrightunsigned(F.col("phash"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for n, (lo, hi) in enumerate(zip(cut, cut[1:]))
-    ])
-    banded = seen.select("*", F.explode(bands).alias("band"))
-    left = banded.select(project, "band", F.col("mid").alias("a"), F.col("place").alias("pa"), F.col("phash").alias("ha"))
-    right = banded.select(project, "band", F.col("mid").alias("b"), F.col("place").alias("pb"), F.col("phash").alias("hb"))
-    near = left.join(right, [project, "band"]).where((F.col("pa") < F.col("pb")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits))
-    taken = first_free(pool.select(project, "mid"), near.where("pb.t = 1").select(project, "a", "b").distinct(), first.select(project, "mid"), [project])
+    # Hashes meet on two equal bands of eight, so pairs grow with the links there are; a chosen picture also rules out its own copies.
+    alike = near_duplicates(seen, bits, [project]).select(project, "a_hash", "b_hash")
+    alike = alike.unionByName(alike.select(project, F.col("b_hash").alias("a_hash"), F.col("a_hash").alias("b_hash")))
+    own = seen.where("place.t = 0").select(project, F.col("phash").alias("a_hash"), F.col("phash").alias("b_hash")).distinct()
+    left = seen.select(project, F.col("phash").alias("a_hash"), F.col("mid").alias("a"), F.col("place").alias("pa"))
+    right = seen.where("place.t = 1").select(project, F.col("phash").alias("b_hash"), F.col("mid").alias("b"), F.col("place").alias("pb"))
+    near = alike.unionByName(own).join(left, [project, "a_hash"]).join(right, [project, "b_hash"]).where(F.col("pa") < F.col("pb"))
+    taken = first_free(pool.select(project, "mid"), near.select(project, "a", "b").distinct(), first.select(project, "mid"), [project])
     have = first.groupBy(project).agg(F.count("*").alias("__have"))
     nth = F.row_number().over(Window.partitionBy(project).orderBy(*order))
     more = pool.join(taken, [project, "mid"], "left_semi").join(have, project).withColumn("pick", nth).where(F.col("pick") <= k)

@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
+from cutlake.functions import ordered
 from cutlake.functions.greedy import first_free
 from cutlake.functions.ordered import global_ranks, linear_percentiles, mid_ranks
 from cutlake.operators import footage
@@ -94,3 +98,21 @@ def test_ranks_of_a_hot_key_with_an_outlier(spark):
     assert abs(ranks[v] - (first + last) / 2 / 4000) < 1e-12
     numbered = {r.i: r.n for r in global_ranks(spark.range(1000).selectExpr("id as i", "id % 7 as g").repartition(5), [F.desc("g"), F.asc("i")], "n").collect()}
     assert [i for i, _ in sorted(numbered.items(), key=lambda x: x[1])] == sorted(range(1000), key=lambda i: (-(i % 7), i))
+
+
+def test_ranks_of_values_of_every_size(spark):
+    rng = random.Random(15)
+    pool = [0.0, -0.0, 5e-324, -5e-324, 1.0, 1.0 + 2**-52, 1.7e9, 1.7e9 + 1e-6, -1e300, 1e300, -3.5] + [rng.gauss(0, 10) ** 5 for _ in range(60)]
+    rows = [(k, rng.choice(pool)) for k in ("a", "b", "c") for _ in range({"a": 500, "b": 7, "c": 1}[k])] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    by = {k: sorted(v for c, v in rows if c == k and v is not None) for k in "abc"}
+    got = ordered.pick_ranks(df, ["k"], "v", lambda n: {"first": n * 0, "third": F.floor(n / 3), "last": n - 1}, "size").collect()
+    assert {(r.k, r.first, r.third, r.last, r.size) for r in got} == {(k, v[0], v[len(v) // 3], v[-1], len(v)) for k, v in by.items()}
+    for r in ordered.linear_percentiles(df, ["k"], "v", p=0.3).collect():
+        assert r.p == pytest.approx(float(np.percentile(by[r.k], 30)), rel=1e-12)
+    ranks = ordered.mid_ranks(df.where("v is not null"), ["k"], "v", "r").collect()
+    for r in ranks:
+        below, same, n = sum(x < r.v for x in by[r.k]), sum(x == r.v for x in by[r.k]), len(by[r.k])
+        assert r.r == pytest.approx(0.5 if n == 1 else (below + below + same - 1) / 2 / (n - 1))
+    cells = spark.createDataFrame([(v,) for v in sorted(pool)], "v double").select("v", ordered.cell_of("v").alias("c")).orderBy("v").collect()
+    assert all(x.c <= y.c for x, y in zip(cells, cells[1:]))
