@@ -77,9 +77,15 @@ def inventory(moments: DataFrame) -> DataFrame:
     return moments.withColumn("clip", basename("clip_path")).withColumn("motion", motion_magnitude())
 
 
-def pool_ranks(moments: DataFrame) -> DataFrame:
-    """Position of every moment in the pool order (score desc, path, start), without one sorting task."""
-    return global_ranks(moments, [F.desc("score"), F.asc("clip_path"), F.asc("start_s"), F.asc("mid")], "pool_rank")
+def pool_ranks(moments: DataFrame, project: str | None = None) -> DataFrame:
+    """Position of every moment in the pool order (score desc, path, start), without one sorting task; per ``project`` where one is named."""
+    order = [F.desc("score"), F.asc("clip_path"), F.asc("start_s"), F.asc("mid")]
+    if project is None:
+        return global_ranks(moments, order, "pool_rank")
+    ranked = global_ranks(moments, [F.asc(project), *order], "pool_rank")
+    first = ranked.groupBy(project).agg(F.min("pool_rank").alias("__first"))
+    ranked = attach(ranked, first, [project], F.floor(F.col("pool_rank") / 4096))
+    return ranked.withColumn("pool_rank", F.col("pool_rank") - F.col("__first") + 1).drop("__first")
 
 
 def daylight_targets(slots: DataFrame, moments: DataFrame) -> DataFrame:
@@ -102,17 +108,36 @@ def daylight_targets(slots: DataFrame, moments: DataFrame) -> DataFrame:
     return rows.where(length > EPS).select(PLAN, "slot", target.alias("daylight_target"))
 
 
-def slot_candidates(slots: DataFrame, moments: DataFrame, window: int = 4, k: int = 4, size_bonus: dict[tuple[str, str], float] | None = None) -> DataFrame:
+#: Copies of a pool position when the pool is too long to be broadcast, and up to how many rows it is.
+POOL_COPIES, SMALL_POOL = 64, 200_000
+
+
+def slot_candidates(
+    slots: DataFrame, moments: DataFrame, window: int = 4, k: int = 4, size_bonus: dict[tuple[str, str], float] | None = None, project: str | None = None,
+) -> DataFrame:
     """Rank the moments of each slot's stretch of the pool order by the terms that need no earlier choice.
 
     Slot s looks at pool positions s+1 … s+window, as every slot before it takes one. ``slots`` needs
-    (phase, energy, daylight_target, slots); ``moments`` needs a motion magnitude. The join is on the position.
+    (phase, energy, daylight_target, slots); ``moments`` needs a motion magnitude. ``project`` names a column of both: every
+    project has its own pool. All plans look at the first positions and none beyond its length, so only positions
+    within the longest plan's reach take part; they are broadcast while they are few, else each lies in ``POOL_COPIES``
+    copies among which the plans are dealt.
     """
-    peak = moments.agg(F.max("motion").alias("__peak"))
-    pool = pool_ranks(moments).join(F.broadcast(peak))  # one row
-    pool = pool.withColumn("__norm", F.when(F.col("__peak") > EPS, F.col("motion") / F.col("__peak")))
+    keys = [project] if project else []
+    peak = moments.groupBy(*keys).agg(F.max("motion").alias("__peak"))
+    deep = slots.groupBy(*keys).agg((F.max("slot") + window).alias("__deep"))
+    if project:
+        pool = attach(pool_ranks(moments, project), peak.join(deep, project), keys, F.floor(F.col("pool_rank") / 4096))
+    else:
+        pool = pool_ranks(moments).join(F.broadcast(peak)).join(F.broadcast(deep))  # one row each
+    pool = pool.where(F.col("pool_rank") <= F.col("__deep")).drop("__deep")
+    pool = settle(pool.withColumn("__norm", F.when(F.col("__peak") > EPS, F.col("motion") / F.col("__peak"))))
     looks = slots.withColumn("__pos", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("pool_rank", F.col("slot") + 1 + F.col("__pos"))
-    rows = looks.join(pool, "pool_rank")
+    if pool.count() <= SMALL_POOL:
+        rows = looks.join(F.broadcast(pool), [*keys, "pool_rank"])
+    else:
+        copies = pool.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(POOL_COPIES - 1))))
+        rows = looks.withColumn("__copy", F.pmod(F.xxhash64(PLAN), F.lit(POOL_COPIES)).cast("int")).join(copies, [*keys, "pool_rank", "__copy"]).drop("__copy")
     wanted = F.array_compact(F.array(
         F.when((F.col("slot") == 0) & ~F.coalesce(F.col("phase") == "hook", F.lit(False)), F.lit("opener")),
         F.when(F.col("slot") == F.col("slots") - 1, F.lit("closer")),

@@ -65,17 +65,7 @@ def _moving(t):
     return t.moments.withColumn("motion", F.col("mid") % 17 / 2.0)
 
 
-@query("slot_candidates", oracle("b_entries b_moments", PLAN_CTES + "," + DAY + """,
-rk as (select *, mid % 17 / 2e0 as motion, row_number() over (order by score desc, clip_path, start_s, mid) as r from b_moments),
-sl as (select e.plan_id, e.slot, slots, daylight_target, case when record_start / duration < 15e-2 then 'opening' when record_start / duration < 5e-1 then 'build' when record_start / duration < 7e-1 then 'climax' else 'outro' end as phase, score / 1e1 as energy
-  from b_entries e join og on og.plan_id = e.plan_id join plans p on p.plan_id = e.plan_id join dt on dt.plan_id = e.plan_id and dt.slot = e.slot),
-cd as (select plan_id, slot, mid, k, 7e-1 * (1 - k / 4e0) + 2e-1 * (1 - abs(energy - motion / (select max(motion) from rk)))
-  + case when role <> '' and (role = case phase when 'opening' then 'opener' when 'build' then 'build' when 'climax' then 'climax' else 'closer' end or (slot = 0 and role = 'opener') or (slot = slots - 1 and role = 'closer')) then 2e-1 else 0 end
-  + case when phase = 'climax' then 5e-1 * hero else 0 end + case when daylight <> '' and daylight = daylight_target then 1e-1 else 0 end + case when phase = 'climax' and shot_size = 'close' then 8e-2 else 0 end as v
-  from sl cross join range(4) x(k) join rk on rk.r = slot + 1 + k)
-select plan_id, slot, row_number() over (partition by plan_id, slot order by round(v, 9) desc, k) as choice, mid, round(v, 6) as value from cd
-"""))
-def slot_candidates(t):
+def _slots_and_pool(t):
     p = P(t)
     at = F.col("record_start") / F.col("duration")
     slots = p.entries.join(p.plans.select("plan_id", "duration", (F.col("beats") / 2).cast("bigint").alias("slots")), "plan_id")
@@ -85,7 +75,33 @@ def slot_candidates(t):
         F.when(at < 0.15, "opening").when(at < 0.5, "build").when(at < 0.7, "climax").otherwise("outro").alias("phase"),
     )
     moments = _moving(t).select("clip_path", "mid", "start_s", "score", "motion", "role", "hero", "daylight", "shot_size")
-    return rounded(sc.slot_candidates(slots, moments, size_bonus={("climax", "close"): 0.08}))
+    return slots, moments
+
+
+CANDIDATES = """,
+rk as (select *, mid % 17 / 2e0 as motion, row_number() over (order by score desc, clip_path, start_s, mid) as r from b_moments),
+sl as (select e.plan_id, e.slot, slots, daylight_target, case when record_start / duration < 15e-2 then 'opening' when record_start / duration < 5e-1 then 'build' when record_start / duration < 7e-1 then 'climax' else 'outro' end as phase, score / 1e1 as energy
+  from b_entries e join og on og.plan_id = e.plan_id join plans p on p.plan_id = e.plan_id join dt on dt.plan_id = e.plan_id and dt.slot = e.slot),
+cd as (select plan_id, slot, mid, k, 7e-1 * (1 - k / 4e0) + 2e-1 * (1 - abs(energy - motion / (select max(motion) from rk)))
+  + case when role <> '' and (role = case phase when 'opening' then 'opener' when 'build' then 'build' when 'climax' then 'climax' else 'closer' end or (slot = 0 and role = 'opener') or (slot = slots - 1 and role = 'closer')) then 2e-1 else 0 end
+  + case when phase = 'climax' then 5e-1 * hero else 0 end + case when daylight <> '' and daylight = daylight_target then 1e-1 else 0 end + case when phase = 'climax' and shot_size = 'close' then 8e-2 else 0 end as v
+  from sl cross join range(4) x(k) join rk on rk.r = slot + 1 + k)
+select plan_id, slot, row_number() over (partition by plan_id, slot order by round(v, 9) desc, k) as choice, mid, round(v, 6) as value from cd
+"""
+
+
+@query("slot_candidates", oracle("b_entries b_moments", PLAN_CTES + "," + DAY + CANDIDATES))
+def slot_candidates(t):
+    return rounded(sc.slot_candidates(*_slots_and_pool(t), size_bonus={("climax", "close"): 0.08}))
+
+
+@query("project_candidates", oracle("b_entries b_moments", PLAN_CTES + "," + DAY + CANDIDATES.replace("over (order by score", "over (partition by mid % 5 order by score")
+       .replace("from rk))", "from rk m where m.mid % 5 = plan_id % 5))").replace("rk.r = slot + 1 + k", "rk.r = slot + 1 + k and rk.mid % 5 = plan_id % 5")))
+def project_candidates(t):
+    """Five projects, each with its plans and its pool."""
+    slots, moments = _slots_and_pool(t)
+    slots, moments = slots.withColumn("project", F.col("plan_id") % 5), moments.withColumn("project", F.col("mid") % 5)
+    return rounded(sc.slot_candidates(slots, moments, size_bonus={("climax", "close"): 0.08}, project="project"))
 
 
 LOOK = PLAN_CTES + "," + MATCH + """,
