@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from cutlake.functions.staging import settle
 from cutlake.llm.common import others, small_batches
@@ -282,8 +282,8 @@ def _first_rows(rows: DataFrame, rest: list[str], grouped: DataFrame) -> DataFra
     first = F.struct(F.col("first_id"), F.col("value"))
     order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("value"))
     kept = grouped.groupBy("root").agg(F.min_by(first, order).alias("f"))
-    # One key for ids and null alike: the join and the grouping after it share one shuffle of the texts.
-    key = lambda take_id: F.coalesce(F.concat(F.lit("="), F.col(take_id).cast("string")), F.lit("null")).alias("__key")
+    # The join and the grouping after it share one shuffle of the texts.
+    key = lambda take_id: _key_of(take_id).alias("__key")
     kept = kept.select(key("f.first_id"), F.col("f.value").alias("fingerprint"))
     row = F.struct("text", *rest)
     same = ["__key", "fingerprint"]
@@ -292,10 +292,17 @@ def _first_rows(rows: DataFrame, rest: list[str], grouped: DataFrame) -> DataFra
     return one.select("take_id", "r.*")
 
 
-#: Min-hashes of one key, and keys of a text: two texts of Jaccard similarity 0.8 share a key with probability 0.9998.
-BAND, BANDS = 4, 16
-_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (BAND * BANDS, 1), dtype=np.uint64)
-SKETCH = StructType().add("fingerprint", LongType()).add("keys", ArrayType(LongType()))
+#: Min-hashes of a text, and of one band: two texts of Jaccard similarity 0.8 share a band of four with probability 0.9998.
+HASHES, BAND = 64, 4
+BANDS = HASHES // BAND
+#: Bands so far apart at most make a finer key together. Five equal bands of sixteen always hold such a pair.
+APART = 3
+#: Texts of a key that all meet each other.
+FEW = 8
+_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64)
+#: Equal min-hashes of a pair that is surely similar or surely not: at 0.79 so many are equal once in 20,000, at 0.8 so few once in a million.
+SURE, HOPELESS = 62, 36
+SKETCH = StructType().add("fingerprint", LongType()).add("sketch", BinaryType())
 
 
 def shingles_of(text: str | None, shingle: int) -> np.ndarray:
@@ -304,28 +311,46 @@ def shingles_of(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(tokens_of(words, min(shingle, len(words)) or 1))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key for each ``BAND`` min-hashes of a set, none for an empty one."""
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """16 bits of each min-hash of a set; nothing for an empty one."""
     if not len(shingles):
-        return np.zeros(0, np.int64)
-    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64)
+        return b""
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 4096):
         x = (shingles[None, at : at + 4096] ^ _SEEDS) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * (_SEEDS | np.uint64(1))
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND))], np.uint64).view(np.int64)
+    # The lowest min-hashes have zeros on top: the bits are mixed once more.
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def _sketch(shingle: int):
     @F.pandas_udf(SKETCH)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [(node_of(words_of(t))[0], band_keys(shingles_of(t, shingle)).tolist()) for t in texts]
-            yield pd.DataFrame(rows, columns=["fingerprint", "keys"])
+            rows = [(node_of(words_of(t))[0], sketch_of(shingles_of(t, shingle))) for t in texts]
+            yield pd.DataFrame(rows, columns=["fingerprint", "sketch"])
 
     return of
 
 
+@F.pandas_udf(IntegerType())
+def _equal_hashes(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(s), "<u2").reshape(-1, HASHES) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1), dtype="int32")
+
+
+def band_keys() -> Column:
+    """One key for each band of ``sketch``."""
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * BAND * k + 1, 2 * BAND)) for k in range(BANDS)])
+
+
+def finer_keys() -> Column:
+    """One key for each two bands close to each other."""
+    band = lambda k: F.substring("sketch", 2 * BAND * (k % BANDS) + 1, 2 * BAND)
+    return F.array(*[F.xxhash64(F.lit(k), F.lit(d), band(k), band(k + d)) for k in range(BANDS) for d in range(1, APART + 1)])
+
+
 def _similar(shingle: int, similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, its = None, None
@@ -342,45 +367,68 @@ def _similar(shingle: int, similarity: float):
     return run
 
 
-def similar_links(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (``a``, ``b``) between fingerprints of texts whose shingle sets have at least this Jaccard similarity, each confirmed on the texts.
+def _key_of(take_id: str) -> Column:
+    """One key for ids and null alike."""
+    return F.coalesce(F.concat(F.lit("="), F.col(take_id).cast("string")), F.lit("null"))
+
 
-    ``rows``: fingerprint (equal for texts equal word by word), keys, text. The texts of a key meet its first one; if some are not similar to it, all
-    texts of the key meet the first of those, then those of more and more parts of what is left (four times as many each round), until each
-    text is linked to one of its key or has met all the others.
+def similar_links(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) between fingerprints of texts whose shingle sets have at least this Jaccard similarity.
+
+    ``rows``: take_id, fingerprint (equal for texts equal word by word), sketch, text; ``nodes``: each fingerprint as value with its
+    first_id. Up to ``FEW`` texts of a band's key meet each other, more of them the first one. Where some are not similar to that, all
+    texts of the key meet once more by finer keys, of two bands: pairs grow with keys, however many texts a key has.
+    Sketches decide most pairs; the others are confirmed on their texts, which are fetched for them alone.
     """
-    members = rows.groupBy("fingerprint").agg(F.first("keys").alias("keys")).select(F.col("fingerprint").alias("a"), F.explode("keys").alias("key"))
-    members = settle(members)
-    shared = members.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
-    members = settle(members.join(shared, "key"))
-    wanted = members.select(F.col("a").alias("fingerprint")).distinct()
-    texts = settle(rows.select("fingerprint", "text").join(wanted, "fingerprint").groupBy(F.col("fingerprint").alias("a")).agg(F.first("text").alias("text")))
+    sketches = rows.groupBy(F.col("fingerprint").alias("a")).agg(F.first("sketch").alias("sketch")).where(F.length("sketch") > 0)
+    sketches = settle(sketches)
+
+    def meetings(members: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
+        """Pairs (key, a, b): all of a key of few texts, and those with the first text of a crowded key."""
+        keyed = members.select("a", F.explode(keys).alias("key"))
+        sizes = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+        met = settle(keyed.join(sizes, "key"))
+        few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("a")).alias("all"))
+        few = few.select("key", "all", F.explode("all").alias("b")).select("key", F.explode(F.filter("all", lambda x: x > F.col("b"))).alias("a"), "b")
+        crowded = met.where((F.col("n") > FEW) & (F.col("a") != F.col("b"))).select("key", "a", "b")
+        return few.select("a", "b"), crowded
+
+    few, crowded = meetings(sketches, band_keys())
+    met = settle(few.unionByName(crowded.select("a", "b")).distinct())
+    near = _confirmed(met, sketches, rows, nodes, shingle, similarity)
+    apart = crowded.join(near, ["a", "b"], "left_anti").select("key").distinct()
+    unlike = crowded.join(apart, "key", "left_semi")
+    again = unlike.select("a").unionByName(unlike.select(F.col("b").alias("a"))).distinct()
+    few, crowded = meetings(sketches.join(again, "a", "left_semi"), finer_keys())
+    finer = few.unionByName(crowded.select("a", "b")).distinct().join(met, ["a", "b"], "left_anti")
+    return near.unionByName(_confirmed(finer, sketches, rows, nodes, shingle, similarity))
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    other = sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other"))
+    judged = settle(pairs.join(sketches, "a").join(other, "b").select("a", "b", _equal_hashes("sketch", "other").alias("equal")))
+    # The limits are those of 0.8; they shift with another threshold.
+    shift = round((similarity - 0.8) * HASHES)
+    open_ = judged.where((F.col("equal") >= HOPELESS + shift) & (F.col("equal") < SURE))
+    needed = open_.select(F.col("a").alias("value")).unionByName(open_.select(F.col("b").alias("value"))).distinct()
+    # Of the rows of one fingerprint the first is wanted only, so copies never meet in one task.
+    first = needed.join(nodes, "value").select(F.col("value").alias("fingerprint"), _key_of("first_id").alias("__key"))
+    texts = rows.select("fingerprint", _key_of("take_id").alias("__key"), "text").join(first, ["fingerprint", "__key"], "left_semi")
+    texts = settle(texts.groupBy(F.col("fingerprint").alias("a")).agg(F.first("text").alias("text")))
     there = texts.select(F.col("a").alias("b"), F.col("text").alias("other_text"))
-    left, parts, known = members, 1, None
-    while True:
-        heads = left.groupBy("key", F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part")).agg(F.min("a").alias("b")).select("key", "b")
-        heads = settle(heads)
-        met = settle(members.join(heads, "key").where(F.col("a") != F.col("b")))
-        pairs = met.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        judged = settle(pairs.join(texts, "a").join(there, "b").select("a", "b", "text", "other_text").mapInPandas(_similar(shingle, similarity), "a bigint, b bigint, near boolean"))
-        known = judged if known is None else known.unionByName(judged)
-        settled = heads.select("key", F.col("b").alias("a")).unionByName(met.join(known.where("near"), ["a", "b"]).select("key", "a")).distinct()
-        left = settle(left.join(settled, ["key", "a"], "left_anti"))
-        if left.isEmpty():
-            return known.where("near").select("a", "b")
-        parts *= 4
+    read = open_.select("a", "b").join(texts, "a").join(there, "b").select("a", "b", "text", "other_text").mapInPandas(_similar(shingle, similarity), "a bigint, b bigint, near boolean")
+    return settle(judged.where(F.col("equal") >= SURE).select("a", "b").unionByName(read.where("near").select("a", "b")))
 
 
 def first_similar_takes(takes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The takes without near duplicates: of each group the row with the smallest take_id, as :func:`first_takes`.
 
     Takes are near if their sets of ``shingle``-word shingles (A-Z in lower case) have at least this Jaccard ``similarity``; groups are
-    connected over near takes. Null and empty texts are near each other.
+    connected over near takes. Null and empty texts are near each other; a take_id may be null or repeated, further columns pass
+    through (unless named like a result), and no takes give no rows.
     """
-    rest = others(takes, ["take_id", "text"], ["fingerprint", "keys"])
+    rest = others(takes, ["take_id", "text"], ["fingerprint", "sketch"])
     rows = small_batches(takes).select("take_id", "text", *rest, _sketch(shingle)("text").alias("__s"))
-    rows = settle(rows.select("take_id", "text", *rest, "__s.fingerprint", "__s.keys"))
-    grouped = _grouped(rows, lambda nodes: similar_links(rows, shingle, similarity))
-    return _first_rows(rows.drop("keys"), rest, grouped)
+    rows = settle(rows.select("take_id", "text", *rest, "__s.fingerprint", "__s.sketch"))
+    grouped = _grouped(rows, lambda nodes: similar_links(rows, nodes, shingle, similarity))
+    return _first_rows(rows.drop("sketch"), rest, grouped)

@@ -348,6 +348,53 @@ def test_texts_are_packed_as_their_ids(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def edited(rng, text, words, times):
+    out = text.split()
+    for _ in range(times):
+        out[rng.randrange(len(out))] = rng.choice(words)
+    return " ".join(out)
+
+
+def similar_groups(texts, shingle=5, similarity=0.8):
+    """Root of each id's group, by all pairs of shingle sets."""
+    sets = {}
+    for i, text in texts.items():
+        words = (text or "").encode().lower().split()
+        k = min(shingle, len(words)) or 1
+        sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(texts, 2):
+        both = len(sets[i] & sets[j])
+        if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            root[find(i)] = find(j)
+    return {i: find(i) for i in texts}
+
+
+def test_similar_takes_against_all_pairs(spark):
+    rng = random.Random(16)
+    words = [f"w{n}" for n in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 150))) for _ in range(60)]
+    rows = {i: t for i, t in enumerate(base)}
+    for i in range(60, 300):
+        rows[i] = edited(rng, rows[rng.randrange(i)], words, rng.choice([0, 1, 1, 2, 3, 6]))
+    rows |= {400: "", 401: None, 402: " \n", 403: "one", 404: "One", 405: "long " * 30_000, 406: "long " * 30_001, 407: "a b c d", 408: "A B C D"}
+    takes = spark.createDataFrame(list(rows.items()), "take_id bigint, text string").selectExpr("*", "'x' as sketch", "'y' as a", "1 as fingerprint", "'z' as tag")
+    groups, least = similar_groups(rows), {}
+    for i, r in groups.items():
+        least[r] = min(i, least.get(r, i))
+    got = near_takes.first_similar_takes(takes)
+    assert sorted(r.take_id for r in got.collect()) == sorted(least.values()) and {"tag", "a"} <= set(got.columns)
+    again = takes.unionByName(takes.where("take_id < 40")).unionByName(takes.where("take_id = 3").selectExpr("cast(null as bigint) as take_id", "text", "sketch", "a", "fingerprint", "tag"))
+    assert sorted(r.take_id for r in near_takes.first_similar_takes(again).collect()) == sorted(least.values())
+    assert near_takes.first_similar_takes(takes.limit(0)).count() == 0
+
+
 def test_pipeline_against_a_plain_version(spark, tmp_path):
     import corpus_pipeline
     from cutlake.llm import host_rules, pii
@@ -358,7 +405,7 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     for i in range(160):
         text = " ".join(rng.choice(words) for _ in range(rng.randint(55, 120)))
         rows.append((i, text + (" mail a.b@c.org now" if i % 5 == 0 else ""), "en", f"s{i % 3}" if i % 11 else None, len(text)))
-    rows += [(200 + i, rows[i][1], "en", "s1", 1) for i in range(20)] + [(300, "short", "en", "s0", 5), (301, None, None, None, None), (None, rows[9][1], "de", "s2", 3)]
+    rows += [(200 + i, rows[i][1], "en", "s1", 1) for i in range(20)] + [(230 + i, edited(rng, rows[40 + i][1], words, 1 + i % 4), "en", "s2", 1) for i in range(20)] + [(300, "short", "en", "s0", 5), (301, None, None, None, None), (None, rows[9][1], "de", "s2", 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "1 as take_id", "'z' as kept", "2 as record")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     stage = docs
@@ -372,13 +419,13 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     kept, first, masked, mixed, coded = seen
     want = {r[0] for r in rows if host_rules.measure(r[1])[0] >= 50 and host_rules.measure(r[1])[4] * 2 <= host_rules.measure(r[1])[0]}
     assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
-    prints = {r.doc_id: plain_simhash(r.text) for r in kept.collect()}
-    groups = groups_of(set(prints.values()), 2)
+    held = {r.doc_id: r.text for r in kept.collect()}
+    groups = similar_groups(held)
     least = {}
-    for i, p in prints.items():
+    for i, root in groups.items():
         if i is not None:
-            least[groups[p]] = min(i, least.get(groups[p], i))
-    assert sorted(r.doc_id for r in first.collect()) == sorted(least.values())
+            least[root] = min(i, least.get(root, i))
+    assert sorted(r.doc_id for r in first.collect()) == sorted(least.values()) and len(least) < len(held) - 25
     texts = {r.doc_id: r.text for r in masked.collect()}
     assert all("@" not in t for t in texts.values()) and all(len(texts[i]) == n for i, n in masked.select("doc_id", "n_chars").collect())
     for r in first.collect():
