@@ -338,6 +338,18 @@ def waveform(t):
     return pixels.waveform(samples(t), start=0.05, duration=0.45, buckets=40, rate=800)
 
 
+@query("waveform_whole", oracle("", SAMPLES + """,
+env as (select clip_id, i // 4 as e, max(abs(x)) as v from sm group by clip_id, i // 4 having count(*) = 4),
+n as (select clip_id, max(e) + 1 as n from env group by clip_id),
+b as (select n.clip_id, n.n, k, k * n.n // 300 as a, greatest(k * n.n // 300 + 1, (k + 1) * n.n // 300) as z from n cross join range(300) r(k)),
+m as (select b.clip_id, k, coalesce(max(v), 0) as v from b left join env on env.clip_id = b.clip_id and e >= a and e < z and e < b.n group by b.clip_id, k)
+select clip_id, k as bucket, case when max(v) over (partition by clip_id) > 0 then round_even(v / max(v) over (partition by clip_id), 4) else 0e0 end as peak from m
+"""))
+def waveform_whole(t):
+    """The lane of every whole file."""
+    return pixels.waveform(samples(t), buckets=300, rate=800)
+
+
 ELEMENTS = """
 w as (select l_orderkey as file, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) - 1 as k, count(*) over (partition by l_orderkey) as n, l_discount as rms, l_quantity / 50 as low from lineitem),
 pk as (select file, n, max(rms) as peak, min_by(k, {'a': -rms, 'k': k}) as pi, round(avg(low), 4) as low_ratio, n * 75e-2 as duration from w group by file, n),

@@ -182,6 +182,12 @@ def plan_bad_rows(t):
 select concat('/m/', clip_path, '.mov') as clip_path, start_s, end_s, round(score, 6) as score, role, grp, phash, -1e0 as peak_time, 2e0 as focus_x from b_moments
 """))
 def report_ingest(t):
+    out = stored_reports(t)["moments"]
+    return rounded(out.select("clip_path", "start_s", "end_s", "score", "role", "grp", "phash", "peak_time", F.col("entry_focus.x").alias("focus_x")))
+
+
+def stored_reports(t):
+    """One store per clip: an old and a new report, a key and a value that are none; and one file that is no store."""
     m = t.moments
     row = F.to_json(F.struct(
         F.col("start_s").alias("start"), F.col("end_s").alias("end"), "score", "role", F.col("grp").alias("group"), "phash", F.array(F.lit(2.0), F.lit(1.0)).alias("entry_focus"),
@@ -189,10 +195,36 @@ def report_ingest(t):
     files = as_files(m.withColumn("json", row), ["clip_path"], ["mid"], "json", ",")
     key = F.concat(F.lit('"/m/'), "file", F.lit(".mov|"))
     older = F.concat(key, F.lit('100.5": {"duration": 1.0, "moments": []}'))
-    newer = F.concat(key, F.lit('200.25": {"duration": 60.0, "usable_ratio": 0.5, "moments": ['), "text", F.lit("]}"))
-    stored = files.select("file", F.concat(F.lit("{"), older, F.lit(", "), newer, F.lit(', "broken": 1}')).alias("text"))
-    out = stores.parse_reports(stored)["moments"]
-    return rounded(out.select("clip_path", "start_s", "end_s", "score", "role", "grp", "phash", "peak_time", F.col("entry_focus.x").alias("focus_x")))
+    rest = '"segments": [{"start": 0.0, "end": 20.0, "label": "usable", "score": 0.75}, {"start": 20.0, "end": 60.0, "label": "dark"}], "notes": ["dark"], "scene_cuts": [20.0]'
+    newer = F.concat(key, F.lit('200.25": {"duration": 60.0, "usable_ratio": 0.5, ' + rest + ', "moments": ['), "text", F.lit("]}"))
+    none = F.concat(F.lit(', "broken": {"duration": 1.0}, '), key, F.lit('300": 7}'))
+    stored = files.select("file", F.concat(F.lit("{"), older, F.lit(", "), newer, none).alias("text"))
+    other = t.moments.select(F.lit("torn").alias("file"), F.lit('{"/m/torn.mov|1": {"dur').alias("text")).limit(1)
+    return stores.parse_reports(stored.unionByName(other))
+
+
+@query("report_clips", oracle("b_moments", """
+select distinct concat('/m/', clip_path, '.mov') as path, 20025e-2 as mtime, 6e1 as duration, 5e-1 as usable_ratio, 'dark' as notes, 2e1 as first_cut from b_moments
+"""))
+def report_clips(t):
+    out = stored_reports(t)["clips"]
+    return out.select("path", "mtime", "duration", "usable_ratio", F.array_join("notes", ",").alias("notes"), F.get("scene_cuts", F.lit(0)).alias("first_cut"))
+
+
+@query("report_segments", oracle("b_moments", """
+select path, i, case when i = 0 then 0e0 else 2e1 end as start_s, case when i = 0 then 2e1 else 6e1 end as end_s, case when i = 0 then 'usable' else 'dark' end as label, case when i = 0 then 75e-2 else 0e0 end as score
+from (select distinct concat('/m/', clip_path, '.mov') as path from b_moments) c cross join range(2) r(i)
+"""))
+def report_segments(t):
+    return stored_reports(t)["segments"]
+
+
+@query("report_bad_rows", oracle("b_moments", """
+select distinct cast(clip_path as varchar) as file, 'broken' as key, 'malformed key' as message from b_moments
+union all select distinct cast(clip_path as varchar), concat('/m/', clip_path, '.mov|300'), 'malformed report' from b_moments union all select 'torn', '', 'malformed store'
+"""))
+def report_bad_rows(t):
+    return stored_reports(t)["bad_rows"]
 
 
 ANNOTATIONS = """

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cutlake.functions.columns import r6
+from cutlake.functions.staging import settle, shared_folder
 from cutlake.functions.timecode import frames_to_seconds, frames_to_tc, seconds_to_frames, tc_to_frames
 from cutlake.operators import pacing, timeline
 from cutlake.plans.registry import query
@@ -318,3 +321,19 @@ def version_history(t):
     )
     chunk = F.floor(F.col("timeline_id") / 1024)
     return rounded(pacing.versions(pacing.append_version(None, stats, order=["timeline_id"], chunk=chunk)))
+
+
+@query("stored_history", oracle("b_clips", STATS + """,
+v as (select *, timeline_id % 10 as project, row_number() over (partition by timeline_id % 10 order by timeline_id // 10 % 3, timeline_id) as id from stats)
+select project, id, concat('cut ', cast(timeline_id as varchar)) as label, shot_count, round(avg_shot_seconds, 6) as avg_shot_seconds,
+  round(avg_shot_seconds - lag(avg_shot_seconds) over (partition by project order by id), 6) as tempo_trend from v
+"""))
+def stored_history(t):
+    """Three saves, each appended to the history that the ones before have stored."""
+    stats = stats_of(t).withColumns({"project": F.col("timeline_id") % 10, "label": F.concat(F.lit("cut "), "timeline_id")})
+    stats = settle(stats)
+    path = f"{shared_folder(t.spark)}/stage-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    for save in range(3):
+        pacing.save_versions(stats.where(F.floor(F.col("timeline_id") / 10) % 3 == save), path, order=["timeline_id"], chunk=F.floor(F.col("timeline_id") / 1024))
+    history = t.spark.read.parquet(path).withColumn("project", F.col("project").cast("bigint"))
+    return rounded(pacing.versions(history).select("project", "id", "label", "shot_count", "avg_shot_seconds", "tempo_trend"))

@@ -88,12 +88,22 @@ def signed_hash(value: Column) -> Column:
 
 
 def parse_reports(files: DataFrame) -> dict[str, DataFrame]:
-    """Report stores ``{path|mtime: report}`` of (file, text): clips, segments, moments; the newest report of a path wins."""
-    each = files.select("file", F.explode(F.from_json("text", "map<string, string>")).alias("key", "value"))
+    """Report stores ``{path|mtime: report}`` of (file, text): clips, segments, moments and bad_rows; the newest report of a path wins.
+
+    A store that is no object, a key without path and time and a value that is no report go to bad_rows (file, key, message).
+    """
+    read = files.select("file", F.from_json("text", "map<string, string>").alias("m"))
+    each = read.select("file", F.explode("m").alias("key", "value"))
     cut = r"^(.*)\|([^|]*)$"
     each = each.select(
-        F.regexp_extract("key", cut, 1).alias("path"), F.regexp_extract("key", cut, 2).try_cast("double").alias("mtime"), F.from_json("value", REPORT).alias("r")
-    ).where((F.col("path") != "") & F.col("mtime").isNotNull() & F.col("r").isNotNull())
+        "file", "key", F.regexp_extract("key", cut, 1).alias("path"), F.regexp_extract("key", cut, 2).try_cast("double").alias("mtime"),
+        F.when(F.ltrim("value").startswith("{"), F.from_json("value", REPORT)).alias("r"),
+    )
+    named = F.coalesce((F.col("path") != "") & F.col("mtime").isNotNull(), F.lit(False))
+    fault = F.when(~named, "malformed key").when(F.col("r").isNull(), "malformed report")
+    bad = each.where(fault.isNotNull()).select("file", "key", fault.alias("message"))
+    bad = bad.unionByName(read.where(F.col("m").isNull()).select("file", F.lit("").alias("key"), F.lit("malformed store").alias("message")))
+    each = each.where(fault.isNull())
     newest = each.groupBy("path").agg(F.max("mtime").alias("mtime"), F.max_by("r", "mtime").alias("r"))
     n = lambda c, d: F.coalesce(c, F.lit(d))
     r = F.col("r")
@@ -114,7 +124,7 @@ def parse_reports(files: DataFrame) -> dict[str, DataFrame]:
         F.coalesce(x["tags"], F.array().cast("array<string>")).alias("tags"), pair(x["entry_motion"], "dx", "dy", still).alias("entry_motion"), pair(x["exit_motion"], "dx", "dy", still).alias("exit_motion"),
         pair(x["entry_focus"], "x", "y", None).alias("entry_focus"), pair(x["exit_focus"], "x", "y", None).alias("exit_focus"), F.coalesce(signed_hash(x["phash"]), F.lit(0).cast("bigint")).alias("phash"), n(x["user_rating"], 0).alias("user_rating"),
     )
-    return {"clips": clips, "segments": seg, "moments": moments}
+    return {"clips": clips, "segments": seg, "moments": moments, "bad_rows": bad}
 
 
 def read_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
