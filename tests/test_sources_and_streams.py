@@ -1,6 +1,7 @@
 """File corpora in and out, and the two streams."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,32 +110,37 @@ def _clip(name, n=12, broken=False):
 
 
 def test_triage_stream_takes_each_clip_once_and_retries(spark, tmp_path):
-    source, reports, waiting, state = (str(tmp_path / p) for p in ("in", "reports", "waiting", "state"))
+    source, reports, failed, state = (str(tmp_path / p) for p in ("in", "reports", "failed", "state"))
 
     def arrive(rows):
         spark.createDataFrame(rows, jobs.FRAMES).coalesce(1).write.mode("append").parquet(source)
+        assert jobs.triage_stream(spark, source, reports, failed, state).awaitTermination(120)
+        return sorted((r.clip_path, r.usable_ratio) for r in spark.read.parquet(reports).collect())
 
-    def run():
-        q = jobs.triage_stream(spark, source, reports, waiting, state)
-        assert q.awaitTermination(120)
+    assert arrive(_clip("a") + _clip("bad", broken=True)) == [("a", 1.0)]
+    assert arrive(_clip("b") + _clip("a")) == [("a", 1.0), ("b", 1.0)]
+    # The broken sample comes again, this time with its values.
+    assert arrive(_clip("bad")[3:4]) == [("a", 1.0), ("b", 1.0), ("bad", 1.0)]
+    assert jobs._stored(spark, failed, f"{jobs.FRAMES}, batch_id bigint").count() == 0
 
-    arrive(_clip("a") + _clip("bad", broken=True))
-    run()
-    assert [r.clip_path for r in spark.read.parquet(reports).collect()] == ["a"]
-    arrive(_clip("b") + _clip("a"))
-    run()
-    rows = sorted((r.clip_path, r.usable_ratio) for r in spark.read.parquet(reports).collect())
-    assert rows == [("a", 1.0), ("b", 1.0)]
-    last = spark.read.parquet(waiting)
-    assert {r.clip_path for r in last.where(F.col("batch_id") == last.agg(F.max("batch_id")).first()[0]).collect()} == {"bad"}
+
+def test_clip_that_never_completes_is_given_up(spark, tmp_path):
+    source, reports, failed, state = (str(tmp_path / p) for p in ("in", "reports", "failed", "state"))
+    for n, rows in enumerate((_clip("half")[:5] + _clip("a"), _clip("b"), _clip("c"))):
+        spark.createDataFrame(rows, jobs.FRAMES).coalesce(1).write.mode("append").parquet(source)
+        assert jobs.triage_stream(spark, source, reports, failed, state, patience="1 second").awaitTermination(120)
+        time.sleep(2.5)
+    assert sorted(r.clip_path for r in spark.read.parquet(reports).collect()) == ["a", "b", "c"]
+    gone = spark.read.parquet(failed).collect()
+    assert {r.clip_path for r in gone} == {"half"} and len(gone) == 5
 
 
 def test_clip_in_two_parts_is_judged_whole(spark, tmp_path):
-    source, reports, waiting, state = (str(tmp_path / p) for p in ("in", "reports", "waiting", "state"))
+    source, reports, failed, state = (str(tmp_path / p) for p in ("in", "reports", "failed", "state"))
     rows = _clip("late", 20)
     for part in (rows[:7], _clip("other"), rows[7:]):
         spark.createDataFrame(part, jobs.FRAMES).coalesce(1).write.mode("append").parquet(source)
-        assert jobs.triage_stream(spark, source, reports, waiting, state).awaitTermination(120)
+        assert jobs.triage_stream(spark, source, reports, failed, state).awaitTermination(120)
     found = {r.clip_path: r.duration for r in spark.read.parquet(reports).collect()}
     assert found == {"late": 10.0, "other": 6.0}
 
