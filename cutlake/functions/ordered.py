@@ -225,6 +225,22 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], chunk: Column) -> D
     return base.join(per_chunk, [*keys, CHUNK]).drop(CHUNK)
 
 
+#: Up to so many rows a table is broadcast; copies of each row beyond that.
+SMALL_ROWS, COPIES = 200_000, 64
+
+
+def meet(rows: DataFrame, table: DataFrame, on: list[str], spread: str | Column) -> DataFrame:
+    """Inner join of many rows with a table of one row per key, where many rows may have the same key.
+
+    The table is counted: a small one is broadcast and the rows stay where they are. A larger one is copied, and rows are
+    dealt to the copies by ``spread``, so that no key lands in one task.
+    """
+    if table.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(table), on)
+    copies = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn("__copy", F.pmod(F.xxhash64(col(spread)), F.lit(COPIES)).cast("int")).join(copies, [*on, "__copy"]).drop("__copy")
+
+
 #: Cells for values from one power of two to the next.
 CELLS = 1024
 

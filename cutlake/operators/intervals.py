@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cutlake.functions.columns import basename, overlap
 from cutlake.functions.intervals import range_join, union_intervals
 from cutlake.functions.ordered import (
-    carry_backward, carry_forward, following, global_ranks, islands, max_before, previous, row_index, running_sum, scan,
+    carry_backward, carry_forward, following, global_ranks, islands, max_before, meet, previous, row_index, running_sum, scan,
 )
 from cutlake.functions.staging import settle
 
@@ -158,7 +158,7 @@ def bench(plans: DataFrame, entries: DataFrame, moments: DataFrame, k: int = 20,
     ).where(overlap(F.col("start_s"), F.col("end_s"), F.col("source_start"), F.col("source_end")) > EPS)
     hits = settle(hits.select(*span, "pool_rank"))
     counts = mine.join(hits.groupBy(*span).agg(F.count("*").alias("__c")), span)
-    most = counts.groupBy(plan).agg((F.sum("__c") + k).alias("__most"))
+    most = settle(counts.groupBy(plan).agg((F.sum("__c") + k).alias("__most")))
     near = mine.join(most, plan).alias("m").join(hits.alias("h"), [F.col(f"m.{c}") == F.col(f"h.{c}") for c in span] + [F.col("h.pool_rank") <= F.col("m.__most")])
     used = near.select(plan, "pool_rank").distinct()
     size = ranked.agg(F.count("*").alias("__all"))
@@ -170,7 +170,10 @@ def bench(plans: DataFrame, entries: DataFrame, moments: DataFrame, k: int = 20,
     gaps = stops.where((F.col("pool_rank") > start) & (before < k)).select(
         plan, (before - start + 1).alias("__shift"), F.explode(F.sequence(start, want)).alias("pool_rank")
     )
-    return gaps.withColumn("rank", F.col("pool_rank") + F.col("__shift")).join(ranked, "pool_rank").select(plan, "rank", *moments.columns)
+    # All plans take from the first ranks: of the pool only what the plan with the most used ranks can reach takes part.
+    reach = most.agg(F.coalesce(F.max("__most"), F.lit(k)).alias("__reach"))
+    pool = settle(ranked.join(F.broadcast(reach)).where(F.col("pool_rank") <= F.col("__reach")).drop("__reach"))
+    return meet(gaps.withColumn("rank", F.col("pool_rank") + F.col("__shift")), pool, ["pool_rank"], plan).select(plan, "rank", *moments.columns)
 
 
 def alternatives(benches: DataFrame, slots: DataFrame, k: int = 6, plan: str = "plan_id") -> DataFrame:

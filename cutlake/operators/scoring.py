@@ -11,7 +11,7 @@ from cutlake.functions.columns import basename, clamp, col, first_by
 from cutlake.functions.greedy import best_partners, spaced_in_time, spaced_picks
 from cutlake.functions.intervals import range_join, union_intervals
 from cutlake.functions.ordered import (
-    attach, carry_backward, carry_forward, following, global_ranks, max_before, pick_ranks, previous, row_index, scan,
+    attach, carry_backward, carry_forward, following, global_ranks, max_before, meet, pick_ranks, previous, row_index, scan,
 )
 from cutlake.functions.staging import settle
 from cutlake.operators.intervals import BIN, CARRIERS, by_slot, label_at
@@ -108,10 +108,6 @@ def daylight_targets(slots: DataFrame, moments: DataFrame) -> DataFrame:
     return rows.where(length > EPS).select(PLAN, "slot", target.alias("daylight_target"))
 
 
-#: Copies of a pool position when the pool is too long to be broadcast, and up to how many rows it is.
-POOL_COPIES, SMALL_POOL = 64, 200_000
-
-
 def slot_candidates(
     slots: DataFrame, moments: DataFrame, window: int = 4, k: int = 4, size_bonus: dict[tuple[str, str], float] | None = None, project: str | None = None,
 ) -> DataFrame:
@@ -120,8 +116,7 @@ def slot_candidates(
     Slot s looks at pool positions s+1 … s+window, as every slot before it takes one. ``slots`` needs
     (phase, energy, daylight_target, slots); ``moments`` needs a motion magnitude. ``project`` names a column of both: every
     project has its own pool. All plans look at the first positions and none beyond its length, so only positions
-    within the longest plan's reach take part; they are broadcast while they are few, else each lies in ``POOL_COPIES``
-    copies among which the plans are dealt.
+    within the longest plan's reach take part; they are broadcast while they are few, else copied, and the plans are dealt to the copies.
     """
     keys = [project] if project else []
     peak = moments.groupBy(*keys).agg(F.max("motion").alias("__peak"))
@@ -133,11 +128,7 @@ def slot_candidates(
     pool = pool.where(F.col("pool_rank") <= F.col("__deep")).drop("__deep")
     pool = settle(pool.withColumn("__norm", F.when(F.col("__peak") > EPS, F.col("motion") / F.col("__peak"))))
     looks = slots.withColumn("__pos", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("pool_rank", F.col("slot") + 1 + F.col("__pos"))
-    if pool.count() <= SMALL_POOL:
-        rows = looks.join(F.broadcast(pool), [*keys, "pool_rank"])
-    else:
-        copies = pool.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(POOL_COPIES - 1))))
-        rows = looks.withColumn("__copy", F.pmod(F.xxhash64(PLAN), F.lit(POOL_COPIES)).cast("int")).join(copies, [*keys, "pool_rank", "__copy"]).drop("__copy")
+    rows = meet(looks, pool, [*keys, "pool_rank"], PLAN)
     wanted = F.array_compact(F.array(
         F.when((F.col("slot") == 0) & ~F.coalesce(F.col("phase") == "hook", F.lit(False)), F.lit("opener")),
         F.when(F.col("slot") == F.col("slots") - 1, F.lit("closer")),
