@@ -21,7 +21,7 @@ from cutlake.llm.common import others, small_batches
 
 SPACE = "▁"
 #: Distinct words whose paths a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 class Pieces:
