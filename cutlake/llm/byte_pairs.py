@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from cutlake.llm.common import others, small_batches
 
 #: A task encodes its waiting words when so many are new or so many characters wait, and forgets all words beyond REMEMBERED.
-NEW_WORDS, WAITING_CHARS, REMEMBERED = 100_000, 1 << 24, 700_000
+NEW_WORDS, WAITING_CHARS, REMEMBERED = 100_000, 1 << 24, 400_000
 #: Tokens a task decodes at once (a longer text by itself); words longer than LONG bytes take many pairs a step.
 DECODED, LONG = 1 << 20, 96
 
